@@ -29,6 +29,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), size=2048)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language_id import fit, held_out, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out(F.col("doc_id")))
+    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
