@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Decides the surrogates of the queries; in production it comes from a secret store.
+PII_KEY = b"an example key, not a secret one"
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -51,6 +55,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), words=20, digest=True)
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import redact
+
+    return redact(_table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
