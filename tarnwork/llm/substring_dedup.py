@@ -3,21 +3,23 @@
 A window is ``words`` consecutive words of one document; a word goes if a window that
 covers it also starts earlier (smaller doc_id, or earlier in the document).
 
-Windows are first grouped without loss: the smallest 6-gram hash of a window (its
+Windows are first grouped without loss: the smallest 4-gram hash of a window (its
 minimizer) is a function of its words, so equal windows have equal minimizers.
 Successive windows of one minimizer form a unit.  Only units whose minimizer occurs
-again can hold a repeated window; for most documents none is left.  Units of equal
-words are one content, known by its earliest unit: every later unit of that content
-goes whole.  What remains is to compare different contents of one minimizer, and that
-is where the reference shards come in: the contents of a minimizer, in order of their
-first places, make one suffix automaton whose states know where they first ended, and
-each content is streamed through it; a matching statistic of at least ``words`` that
-first ended elsewhere marks its window.  The automata are built where the contents
-are, by a shuffle on the minimizer, and not broadcast: a broadcast reference would
-grow with the corpus and every document would have to pass every shard.  Minimizers
-with more than ``shard`` contents (one passage in very many documents) are cut further
-into single windows, whose first places are pre-aggregated minima, so that no task
-holds an unbounded group.
+again can hold a repeated window; for most documents none is left.  The units of one
+minimizer meet in one place, in order of their starts.  Units of equal words are one
+content, known by its earliest unit: every later unit of that content goes whole.
+Different contents of one minimizer are the reference shard: they make one suffix
+automaton whose states know where they first ended, and each content is streamed
+through it; a matching statistic of at least ``words`` that first ended elsewhere marks
+its window.  The automata are built where the units are, by a shuffle on the minimizer,
+and not broadcast: a broadcast reference would grow with the corpus and every document
+would have to pass every shard.  Minimizers that occur more than ``shard`` times (one
+passage in very many documents) don't meet: their windows' first places are minima,
+aggregated before the shuffle, so that no task holds an unbounded group.
+
+The automata's symbols are 32 bits of a word's hash: two windows of one minimizer that
+differ in one word are taken for equal with chance 2**-32.
 
 Defined cases: null text has no words; a document shorter than a window loses nothing;
 rows of equal doc_id and text are one document and fare alike; a null doc_id counts as
@@ -37,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import partitions, shared_table
-from ._words import WORD, mix, ngram_hashes, word_hashes
+from ._words import WORD, ngram_hashes, word_hashes
 
-GRAM = 6
+GRAM = 4
 _NULL = -(1 << 63)
+_PLACE = np.uint64((1 << 20) - 1)
 
 
 def units(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +54,14 @@ def units(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     if len(grams) < span:
         none = np.empty(0, dtype=np.int64)
         return none, none, none.astype(np.uint64)
-    place = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
+    # Of equal grams the first counts: the place is in the low bits of what is compared.
+    least, width = (grams & ~_PLACE) | (np.arange(len(grams), dtype=np.uint64) & _PLACE), 1
+    while width < span:
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    at = np.arange(len(least))
+    place = at + (((least & _PLACE).astype(np.int64) - at) & int(_PLACE))
     start = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
     return start, np.diff(np.append(start, len(place))), grams[place[start]]
 
@@ -59,48 +69,65 @@ def units(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _find_units(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, counts, keys = [], [], [], []
+            ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                start, count, key = units(word_hashes(text.as_py()), words)
-                if len(start):
-                    ids.append(np.full(len(start), doc_id, dtype=np.int64))
-                    starts.append(start), counts.append(count), keys.append(key)
+                _, _, key = units(word_hashes(text.as_py()), words)
+                if len(key):
+                    ids.append(np.full(len(key), doc_id, dtype=np.int64))
+                    keys.append(key)
             if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts) * (words + 1) + np.concatenate(counts))],
-                    names=["mh", "doc_id", "unit"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["mh", "doc_id"])
 
     return run
 
 
+def _candidates(batch: pa.RecordBatch, words: int, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per document: id, word hashes, and the units whose minimizer is in the list column ``column``."""
+    for doc_id, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(column), strict=True):
+        if len(wanted := keys.values.to_numpy(zero_copy_only=False) if keys.is_valid else ()):
+            hashes = word_hashes(text.as_py())
+            start, count, key = units(hashes, words)
+            hit = np.isin(key.view(np.int64), wanted)
+            yield doc_id, hashes, start[hit], count[hit], key[hit]
+
+
 def _contents(words: int):
     """Distinct contents of the candidate units of each batch, with their earliest places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = min(GRAM, words)
         for batch in batches:
-            best: dict[tuple[int, int], tuple[int, int, int, bytes]] = {}
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if not found.is_valid:
-                    continue
-                hashes = word_hashes(text.as_py())
-                grams = ngram_hashes(hashes, gram)
-                for unit in found.as_py():
-                    start, count = divmod(unit, words + 1)
-                    part = hashes[start : start + count + words - 1]
-                    scale = np.uint64(2) * np.arange(len(part), dtype=np.uint64) + np.uint64(len(part) << 9 | 1)
-                    key = (int(grams[start : start + words - gram + 1].min()), int(mix(part * mix(scale)).sum()))
-                    place = (doc_id, start)
-                    if key not in best or place < best[key][:2]:
-                        best[key] = (doc_id, start, count, part.tobytes())
+            best: dict[tuple[int, bytes], tuple[int, int]] = {}
+            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, 2):
+                symbols = (hashes >> np.uint64(32)).astype(np.uint32)
+                for start, count, key in zip(starts.tolist(), counts.tolist(), keys.view(np.int64).tolist(), strict=True):
+                    content = key, symbols[start : start + count + words - 1].tobytes()
+                    place = doc_id, start
+                    if content not in best or place < best[content]:
+                        best[content] = place
             if best:
-                keys = np.array(list(best), dtype=np.uint64).view(np.int64)
-                rows = list(zip(*best.values(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.binary())],
-                    names=["mh", "ch", "doc_id", "start", "n", "words"],
-                )
+                keys, contents = zip(*best, strict=True)
+                ids, starts = zip(*best.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(contents, pa.binary())], names=["mh", "doc_id", "start", "words"])
+
+    return run
+
+
+def _windows(words: int):
+    """First places of the windows of hot units in each batch, by 128 bits of window hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, 3):
+                whole = ngram_hashes(hashes, words).view(np.int64)
+                for start, count, key in zip(starts.tolist(), counts.tolist(), keys.view(np.int64).tolist(), strict=True):
+                    for at in range(start, start + count):
+                        window = key, int(whole[at])
+                        if window not in best or (doc_id, at) < best[window]:
+                            best[window] = doc_id, at
+            if best:
+                columns = [*zip(*best, strict=True), *zip(*best.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["mh", "window", "doc_id", "start"])
 
     return run
 
@@ -171,50 +198,73 @@ def repeated_windows(contents: list[list[int]], words: int) -> list[int]:
 
 def _judge(words: int):
     """Rows sorted by minimizer and place; a minimizer's contents are one reference shard."""
+    size = 8 * (words // 64 + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, places, group = None, [], []
+        now, first = None, {}
+        out: list[tuple[int, int, bytes]] = []
 
-        def judged() -> pa.RecordBatch:
-            masks = repeated_windows(group, words)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64()), pa.array([m.to_bytes(8 * (words // 64 + 1), "little") for m in masks], pa.binary())], names=["doc_id", "start", "mask"])
+        def judge() -> None:
+            contents = [np.frombuffer(raw, dtype=np.uint32).tolist() for raw in first] if len(first) > 1 else []
+            masks = repeated_windows(contents, words) if contents else [_alone(raw, words) for raw in first]
+            out.extend((*place, mask.to_bytes(size, "little")) for place, mask in zip(first.values(), masks, strict=True))
+
+        def batch_of() -> pa.RecordBatch:
+            ids, starts, masks = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(masks, pa.binary())], names=["doc_id", "start", "mask"])
 
         for batch in batches:
             for mh, doc_id, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if mh != now and group:
-                    yield judged()
-                    places, group = [], []
-                now = mh
-                places.append((doc_id, start))
-                group.append(np.frombuffer(raw, dtype=np.uint64).tolist())
-        if group:
-            yield judged()
+                if mh != now:
+                    judge()
+                    now, first = mh, {}
+                    if len(out) > 10_000:
+                        yield batch_of()
+                first.setdefault(raw, (doc_id, start))
+        judge()
+        if out:
+            yield batch_of()
 
     return run
 
 
+def _alone(raw: bytes, words: int) -> int:
+    """A content that meets no other can only repeat itself."""
+    return 0 if len(raw) <= 4 * words else repeated_windows([np.frombuffer(raw, dtype=np.uint32).tolist()], words)[0]
+
+
 def _strip(words: int, emit: Callable[[list[str], np.ndarray, str], tuple], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            gone: dict[int, np.ndarray] = {}
+            texts = batch.column(1)
+            numbers = np.arange(batch.num_rows, dtype=np.int64)
+            for column in (2, 3):
+                numbered = pa.RecordBatch.from_arrays([pa.array(numbers), texts, *batch.columns[2:4]], names=["k", "text", "again", "hot"])
+                for k, hashes, starts, counts, _ in _candidates(numbered, words, column):
+                    first = batch.column(4)[k]
+                    judged = {x["start"]: x["mask"] for x in first.as_py()} if first.is_valid else {}
+                    marks = gone.setdefault(k, np.zeros(len(hashes) + 1, dtype=np.int64))
+                    for start, count in zip(starts.tolist(), counts.tolist(), strict=True):
+                        if column == 3:  # hot: all windows go but those that are first
+                            old = [i for i in range(start, start + count) if i not in judged]
+                        elif start not in judged:  # a later unit of a known content
+                            marks[start] += 1
+                            marks[start + count - 1 + words] -= 1
+                            continue
+                        else:
+                            mask = int.from_bytes(judged[start], "little")
+                            old = [start + i for i in range(count) if mask >> i & 1] if mask else []
+                        for i in old:
+                            marks[i] += 1
+                            marks[i + words] -= 1
             rows = []
-            for doc_id, text, found, kept in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                text = text.as_py() or ""
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                text = texts[k].as_py() or ""
                 tokens = WORD.findall(text)
-                gone = np.zeros(len(tokens) + 1, dtype=np.int64)
-                if found.is_valid:
-                    judged = {x["start"]: int.from_bytes(x["mask"], "little") for x in kept.as_py()} if kept.is_valid else {}
-                    for unit in found.as_py():
-                        start, count = divmod(unit, words + 1)
-                        mask = judged.get(start)
-                        if mask is None:  # a later unit of a known content
-                            gone[start] += 1
-                            gone[start + count - 1 + words] -= 1
-                        elif mask:
-                            for i in range(count):
-                                if mask >> i & 1:
-                                    gone[start + i] += 1
-                                    gone[start + i + words] -= 1
-                rows.append((doc_id, *emit(tokens, np.cumsum(gone[:-1]) > 0, text)))
+                marks = np.cumsum(gone[k][:-1]) > 0 if k in gone else np.zeros(len(tokens), dtype=bool)
+                rows.append((doc_id, *emit(tokens, marks, text)))
             columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
@@ -241,43 +291,25 @@ _OUT = {
 }
 
 
-def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 2000, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: the text without its repeated windows, the numbers of
     words and removed words, and the removed word spans (end exclusive); with ``digest`` the kept words'
     SHA-256 in place of text and spans.  Null text gives an empty text."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = shared_table(base.mapInArrow(_find_units(words), "mh long, doc_id long, unit long"), "units")
-    again = found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1").select("mh")
-    by_doc = found.join(again, "mh", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("unit")).alias("units"))
-    joined = base.join(by_doc, "doc_id", "left")
-
-    contents = joined.mapInArrow(_contents(words), "mh long, ch long, doc_id long, start long, n long, words binary")
-    contents = contents.groupBy("mh", "ch").agg(F.min(F.struct("doc_id", "start", "n", "words")).alias("c")).select("mh", "ch", "c.*")
-    several = contents.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1")
-    contents = contents.join(several, "mh", "left")
-    nothing = F.lit(bytes(8 * (words // 64 + 1)))
-    alone = contents.where("k is null").select("doc_id", "start", nothing.alias("mask"))
-    some = contents.where(f"k <= {shard}").select("mh", "doc_id", "start", "words").repartition(partitions(spark), "mh").sortWithinPartitions("mh", "doc_id", "start")
-    some = some.mapInArrow(_judge(words), "doc_id long, start long, mask binary")
-    window = F.substring("words", 8 * F.col("i") + 1, F.lit(8 * words))
-    many = contents.where(f"k > {shard}").withColumn("i", F.explode(F.sequence(F.lit(0).cast("int"), F.col("n").cast("int") - 1)))
-    many = many.select("doc_id", "start", "i", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
-    first = many.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", (F.col("start") + F.col("i")).alias("at"))).alias("first"))
-    # The one place where a window is new: all its other places in contents of hot minimizers are repeats.
-    new = many.join(first.select("w1", "w2", F.col("first.doc_id").alias("d"), F.col("first.at").alias("at")), ["w1", "w2"])
-    new = new.groupBy("doc_id", "start").agg(F.collect_set(F.when((F.col("d") != F.col("doc_id")) | (F.col("at") != F.col("start") + F.col("i")), F.col("i"))).alias("old"))
-    many = _masks(new, words)
-
-    judged = alone.union(some).union(many).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("judged"))
+    found = shared_table(base.mapInArrow(_find_units(words), "mh long, doc_id long"), "units")
+    again = found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1")
+    hits = found.join(again.hint("merge"), "mh").groupBy("doc_id")
+    hits = hits.agg(F.collect_set(F.when(F.col("k") <= shard, F.col("mh"))).alias("again"), F.collect_set(F.when(F.col("k") > shard, F.col("mh"))).alias("hot"))
+    joined = base.join(hits.hint("merge"), "doc_id", "left")
+
+    # The minimizers left here occur at most ``shard`` times.
+    contents = joined.where("size(again) > 0").mapInArrow(_contents(words), "mh long, doc_id long, start long, words binary")
+    contents = contents.repartition(partitions(spark), "mh").sortWithinPartitions("mh", "doc_id", "start")
+    judged = contents.mapInArrow(_judge(words), "doc_id long, start long, mask binary")
+    first = joined.where("size(hot) > 0").mapInArrow(_windows(words), "mh long, window long, doc_id long, start long")
+    first = first.groupBy("mh", "window").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("first.*", F.lit(b"").alias("mask"))
+    judged = judged.union(first).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("judged"))
     emit, schema, arrow = _OUT[digest]
-    out = joined.join(judged, "doc_id", "left").mapInArrow(_strip(words, emit, arrow), schema)
+    out = joined.join(judged.hint("merge"), "doc_id", "left").mapInArrow(_strip(words, emit, arrow), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NULL, F.col("doc_id")))
-
-
-def _masks(rows: DataFrame, words: int) -> DataFrame:
-    """``old`` (numbers of repeated windows) as little-endian bit masks."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(64 * (words // 64 + 1) - 1)), lambda i: F.when(F.array_contains("old", i), "1").otherwise("0"))
-    # conv() reads 4 bits a digit: bytes in ascending order, each written most significant bit first.
-    digit = lambda b: F.lpad(F.conv(F.concat_ws("", F.reverse(F.slice(bits, b + 1, 8))), 2, 16), 2, "0")
-    return rows.select("doc_id", "start", F.unhex(F.concat(*[digit(b) for b in range(0, 64 * (words // 64 + 1), 8)])).alias("mask"))
