@@ -125,7 +125,7 @@ def _within(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, label: np
 
 def _confirm(words: int, percent: int, miss: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["comp", "doc_id"], kind="stable").reset_index(drop=True)
+        rows = rows.drop_duplicates(["comp", "doc_id", "probe"]).sort_values(["comp", "doc_id"], kind="stable").reset_index(drop=True)
         ids, comps = rows["doc_id"].to_numpy(), rows["comp"].to_numpy()
         probes, had = rows["probe"].to_numpy(), rows["had"].to_numpy()
         out: list[tuple[int, int]] = []
@@ -179,10 +179,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     placed = small.union(large.select("doc_id", "comp", "piece").union(led).distinct().select("doc_id", "comp", key.alias("task")))
     placed = placed.select("doc_id", "comp", "task", F.lit(False).alias("probe"), F.col("doc_id").alias("had"))
 
-    reps = base.join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
-
     def confirm(rows: DataFrame, name: str) -> DataFrame:
-        full = reps.join(rows, "doc_id").dropDuplicates(["doc_id", "task"]).repartition(tasks, "task")
+        # The members grow with the corpus: always a merge join, never a broadcast.
+        full = base.join(rows.hint("merge"), "doc_id").repartition(tasks, "task")
         return shared_table(full.groupBy("task").applyInPandas(_confirm(words, percent, miss), "a long, b long"), name)
 
     links = confirm(placed, "links")
@@ -203,8 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
             rows = probes.select("doc_id", "comp", pair.alias("task"), F.lit(True).alias("probe"), F.col("joined").alias("had")).union(
                 rest.select("doc_id", "comp", pair.alias("task"), F.lit(False).alias("probe"), F.col("joined").alias("had"))
             )
-            full = reps.join(rows, "doc_id").dropDuplicates(["doc_id", "task", "probe"]).repartition(tasks, "task")
-            links = links.union(shared_table(full.groupBy("task").applyInPandas(_confirm(words, percent, miss), "a long, b long"), "more-links"))
+            links = links.union(confirm(rows, "more-links"))
 
     joined = connected_components(links).toDF("rep", "component")
     ranked = classes.select("set_key", "rep").join(joined, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
