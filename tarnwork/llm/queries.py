@@ -67,9 +67,62 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), asked=F.col("vec_id") % 100 == 0, k=10, factor=1.0)
+
+
+def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media: the bytes of each document's text are its recording, raw 8-bit mono audio."""
+    from pyspark.sql import functions as F
+
+    from .audio import align
+
+    recordings = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("audio"))
+    return align(recordings).withColumnRenamed("id", "doc_id")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(_table(spark, sf_dir, "documents")))
+
+
+def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digest, expand
+
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    fixture = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    return digest(expand(talks.unionByName(fixture)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+SQL = {
+    "op10_chat_examples": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), e AS (
+            SELECT *, length(regexp_replace(role || text, '([<\\[])(\\\\*)(\\|im_start\\|>|\\|im_sep\\|>|\\|im_end\\|>|\\|endoftext\\|>|\\|system\\|>|\\|user\\|>|\\|assistant\\|>|s>|/s>|<SYS>>|</SYS>>|INST\\]|/INST\\])', '\\1\\\\\\2\\3', 'g')) + 32 AS n,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t
+        ), p AS (
+            SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto, max(k) OVER (PARTITION BY conv_id) AS most FROM e
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(upto) FILTER (role = 'assistant' OR k = most) AS BIGINT) AS formatted_chars
+        FROM p GROUP BY conv_id
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
