@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 BITS = 15
@@ -142,6 +143,21 @@ def predict(docs: DataFrame, model: KernelModel) -> DataFrame:
     return base.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
+def tag(docs: DataFrame, model: KernelModel, column: str) -> DataFrame:
+    """``docs`` as they are, with the prediction for ``text`` in one more column (which must be a new name)."""
+    if column in docs.columns:
+        raise ValueError(f"{column} is taken")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place)], names=["doc_id", "text"])
+            found = next(_predict(model)(iter([texts]))).column(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.StringType())]))
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the fold that is never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))

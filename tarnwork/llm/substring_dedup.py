@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import partitions, shared_table
 from ._words import WORD, ngram_hashes, word_hashes
@@ -91,13 +92,13 @@ def _candidates(batch: pa.RecordBatch, words: int, column: int) -> Iterator[tupl
             yield doc_id, hashes, start[hit], count[hit], key[hit]
 
 
-def _contents(words: int):
+def _contents(words: int, names: list[str]):
     """Distinct contents of the candidate units of each batch, with their earliest places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[tuple[int, bytes], tuple[int, int]] = {}
-            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, 2):
+            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, names.index("again")):
                 symbols = (hashes >> np.uint64(32)).astype(np.uint32)
                 for start, count, key in zip(starts.tolist(), counts.tolist(), keys.view(np.int64).tolist(), strict=True):
                     content = key, symbols[start : start + count + words - 1].tobytes()
@@ -112,13 +113,13 @@ def _contents(words: int):
     return run
 
 
-def _windows(words: int):
+def _windows(words: int, names: list[str]):
     """First places of the windows of hot units in each batch, by 128 bits of window hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, 3):
+            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, names.index("hot")):
                 whole = ngram_hashes(hashes, words).view(np.int64)
                 for start, count, key in zip(starts.tolist(), counts.tolist(), keys.view(np.int64).tolist(), strict=True):
                     for at in range(start, start + count):
@@ -266,7 +267,8 @@ def _strip(words: int, emit: Callable[[list[str], np.ndarray, str], tuple], sche
                 marks = np.cumsum(gone[k][:-1]) > 0 if k in gone else np.zeros(len(tokens), dtype=bool)
                 rows.append((doc_id, *emit(tokens, marks, text)))
             columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+            made = [pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[5:]], names=[*schema.names, *batch.schema.names[5:]])
 
     return run
 
@@ -291,25 +293,30 @@ _OUT = {
 }
 
 
-def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest: bool = False, keep: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: the text without its repeated windows, the numbers of
     words and removed words, and the removed word spans (end exclusive); with ``digest`` the kept words'
-    SHA-256 in place of text and spans.  Null text gives an empty text."""
+    SHA-256 in place of text and spans; with ``keep`` the columns of ``docs`` with the new text, and no others.
+    Null text gives an empty text (with ``keep`` it stays null)."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = shared_table(base.mapInArrow(_find_units(words), "mh long, doc_id long"), "units")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null")).alias("rest")] if keep else []))
+    found = shared_table(base.select("doc_id", "text").mapInArrow(_find_units(words), "mh long, doc_id long"), "units")
     again = found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1")
     hits = found.join(again.hint("merge"), "mh").groupBy("doc_id")
     hits = hits.agg(F.collect_set(F.when(F.col("k") <= shard, F.col("mh"))).alias("again"), F.collect_set(F.when(F.col("k") > shard, F.col("mh"))).alias("hot"))
+    # One exchange of the documents serves all three uses.
     joined = base.join(hits.hint("merge"), "doc_id", "left")
 
     # The minimizers left here occur at most ``shard`` times.
-    contents = joined.where("size(again) > 0").mapInArrow(_contents(words), "mh long, doc_id long, start long, words binary")
+    contents = joined.where("size(again) > 0").mapInArrow(_contents(words, joined.columns), "mh long, doc_id long, start long, words binary")
     contents = contents.repartition(partitions(spark), "mh").sortWithinPartitions("mh", "doc_id", "start")
     judged = contents.mapInArrow(_judge(words), "doc_id long, start long, mask binary")
-    first = joined.where("size(hot) > 0").mapInArrow(_windows(words), "mh long, window long, doc_id long, start long")
+    first = joined.where("size(hot) > 0").mapInArrow(_windows(words, joined.columns), "mh long, window long, doc_id long, start long")
     first = first.groupBy("mh", "window").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("first.*", F.lit(b"").alias("mask"))
     judged = judged.union(first).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("judged"))
     emit, schema, arrow = _OUT[digest]
-    out = joined.join(judged.hint("merge"), "doc_id", "left").mapInArrow(_strip(words, emit, arrow), schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _NULL, F.col("doc_id")))
+    full = joined.join(judged.hint("merge"), "doc_id", "left").select("doc_id", "text", "again", "hot", "judged", *(["rest"] if keep else []))
+    if keep:
+        out = full.mapInArrow(_strip(words, emit, arrow), T.StructType([*T._parse_datatype_string(schema).fields, full.schema["rest"]]))
+        return out.select(*[F.when(~F.col("rest._null"), F.col("text")).alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
+    return full.mapInArrow(_strip(words, emit, arrow), schema).withColumn("doc_id", F.when(F.col("doc_id") != _NULL, F.col("doc_id")))
