@@ -165,12 +165,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     groups = connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     groups = shared_table(groups, "groups")
 
-    sized = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    sized = shared_table(groups.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
     members = groups.join(sized, "comp")
     tasks = max(partitions(spark), math.ceil(groups.count() / 400))
     #: A member's chunk: by hash, so that the chunks of a group are about as large.
     pieces = F.ceil(F.col("size") / F.lit(chunk)).cast("long")
     members = members.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("pieces")))
+    # The texts of the members, fetched once.  The members grow with the corpus: always a merge join, never a broadcast.
+    texts = shared_table(base.join(members.select("doc_id", "pieces").hint("merge"), "doc_id"), "texts")
     small = members.where("pieces = 1").select("doc_id", "comp", F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(tasks)).cast("string")).alias("task"))
     large = members.where("pieces > 1")
     key = F.concat_ws(":", F.lit("l"), F.col("comp").cast("string"), F.col("piece").cast("string"))
@@ -179,12 +181,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     placed = small.union(large.select("doc_id", "comp", "piece").union(led).distinct().select("doc_id", "comp", key.alias("task")))
     placed = placed.select("doc_id", "comp", "task", F.lit(False).alias("probe"), F.col("doc_id").alias("had"))
 
-    def confirm(rows: DataFrame, name: str) -> DataFrame:
-        # The members grow with the corpus: always a merge join, never a broadcast.
-        full = base.join(rows.hint("merge"), "doc_id").repartition(tasks, "task")
+    def confirm(texts: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+        full = texts.drop("pieces").join(rows.hint("merge"), "doc_id").repartition(tasks, "task")
         return shared_table(full.groupBy("task").applyInPandas(_confirm(words, percent, miss), "a long, b long"), name)
 
-    links = confirm(placed, "links")
+    links = confirm(texts, placed, "links")
     if not large.isEmpty():
         mid = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("joined"))
         state = large.join(mid, "doc_id", "left").withColumn("joined", F.coalesce("joined", "doc_id"))
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
             rows = probes.select("doc_id", "comp", pair.alias("task"), F.lit(True).alias("probe"), F.col("joined").alias("had")).union(
                 rest.select("doc_id", "comp", pair.alias("task"), F.lit(False).alias("probe"), F.col("joined").alias("had"))
             )
-            links = links.union(confirm(rows, "more-links"))
+            links = links.union(confirm(texts.where("pieces > 1"), rows, "more-links"))
 
     joined = connected_components(links).toDF("rep", "component")
     ranked = classes.select("set_key", "rep").join(joined, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
