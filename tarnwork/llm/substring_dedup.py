@@ -301,7 +301,8 @@ def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest:
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null")).alias("rest")] if keep else []))
     found = shared_table(base.select("doc_id", "text").mapInArrow(_find_units(words), "mh long, doc_id long"), "units")
-    again = found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1")
+    # A table, so that the join below is between two plain exchanges and a hot minimizer can be split.
+    again = shared_table(found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1"), "repeated")
     hits = found.join(again.hint("merge"), "mh").groupBy("doc_id")
     hits = hits.agg(F.collect_set(F.when(F.col("k") <= shard, F.col("mh"))).alias("again"), F.collect_set(F.when(F.col("k") > shard, F.col("mh"))).alias("hot"))
     # One exchange of the documents serves all three uses.
