@@ -1,0 +1 @@
+"""Knowledge retrieval and analytics on Spark DataFrames."""
