@@ -130,7 +130,7 @@ def expand_acronyms(query: str) -> list[str]:
 
 def author_group(roles: Column) -> Column:
     """Composition of a ``; ``-separated list of roles."""
-    all_roles = F.filter(F.transform(F.split(F.coalesce(roles, F.lit("")), ";"), F.trim), lambda r: r != "")
+    all_roles = F.filter(F.transform(F.split(F.coalesce(roles, F.lit("")), ";"), lambda r: F.trim(r)), lambda r: r != "")
     count = lambda names: F.size(F.filter(all_roles, lambda r: r.isin(*names)))
     faculty, phd = count(FACULTY_ROLES), count(PHD_ROLES)
     core = faculty + phd
