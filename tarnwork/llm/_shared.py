@@ -41,11 +41,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and give them texts in small batches.
 
     On a cluster whose nodes lack that path, ship the package with ``--py-files``.
     """
+    if spark.conf.get(_BATCH) == "10000":  # the default, meant for numbers
+        spark.conf.set(_BATCH, _BATCH_ROWS)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

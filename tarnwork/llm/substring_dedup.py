@@ -92,45 +92,57 @@ def _candidates(batch: pa.RecordBatch, words: int, column: int) -> Iterator[tupl
             yield doc_id, hashes, start[hit], count[hit], key[hit]
 
 
-def _contents(words: int, names: list[str]):
-    """Distinct contents of the candidate units of each batch, with their earliest places."""
+#: Distinct contents that a task holds back, so that copies in its documents are sent once.
+_HELD = 50_000
+
+
+def _earliest(words: int, column: str, names: list[str], found: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[tuple, int]]], arrays: Callable[[list[tuple]], list[pa.Array]], out: list[str]):
+    """A pass over candidate documents that yields the keys of ``found`` with their earliest places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[int, int]] = {}
+
+        def told() -> pa.RecordBatch:
+            ids, starts = zip(*best.values(), strict=True)
+            columns = [*arrays(list(best)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64())]
+            best.clear()
+            return pa.RecordBatch.from_arrays(columns, names=out)
+
         for batch in batches:
-            best: dict[tuple[int, bytes], tuple[int, int]] = {}
-            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, names.index("again")):
-                symbols = (hashes >> np.uint64(32)).astype(np.uint32)
-                for start, count, key in zip(starts.tolist(), counts.tolist(), keys.view(np.int64).tolist(), strict=True):
-                    content = key, symbols[start : start + count + words - 1].tobytes()
-                    place = doc_id, start
-                    if content not in best or place < best[content]:
-                        best[content] = place
-            if best:
-                keys, contents = zip(*best, strict=True)
-                ids, starts = zip(*best.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(contents, pa.binary())], names=["mh", "doc_id", "start", "words"])
+            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, names.index(column)):
+                for key, at in found(hashes, starts, counts, keys.view(np.int64)):
+                    place = doc_id, at
+                    if key not in best or place < best[key]:
+                        best[key] = place
+                if len(best) > _HELD:
+                    yield told()
+        if best:
+            yield told()
 
     return run
 
 
+def _contents(words: int, names: list[str]):
+    """Distinct contents of candidate units."""
+
+    def found(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[tuple, int]]:
+        symbols = (hashes >> np.uint64(32)).astype(np.uint32)
+        for start, count, key in zip(starts.tolist(), counts.tolist(), keys.tolist(), strict=True):
+            yield (key, symbols[start : start + count + words - 1].tobytes()), start
+
+    return _earliest(words, "again", names, found, lambda keys: [pa.array([k for k, _ in keys], pa.int64()), pa.array([c for _, c in keys], pa.binary())], ["mh", "words", "doc_id", "start"])
+
+
 def _windows(words: int, names: list[str]):
-    """First places of the windows of hot units in each batch, by 128 bits of window hash."""
+    """Windows of hot units, by 128 bits of hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, names.index("hot")):
-                whole = ngram_hashes(hashes, words).view(np.int64)
-                for start, count, key in zip(starts.tolist(), counts.tolist(), keys.view(np.int64).tolist(), strict=True):
-                    for at in range(start, start + count):
-                        window = key, int(whole[at])
-                        if window not in best or (doc_id, at) < best[window]:
-                            best[window] = doc_id, at
-            if best:
-                columns = [*zip(*best, strict=True), *zip(*best.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["mh", "window", "doc_id", "start"])
+    def found(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[tuple, int]]:
+        whole = ngram_hashes(hashes, words).view(np.int64)
+        for start, count, key in zip(starts.tolist(), counts.tolist(), keys.tolist(), strict=True):
+            for at in range(start, start + count):
+                yield (key, int(whole[at])), at
 
-    return run
+    return _earliest(words, "hot", names, found, lambda keys: [pa.array([k for k, _ in keys], pa.int64()), pa.array([w for _, w in keys], pa.int64())], ["mh", "window", "doc_id", "start"])
 
 
 class SuffixAutomaton:
@@ -309,8 +321,8 @@ def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest:
     joined = base.join(hits.hint("merge"), "doc_id", "left")
 
     # The minimizers left here occur at most ``shard`` times.
-    contents = joined.where("size(again) > 0").mapInArrow(_contents(words, joined.columns), "mh long, doc_id long, start long, words binary")
-    contents = contents.repartition(partitions(spark), "mh").sortWithinPartitions("mh", "doc_id", "start")
+    contents = joined.where("size(again) > 0").mapInArrow(_contents(words, joined.columns), "mh long, words binary, doc_id long, start long")
+    contents = contents.repartition(partitions(spark), "mh").sortWithinPartitions("mh", "doc_id", "start").select("mh", "doc_id", "start", "words")
     judged = contents.mapInArrow(_judge(words), "doc_id long, start long, mask binary")
     first = joined.where("size(hot) > 0").mapInArrow(_windows(words, joined.columns), "mh long, window long, doc_id long, start long")
     first = first.groupBy("mh", "window").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("first.*", F.lit(b"").alias("mask"))
