@@ -1,5 +1,113 @@
-"""Queries."""
+"""Routing, weights, intent and confidence over queries made from events and conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates as D
+from ..functions import text as T
+from ..operators import retrieval as R
+from ..plans import confidence as C
+from ..plans import routing as Q
+from ..session import table
 from ._book import Book
 
 BOOK = Book()
+_ASKED = (
+    "who is jane doe", "papers about graph networks and their growth over time in many fields of research", "list all faculty", "compare gears and bolts", "gear prices", "how are rings and plates related", "Explain the methodology of the approach",
+    "who works on large scale network inference", "what datasets do we have?", "when was the lab founded", "upcoming meetings in 2027", "what happened in 2019", '"exact phrase" gear', "Jane Doe", "impact of widgets", "current state of 2024 gears", "jane doe's email", "how many postdocs", "tell me more about it", "bolts and plates or rings",
+)
+_VALUES = "q(query_id, query) AS (VALUES " + ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(_ASKED)) + ")"
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_ASKED)), "query_id int, query string")
+
+
+def _first(patterns: tuple) -> str:
+    return "coalesce(" + ", ".join("CASE WHEN regexp_matches(lower(trim(query)), '{}') THEN '{}' END".format(p.replace("'", "''"), k) for p, k in patterns) + ")"
+
+
+def _hits(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains(lower(query), '{w}')::INT" for w in words) + ")"
+
+
+@BOOK.add(f"""WITH {_VALUES}, m AS (SELECT *, {_first(Q.SIMPLE)} AS s, {_first(Q.COMPLEX)} AS c, len(list_filter(string_split_regex(trim(query), '\\s+'), lambda w: w <> '')) AS n,
+    least(({_hits(Q.KEYWORDS['high'])} + 0.5::DOUBLE * {_hits(Q.KEYWORDS['medium'])}) / greatest({_hits(Q.KEYWORDS['high'])} + {_hits(Q.KEYWORDS['medium'])} + {_hits(Q.KEYWORDS['low'])}, 1), 1.0::DOUBLE) AS k FROM q)
+    SELECT query_id, coalesce(s, c) AS pattern, CASE WHEN s IS NOT NULL THEN 'registry_only' WHEN c IS NOT NULL THEN 'rag_only' ELSE 'hybrid' END AS decision,
+    CASE WHEN s IS NOT NULL THEN CASE WHEN n <= 5 THEN 0.98::DOUBLE WHEN n > 10 THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END WHEN c IS NOT NULL THEN round(least(0.85::DOUBLE + CASE WHEN n > 10 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN k > 0.5 THEN 0.05::DOUBLE ELSE 0 END, 0.95::DOUBLE), 6) ELSE 0.5::DOUBLE END AS route_confidence FROM m""")
+def route_query(spark: SparkSession, d: str) -> DataFrame:
+    return Q.route(_asked(spark)).select("query_id", "pattern", "decision", "route_confidence")
+
+
+@BOOK.add("""WITH c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'structured' WHEN 1 THEN 'semantic' ELSE 'hybrid' END AS kind, (event_id % 11) / 10.0::DOUBLE AS belief, event_id % 5 AS t FROM events)
+    SELECT event_id, CASE WHEN kind = 'structured' AND belief >= 0.9 THEN 'registry_only' WHEN kind = 'semantic' THEN 'rag_only' WHEN kind = 'structured' AND belief < 0.7 THEN 'hybrid' WHEN t = 0 THEN 'rag_only' WHEN t = 1 THEN 'registry_only' WHEN t = 2 THEN 'rag_only' ELSE 'hybrid' END AS decision FROM c""")
+def route_classified(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    types = F.when(i % 5 == 0, F.array().cast("array<string>")).when(i % 5 == 1, F.array(F.lit("people"))).when(i % 5 == 2, F.array(F.lit("topics"))).when(i % 5 == 3, F.array(F.lit("people"), F.lit("topics"))).otherwise(F.array(F.lit("other")))
+    rows = table(spark, d, "events").select("event_id", F.lit("zzz").alias("query"), F.when(i % 3 == 0, "structured").when(i % 3 == 1, "semantic").otherwise("hybrid").alias("kind"), ((i % 11) / 10.0).alias("belief"), types.alias("types"))
+    return Q.route(rows, "query", "types", "kind", "belief").select("event_id", "decision")
+
+
+@BOOK.add(f"""WITH {_VALUES}, k AS (SELECT query_id, CASE WHEN regexp_matches(query, '{R.EXACT}') THEN 'exact_match' WHEN regexp_matches(query, '{R.NAME}') THEN 'name_lookup' WHEN regexp_matches(query, '{R.CONCEPTUAL}') THEN 'conceptual' ELSE 'mixed' END AS query_type FROM q)
+    SELECT query_id, query_type, CASE query_type WHEN 'exact_match' THEN 0.3::DOUBLE WHEN 'name_lookup' THEN 0.5::DOUBLE WHEN 'conceptual' THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS semantic FROM k""")
+def adaptive_weights(spark: SparkSession, d: str) -> DataFrame:
+    return R.adaptive_weights(_asked(spark)).select("query_id", "query_type", "semantic")
+
+
+@BOOK.add(f"""WITH {_VALUES}, y AS (SELECT *, list_transform(regexp_extract_all(query, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda x: CAST(x AS INT)) AS ys, lower(query) AS l FROM q)
+    SELECT query_id, ys AS years, CASE WHEN regexp_matches(l, '{D.INTENTS['historical']}') THEN 'historical' WHEN regexp_matches(l, '{D.INTENTS['future']}') THEN 'future' WHEN regexp_matches(l, '{D.INTENTS['current']}') THEN 'current' WHEN len(ys) > 0 AND list_max(ys) < 2026 THEN 'past' WHEN len(ys) > 0 AND list_min(ys) > 2026 THEN 'future'
+    WHEN list_contains(ys, 2026) THEN 'current' WHEN regexp_matches(l, '{D.INTENTS['past']}') THEN 'past' ELSE 'any' END AS intent FROM y""")
+def temporal_intent(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("query")
+    return _asked(spark).select("query_id", F.transform(D.years_in(q), lambda y: y.cast("int")).alias("years"), D.temporal_intent(q, 2026).alias("intent"))
+
+
+@BOOK.add("""WITH s AS (SELECT source, doc_id, CASE doc_id % 4 WHEN 0 THEN 'registry' WHEN 1 THEN 'document' WHEN 2 THEN 'web' ELSE 'inference' END AS type, (doc_id % 10) / 10.0::DOUBLE AS relevance FROM documents WHERE doc_id % 13 < 4),
+    a AS (SELECT source, count(*) AS n, avg(CASE type WHEN 'registry' THEN 1.0::DOUBLE WHEN 'document' THEN 0.8::DOUBLE WHEN 'web' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) AS q, avg(relevance) AS r, bool_or(type = 'registry') AS st, list(relevance ORDER BY doc_id)[1:3] AS near FROM s GROUP BY source),
+    f AS (SELECT source, n, round(0.15::DOUBLE * CASE WHEN n = 1 THEN 0.5::DOUBLE WHEN n <= 3 THEN 0.7::DOUBLE ELSE least(0.9::DOUBLE, 0.7::DOUBLE + n * 0.05::DOUBLE) END + 0.25::DOUBLE * q + 0.2::DOUBLE * CASE WHEN st THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END + 0.1::DOUBLE + 0.15::DOUBLE * list_sum(near) / len(near) + 0.15::DOUBLE * r, 6) AS score FROM a)
+    SELECT source, n, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.4 THEN 'low' ELSE 'uncertain' END AS level FROM f""")
+def confidence_score(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").where("doc_id % 13 < 4").select("source", "doc_id", F.when(k % 4 == 0, "registry").when(k % 4 == 1, "document").when(k % 4 == 2, "web").otherwise("inference").alias("type"), ((k % 10) / 10.0).alias("relevance"))
+    return C.confidence(rows, "source", similarity="relevance", order="doc_id")
+
+
+@BOOK.add("SELECT source, 'Based on ' || CAST(sum(n) AS VARCHAR) || ' sources (' || string_agg(n || ' ' || lang, ', ' ORDER BY lang) || ')' AS reason FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source")
+def confidence_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return C.reasons(table(spark, d, "documents"), "source", "lang")
+
+
+_INTENTS = {"person": (r"\bwho\b", r"\bjane\b"), "topic": (r"\bpapers?\b", r"\bnetworks?\b", r"\bmethodology\b"), "list": (r"\blist\b", r"\bhow many\b"), "thing": (r"\bgears?\b", r"\bbolts?\b")}
+
+
+@BOOK.add(f"WITH {_VALUES}, v AS (SELECT query_id, " + ", ".join("(" + " + ".join(f"regexp_matches(lower(query), '{p}')::INT" for p in ps) + f") AS {k}" for k, ps in _INTENTS.items()) + """ FROM q)
+    SELECT query_id, CASE WHEN greatest(person, topic, list, thing) = 0 THEN NULL WHEN person = greatest(person, topic, list, thing) THEN 'person' WHEN topic = greatest(topic, list, thing) THEN 'topic' WHEN list = greatest(list, thing) THEN 'list' ELSE 'thing' END AS intent,
+    round(greatest(person, topic, list, thing) / nullif(person + topic + list + thing, 0)::DOUBLE, 6) AS share FROM v""")
+def intent_vote(spark: SparkSession, d: str) -> DataFrame:
+    return Q.vote_intent(_asked(spark), _INTENTS).select("query_id", "intent", "share")
+
+
+@BOOK.add(f"WITH {_VALUES}, w AS (SELECT *, len(string_split_regex(trim(query), '\\s+')) AS n, lower(query) AS l FROM q) SELECT query_id, CASE WHEN regexp_matches(l, '\\b(compare|analy[sz]e|relationship|explain|why)\\b') OR n > 20 THEN 'complex' WHEN n > 8 THEN 'moderate' ELSE 'simple' END AS complexity, regexp_matches(l, '\\b(he|she|they|it|his|her|their|its|him|them|that|this|those|these)\\b|\\b(tell me more|what about|and also|as well)\\b') AS follows FROM w")
+def query_complexity(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark).select("query_id", Q.query_complexity(F.col("query")).alias("complexity"), Q.needs_reformulation(F.col("query")).alias("follows"))
+
+
+@BOOK.add(f"WITH {_VALUES} SELECT query_id, len(list_distinct(list_concat([query], list_transform(string_split_regex(query, '(?i)\\s+(?:and|or)\\s+'), lambda p: trim(p))))) AS n_parts, list_distinct(regexp_extract_all(query, '\\b[A-Z][a-z]+(?:\\s+[A-Z]\\.)?(?:\\s+[A-Z][a-z]+){{1,2}}\\b')) AS names FROM q")
+def subqueries_names(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark).select("query_id", F.size(Q.subqueries(F.col("query"))).alias("n_parts"), Q.person_names(F.col("query")).alias("names"))
+
+
+@BOOK.add("SELECT variant, position FROM (VALUES ('ai paint for ml', 0), ('artificial intelligence partificial intelligencent for ml', 1), ('ai paint for machine learning', 2)) t(variant, position)")
+def acronym_expansion(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(v, i) for i, v in enumerate(T.expand_acronyms("ai paint for ml"))], "variant string, position int")
+
+
+@BOOK.add("SELECT s_suppkey, s_name || ': member of NATION_' || s_nationkey AS summary, CASE WHEN s_suppkey % 4 = 0 THEN 'Associate' ELSE 'Jane' END AS name FROM supplier")
+def entity_texts(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.enrichment import clean_name
+
+    rows = table(spark, d, "supplier")
+    title = F.when(F.col("s_suppkey") % 4 == 0, "Prof. Associate").otherwise("Dr.  Jane")
+    return rows.select("s_suppkey", F.format_string("%s: member of NATION_%d", "s_name", "s_nationkey").alias("summary"), clean_name(title).alias("name"))

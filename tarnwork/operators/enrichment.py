@@ -61,28 +61,32 @@ def key_terms(rows: DataFrame, id_column: str, idf: DataFrame | None = None, k:
 
 def key_phrases(rows: DataFrame, id_column: str, n: int, idf: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Runs of two or three words with valid ends: substring counts, mean idf, length and phrase factors."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    plain = F.filter(F.split(F.regexp_replace(low, r"[^\w\s-]", " "), r"\s+"), lambda w: w != "")
-    base = rows.select(id_column, low.alias("low"), plain.alias("w"), F.size(key_tokens(F.col(text))).alias("total")).where(F.size("w") >= n)
-
-    def good(words: Column) -> Column:
-        test = valid_term(words[0]) & valid_term(words[n - 1])
-        return test & (valid_term(words[1]) | words[1].isin("of", "and", "for", "the")) if n == 3 else test
-
-    # Runs and counts are made inside the row: no text is copied per phrase or shuffled.
-    spans = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, F.lit(n)))
-    base = base.withColumn("runs", F.array_distinct(F.filter(spans, good)))
-    joined = lambda words: F.array_join(words, " ")
-    count = lambda p: ((F.length("low") - F.length(F.replace("low", p, F.lit("")))) / F.length(p)).cast("long")
-    counted = F.transform("runs", lambda r: F.struct(r.alias("words"), joined(r).alias("phrase"), count(joined(r)).alias("count")))
-    runs = base.select(id_column, "total", F.explode(counted).alias("r")).select(id_column, "total", "r.*").where("count > 0")
+    kind = dict(rows.dtypes)[id_column]
+    stop = frozenset(STOPWORDS)
+    fits = lambda w: len(w) >= 2 and w not in stop and not w.isdigit()
+    links = ("of", "and", "for", "the")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, body, total in zip(frame[id_column], frame["body"], frame["total"], strict=True):
+                low = body.lower()
+                words = re.sub(r"[^\w\s-]", " ", low).split()
+                seen = {w for w in zip(*(words[i:] for i in range(n)), strict=False) if fits(w[0]) and fits(w[-1]) and (n < 3 or fits(w[1]) or w[1] in links)}
+                counts = ((w, p, low.count(p)) for w in sorted(seen) for p in (" ".join(w),))
+                out += [(key, total, list(w), p, c) for w, p, c in counts if c]
+            yield pd.DataFrame(out, columns=[id_column, "total", "words", "phrase", "count"])
+
+    # Substring counts over whole texts are what Python strings do best.
+    base = rows.select(id_column, F.coalesce(F.col(text), F.lit("")).alias("body"), F.size(key_tokens(F.col(text))).alias("total"))
+    runs = base.mapInPandas(run, f"`{id_column}` {kind}, total int, words array<string>, phrase string, count long")
     if idf is not None:
         parts = runs.select(id_column, "phrase", F.explode("words").alias("term")).join(idf.select("term", "idf"), "term", "left")
         mean = parts.groupBy(id_column, "phrase").agg(F.avg(F.coalesce("idf", F.lit(2.0))).alias("mean_idf"))
         runs = runs.join(mean, [id_column, "phrase"])
     else:
         runs = runs.withColumn("mean_idf", F.lit(2.0))
-    return runs.select(id_column, "phrase", "count", F.round(F.col("count") / F.col("total") * F.col("mean_idf") * (1 + 0.1 * n) * 1.5, 6).alias("score"))
+    return runs.select(id_column, "phrase", "count", F.round(F.try_divide(F.col("count"), F.col("total")) * F.col("mean_idf") * (1 + 0.1 * n) * 1.5, 6).alias("score"))
 
 
 def classify_topics(rows: DataFrame, id_column: str, taxonomy: dict[str, dict[str, dict[str, float]]], k: int = 3, least: float = 0.1, text: str = "text") -> DataFrame:

@@ -1,0 +1,93 @@
+"""Multi-step query plans: a graph of steps with one parent each, run on the driver over DataFrame actions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+#: The quality below which fallbacks are tried, and how often.
+GATE, RETRIES = 0.6, 2
+
+
+@dataclass
+class Step:
+    id: str
+    action: str
+    query: str
+    parent: str | None = None
+
+
+@dataclass
+class Outcome:
+    step: str
+    rows: DataFrame | None
+    quality: float
+    error: str | None = None
+
+
+@dataclass
+class Execution:
+    outcomes: list[Outcome] = field(default_factory=list)
+    fallbacks: int = 0
+
+    @property
+    def quality(self) -> float:
+        return max((o.quality for o in self.outcomes), default=0.0)
+
+
+def in_order(steps: list[Step]) -> list[Step]:
+    """Parents before children, in the given order otherwise; steps on a cycle come last."""
+    done: set[str] = set()
+    left, out = list(steps), []
+    names = {s.id for s in steps}
+    while left:
+        ready = [s for s in left if s.parent is None or s.parent in done or s.parent not in names] or left
+        out += ready
+        done |= {s.id for s in ready}
+        left = [s for s in left if s not in ready]
+    return out
+
+
+def quality_of(n: int, structured: bool) -> float:
+    """0 for nothing, else a base and a little per row, at most 1."""
+    return 0.0 if n == 0 else min(1.0, (0.7 + 0.05 * n) if structured else (0.5 + 0.08 * n))
+
+
+def execute(steps: list[Step], actions: dict[str, Callable[[str, DataFrame | None], DataFrame]], fallbacks: list[str] = (), structured: tuple[str, ...] = ("registry",)) -> Execution:
+    """Run steps in order; while the mean quality is under the gate, try fallback actions on the first query.  A failing
+    fallback doesn't count as a retry; the final quality is the best step's."""
+    run, found = Execution(), {}
+
+    def one(step: Step) -> Outcome:
+        try:
+            rows = actions[step.action](step.query, found.get(step.parent))
+            n = len(rows.take(20))
+            found[step.id] = rows
+            return Outcome(step.id, rows, quality_of(n, step.action in structured))
+        except Exception as error:  # a failed step is an outcome, not the end of the plan
+            return Outcome(step.id, None, 0.0, str(error))
+
+    for step in in_order(steps):
+        run.outcomes.append(one(step))
+    for name in fallbacks:
+        mean = sum(o.quality for o in run.outcomes) / max(1, len(run.outcomes))
+        if mean >= GATE or run.fallbacks >= RETRIES:
+            break
+        outcome = one(Step(f"fallback:{name}", name, steps[0].query))
+        run.outcomes.append(outcome)
+        run.fallbacks += outcome.error is None
+    return run
+
+
+def is_simple(query: str) -> bool:
+    words = query.split()
+    return len(words) <= 8 and not any(w in query.lower() for w in (" and ", "compare", "versus", " then ", "relationship"))
+
+
+def make_plan(query: str) -> list[Step]:
+    """One step for a simple query; a lookup and a dependent search otherwise."""
+    if is_simple(query):
+        return [Step("s1", "search", query)]
+    return [Step("s1", "registry", query), Step("s2", "search", query, "s1")]
