@@ -21,8 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no text or no letter); a null ``lang`` becomes the prediction."""
     reachable(spark)
     model = fit(docs, ~held_out(F.col("doc_id")))
-    told = tag(docs, model, "_told").where(F.col("_told") != UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "_told")).select(*docs.columns)
+    name = "_told"
+    while name in docs.columns:
+        name += "_"
+    told = tag(docs, model, name).where(F.col(name) != UNKNOWN)
+    return told.withColumn("lang", F.coalesce("lang", name)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

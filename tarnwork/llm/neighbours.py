@@ -84,7 +84,7 @@ class VantageTree:
             exact = np.empty(len(r))
             for at in range(0, len(r), 20_000):
                 part = slice(at, at + 20_000)
-                exact[part] = np.sqrt(((queries[rows[r[part]]] - self.points[lo + c[part]]) ** 2).sum(axis=1))
+                exact[part] = np.sqrt(np.cumsum((queries[rows[r[part]]] - self.points[lo + c[part]]) ** 2, axis=1)[:, -1])  # summed in order
             for i in np.unique(r):
                 mine = r == i if len(rows) == 1 else slice(*np.searchsorted(r, (i, i + 1)))
                 row = rows[i]

@@ -34,7 +34,7 @@ from ._shared import shared_table
 
 #: The word pattern of this kind of tokenizer and its parts for ASCII texts; white space
 #: and letters as its regular expressions have them.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r \x1c-\x1fa-z0-9]+|[\x1c-\x1f]+")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _END = "</w>"
 _CACHE_MOST = 600_000

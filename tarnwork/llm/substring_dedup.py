@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest:
     SHA-256 in place of text and spans; with ``keep`` the columns of ``docs`` with the new text, and no others.
     Null text gives an empty text (with ``keep`` it stays null)."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null")).alias("rest")] if keep else []))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null")).alias("rest")] if keep else []))
     found = shared_table(base.select("doc_id", "text").mapInArrow(_find_units(words), "mh long, doc_id long"), "units")
     # A table, so that the join below is between two plain exchanges and a hot minimizer can be split.
     again = shared_table(found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1"), "repeated")
@@ -331,5 +331,5 @@ def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest:
     full = joined.join(judged.hint("merge"), "doc_id", "left").select("doc_id", "text", "again", "hot", "judged", *(["rest"] if keep else []))
     if keep:
         out = full.mapInArrow(_strip(words, emit, arrow), T.StructType([*T._parse_datatype_string(schema).fields, full.schema["rest"]]))
-        return out.select(*[F.when(~F.col("rest._null"), F.col("text")).alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
+        return out.select(*[F.when(~F.col("rest.__null"), F.col("text")).alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
     return full.mapInArrow(_strip(words, emit, arrow), schema).withColumn("doc_id", F.when(F.col("doc_id") != _NULL, F.col("doc_id")))
