@@ -87,8 +87,8 @@ def hybrid_fusion_candidate(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse_candidates(near, words, (0.7, 0.3), 10)
 
 
-@BOOK.add(f"""WITH a AS (WITH {_top(_Q, 40)} SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM top), 6) AS score FROM top),
-    b AS (WITH {_top(_O, 40)} SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM top), 6) AS score FROM top),
+@BOOK.add(f"""WITH a AS (WITH {_top(_Q, 40)} SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM top), 12) AS score FROM top),
+    b AS (WITH {_top(_O, 40)} SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM top), 12) AS score FROM top),
     u AS (SELECT doc_id, score, score * 1.0 AS part FROM a UNION ALL SELECT doc_id, score, score * 0.5 FROM b)
     SELECT doc_id, round(sum(part), 6) AS score, round(max(score), 6) AS best, count(*) AS n_queries FROM u GROUP BY doc_id ORDER BY 2 DESC, doc_id LIMIT 20""")
 def multi_query_expansion(spark: SparkSession, d: str) -> DataFrame:

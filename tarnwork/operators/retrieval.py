@@ -76,12 +76,12 @@ def bm25_scores(docs: DataFrame, query: str, id_column: str = "doc_id") -> DataF
     return base.select(id_column, score.alias("bm25"))
 
 
-def bm25_search(docs: DataFrame, query: str, k: int, id_column: str = "doc_id") -> DataFrame:
+def bm25_search(docs: DataFrame, query: str, k: int, id_column: str = "doc_id", digits: int = 6) -> DataFrame:
     """The k best positive scores, divided by the largest; nothing if no word of the query counts."""
     scores = bm25_scores(docs, query, id_column).where("bm25 > 0")
     best = scores.orderBy(F.desc("bm25"), id_column).limit(k)
     most = Window.partitionBy(F.lit(0))  # at most k rows
-    return best.withColumn("score", F.round(F.col("bm25") / F.max("bm25").over(most), 6)).select(id_column, "score")
+    return best.withColumn("score", F.round(F.col("bm25") / F.max("bm25").over(most), digits)).select(id_column, "score")
 
 
 def vector_scores(vectors: DataFrame, query: list[float], id_column: str = "vec_id") -> DataFrame:
@@ -125,7 +125,7 @@ def multi_query(docs: DataFrame, queries: list[tuple[str, float]], k: int, per_q
     """Weighted sums of the scores of several queries, with the number of queries that found a document."""
     parts = None
     for i, (query, weight) in enumerate(queries):
-        part = bm25_search(docs, query, per_query, id_column).select(id_column, F.lit(i).alias("query_no"), "score", (F.col("score") * weight).alias("part"))
+        part = bm25_search(docs, query, per_query, id_column, 12).select(id_column, F.lit(i).alias("query_no"), "score", (F.col("score") * weight).alias("part"))
         parts = part if parts is None else parts.union(part)
     found = parts.groupBy(id_column).agg(F.round(F.sum("part"), 6).alias("score"), F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n_queries"))
     return found.orderBy(F.desc("score"), id_column).limit(k)
