@@ -98,12 +98,15 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = 300, landmarks:
     """Fit on the rows of ``docs(doc_id, text, lang)`` for which ``learnable`` holds."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     # Hashes far beyond the wanted number can't be chosen: few rows of a language, however frequent, are ranked.
-    share = F.lit(float(3 * per_language + 100)) / F.count("*")
+    # The counts are one number per language, as is the model.
     keys = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    cuts = keys.groupBy("lang").agg((share * 2.0**64 - 2.0**63).alias("cut"))
+    counts = {lang: n for lang, n in keys.groupBy("lang").agg(F.count("*")).collect()}
+    if counts:
+        cuts = {lang: min(1.0, (3.0 * per_language + 100) / n) * 2.0**64 - 2.0**63 for lang, n in counts.items()}
+        cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+        keys = keys.where(F.col("key").cast("double") <= F.element_at(cut, F.col("lang")))
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = keys.join(cuts, "lang").where(F.col("key").cast("double") <= F.col("cut"))
-    chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    chosen = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
     # At most per_language ids of each language: small enough to broadcast.
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     found = sample.select("lang", "text").mapInArrow(_bits, "lang string, bits binary").collect()
