@@ -156,12 +156,16 @@ def drop_contained(names: Column) -> Column:
 def gazetteer(rows: DataFrame, id_column: str, surfaces: DataFrame, text: str = "text") -> DataFrame:
     """``(id, type, entities)``: the surfaces ``(surface, type, id)`` that a text holds as whole words.
 
-    A surface meets only the texts that have its first word (an equi-join on words); then the phrase is checked.
+    A surface meets only the texts that have its first word (an equi-join on words alone); the texts then come
+    once, with the surfaces that they may hold, and the phrases are checked in place.
     """
     names = surfaces.select(F.lower("surface").alias("surface"), "type", F.col("id").alias("entity")).withColumn("word", F.split("surface", r"[^\p{L}\p{N}]+")[0])
-    low = rows.select(id_column, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
-    words = low.select(id_column, "low", F.explode(F.array_distinct(F.split("low", r"[^\p{L}\p{N}]+"))).alias("word"))
-    hits = words.join(names, "word").where(F.concat(F.lit(" "), F.regexp_replace("low", r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), "surface", F.lit(" "))))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    words = rows.select(id_column, F.explode(F.array_distinct(F.split(low, r"[^\p{L}\p{N}]+"))).alias("word"))
+    maybe = words.join(names, "word").groupBy(id_column).agg(F.collect_set(F.struct("surface", "type", "entity")).alias("maybe"))
+    flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    held = rows.select(id_column, flat.alias("flat")).join(maybe, id_column)
+    hits = held.select(id_column, F.explode(F.filter("maybe", lambda m: F.col("flat").contains(F.concat(F.lit(" "), m["surface"], F.lit(" "))))).alias("m")).select(id_column, "m.*")
     return hits.groupBy(id_column, "type").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
 
 
