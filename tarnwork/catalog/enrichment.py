@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators import enrichment as E
-from ..session import table
+from ..session import documents, table
 from ._book import Book, sql_quoted
 
 BOOK = Book()
@@ -76,7 +76,7 @@ _IDF = f"{_DOCS}, toks AS (SELECT doc_id, list_transform({_KEY}, lambda w: lower
 
 def _ascii(spark: SparkSession, d: str) -> DataFrame:
     """Word boundaries differ between the engines outside ASCII, so other letters become a capital."""
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "Z").alias("text"))
+    return documents(spark, d).select("doc_id", F.regexp_replace("text", "[^ -~]", "Z").alias("text"))
 
 
 @BOOK.add(f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -142,7 +142,7 @@ def enrich_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @BOOK.add()
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return E.chunks(table(spark, d, "documents"), "doc_id")
+    return E.chunks(documents(spark, d), "doc_id")
 
 
 @BOOK.add()
@@ -178,10 +178,10 @@ def doc_type_infer(spark: SparkSession, d: str) -> DataFrame:
 def chunk_filters(spark: SparkSession, d: str) -> DataFrame:
     year = F.when(F.col("doc_id") % 4 != 0, 2010 + F.col("doc_id") % 10)
     keep = (F.col("lang") == "en") & (year.isNull() | (year == 2015)) & T.glob_matches(F.col("source"), "SRC1*")
-    return table(spark, d, "documents").where(keep).select("doc_id")
+    return documents(spark, d).where(keep).select("doc_id")
 
 
 @BOOK.add("SELECT doc_id, source || CASE WHEN doc_id % 3 = 0 THEN ' / @01:02' WHEN doc_id % 3 = 1 THEN ' / p.' || doc_id ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' / §' || lang ELSE '' END AS citation FROM documents")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", T.citation(F.col("source"), F.when(k % 3 == 0, "01:02"), F.when(k % 3 == 1, k), F.when(k % 2 == 0, F.col("lang"))).alias("citation"))
+    return documents(spark, d).select("doc_id", T.citation(F.col("source"), F.when(k % 3 == 0, "01:02"), F.when(k % 3 == 1, k), F.when(k % 2 == 0, F.col("lang"))).alias("citation"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import retrieval as R
-from ..session import table
+from ..session import documents, table
 from ._book import Book, sql_bm25, sql_dot, sql_quoted, sql_tokens
 
 BOOK = Book()
@@ -26,12 +26,12 @@ def _top(query: list[str], k: int, suffix: str = "") -> str:
 
 @BOOK.add(f"WITH {_top(_Q, 20)} SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM top), 6) AS score FROM top")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_search(table(spark, d, "documents"), QUERY, 20)
+    return R.bm25_search(documents(spark, d), QUERY, 20)
 
 
 @BOOK.add(f"WITH {sql_bm25(_Q)} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored")
 def bm25_all_scores(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_scores(table(spark, d, "documents"), QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return R.bm25_scores(documents(spark, d), QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @BOOK.add(f"WITH {_SEM} SELECT vec_id, label, score FROM sem ORDER BY score DESC, vec_id LIMIT 20")
@@ -73,7 +73,7 @@ def vector_entity_boost(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_fusion_full(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     near = R.vector_search(e, R.vector_of(e, PIVOT), 30).select(F.col("vec_id").alias("id"), "score")
-    words = R.bm25_search(table(spark, d, "documents"), QUERY, 30).withColumnRenamed("doc_id", "id")
+    words = R.bm25_search(documents(spark, d), QUERY, 30).withColumnRenamed("doc_id", "id")
     return R.fuse_full(words, near, (0.7, 0.3), 10, least=0.05)
 
 
@@ -83,7 +83,7 @@ def hybrid_fusion_full(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_fusion_candidate(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     near = R.vector_search(e, R.vector_of(e, PIVOT), 80).select(F.col("vec_id").alias("id"), "score")
-    words = R.bm25_scores(table(spark, d, "documents"), QUERY).withColumnRenamed("doc_id", "id")
+    words = R.bm25_scores(documents(spark, d), QUERY).withColumnRenamed("doc_id", "id")
     return R.fuse_candidates(near, words, (0.7, 0.3), 10)
 
 
@@ -92,14 +92,14 @@ def hybrid_fusion_candidate(spark: SparkSession, d: str) -> DataFrame:
     u AS (SELECT doc_id, score, score * 1.0 AS part FROM a UNION ALL SELECT doc_id, score, score * 0.5 FROM b)
     SELECT doc_id, round(sum(part), 6) AS score, round(max(score), 6) AS best, count(*) AS n_queries FROM u GROUP BY doc_id ORDER BY 2 DESC, doc_id LIMIT 20""")
 def multi_query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    return R.multi_query(table(spark, d, "documents"), [(QUERY, 1.0), (OTHER, 0.5)], 20, 40)
+    return R.multi_query(documents(spark, d), [(QUERY, 1.0), (OTHER, 0.5)], 20, 40)
 
 
 @BOOK.add(f"""WITH {_top(_Q, 60)}, c AS (SELECT doc_id AS id, round(bm25 / (SELECT max(bm25) FROM top), 6) AS score FROM top ORDER BY 2 DESC, 1 LIMIT 30),
     r AS (SELECT id, score, len(list_intersect(list_distinct({sql_tokens('text')}), [{sql_quoted(sorted(set(_Q)))}])) - 2.0 AS raw FROM c JOIN documents ON id = doc_id)
     SELECT id, round(0.4 * score + 0.6 / (1 + exp(-raw)), 6) AS score FROM r ORDER BY 2 DESC, 1 LIMIT 10""")
 def rerank_sigmoid_mix(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     found = R.bm25_search(docs, QUERY, 60).withColumnRenamed("doc_id", "id")
     full = found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     raw = F.size(F.array_intersect(T.tokens(F.col("text")), F.array(*map(F.lit, sorted(set(_Q)))))) - 2.0
@@ -115,7 +115,7 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add()
 def hybrid_search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     raw = F.size(F.array_intersect(T.tokens(F.col("text")), F.array(*map(F.lit, sorted(set(_Q)))))) - 2.0
     return R.search(docs, e, QUERY, R.vector_of(e, PIVOT, "id"), k=10, raw=raw)
 

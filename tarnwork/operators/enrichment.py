@@ -95,17 +95,19 @@ def classify_topics(rows: DataFrame, id_column: str, taxonomy: dict[str, dict[st
     ``taxonomy``: topic -> {"keywords": {word: weight}, "phrases": {phrase: weight}}, a small parameter.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"\b\w+\b"), F.lit(0))
+
+    def times(term: str) -> Column:
+        return F.regexp_count("low", F.lit(r"\b" + re.escape(term) + r"\b"))
 
     def score(content: dict[str, dict[str, float]]) -> Column:
         total = F.lit(0.0)
         for word, weight in content.get("keywords", {}).items():
-            total = total + weight * _times(F.col("w"), word)
+            total = total + weight * times(word)
         for phrase, weight in content.get("phrases", {}).items():
-            total = total + 2.0 * weight * F.regexp_count("low", F.lit(r"\b" + re.escape(phrase) + r"\b"))
-        return F.when(F.size("w") > 0, total / F.size("w")).otherwise(0.0)
+            total = total + 2.0 * weight * times(phrase)
+        return F.when(F.col("n") > 0, total / F.col("n")).otherwise(0.0)
 
-    rows = rows.select(id_column, low.alias("low"), words.alias("w"))
+    rows = rows.select(id_column, low.alias("low")).withColumn("n", F.regexp_count("low", F.lit(r"\b\w+\b")))
     scored = rows.select(id_column, F.array(*[F.struct(score(c).alias("score"), F.lit(t).alias("topic")) for t, c in taxonomy.items()]).alias("s"))
     scored = scored.withColumn("most", F.array_max(F.transform("s", lambda x: x["score"])))
     topics = scored.select(id_column, "most", F.explode("s").alias("x")).where("x.score > 0")
@@ -115,10 +117,6 @@ def classify_topics(rows: DataFrame, id_column: str, taxonomy: dict[str, dict[st
     return topics.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _times(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
-
-
 def grant_ids(text: Column) -> Column:
     """Grant numbers of eight agencies, prefixed, in capitals, distinct and sorted."""
     found = []

@@ -7,6 +7,7 @@ nothing is exploded or shuffled but one row of corpus statistics per task.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -41,10 +42,23 @@ def adaptive_weights(queries: DataFrame, query: str = "query") -> DataFrame:
     return queries.withColumn("query_type", kind).withColumn("semantic", pick(0)).withColumn("bm25", pick(1))
 
 
+def _flat(text: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), T.PUNCTUATION, "")
+
+
+def _length(flat: Column) -> Column:
+    """Tokens of more than two characters, counted without making them."""
+    return F.regexp_count(flat, F.lit(r"\S{3,}"))
+
+
+def _frequency(flat: Column, word: str) -> Column:
+    return F.regexp_count(flat, F.lit(rf"(?<!\S){re.escape(word)}(?!\S)"))
+
+
 def corpus_statistics(docs: DataFrame, words: list[str]) -> dict:
     """Documents, mean length and document frequencies of ``words``: one small row."""
-    base = docs.select(T.tokens(F.col("text")).alias("t"))
-    row = base.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"), *[F.count_if(F.array_contains("t", w)).alias(f"df{i}") for i, w in enumerate(words)]).first()
+    base = docs.select(_flat(F.col("text")).alias("flat"))
+    row = base.agg(F.count("*").alias("n"), F.avg(_length(F.col("flat"))).alias("mean"), *[F.count_if(_frequency(F.col("flat"), w) > 0).alias(f"df{i}") for i, w in enumerate(words)]).first()
     return {"n": row["n"], "mean": row["mean"] or 0.0, "df": {w: row[f"df{i}"] for i, w in enumerate(words)}}
 
 
@@ -54,10 +68,6 @@ def mean_idf(docs: DataFrame, n: int) -> float:
     return seen.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
 
 
-def _frequency(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
-
-
 def bm25_scores(docs: DataFrame, query: str, id_column: str = "doc_id") -> DataFrame:
     """Rows ``(doc_id, bm25)`` for every document; repeated query words count repeatedly, and a negative
     inverse document frequency becomes a quarter of the vocabulary's mean."""
@@ -67,19 +77,19 @@ def bm25_scores(docs: DataFrame, query: str, id_column: str = "doc_id") -> DataF
     if any(x < 0 for x in idf.values()):
         floor = EPSILON * mean_idf(docs, stats["n"])
         idf = {w: x if x >= 0 else floor for w, x in idf.items()}
-    base = docs.select(F.col(id_column), T.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    base = docs.select(F.col(id_column), _flat(F.col("text")).alias("flat")).withColumn("dl", _length(F.col("flat")))
     score = F.lit(0.0)
     for w in counts:
         if w in idf:
-            tf = _frequency(F.col("t"), w)
+            tf = _frequency(F.col("flat"), w)
             score = score + counts[w] * idf[w] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stats["mean"])))
     return base.select(id_column, score.alias("bm25"))
 
 
 def bm25_search(docs: DataFrame, query: str, k: int, id_column: str = "doc_id", digits: int = 6) -> DataFrame:
     """The k best positive scores, divided by the largest; nothing if no word of the query counts."""
-    scores = bm25_scores(docs, query, id_column).where("bm25 > 0")
-    best = scores.orderBy(F.desc("bm25"), id_column).limit(k)
+    # The cut comes first: a filter below it would count every text twice.
+    best = bm25_scores(docs, query, id_column).orderBy(F.desc("bm25"), id_column).limit(k).where("bm25 > 0")
     most = Window.partitionBy(F.lit(0))  # at most k rows
     return best.withColumn("score", F.round(F.col("bm25") / F.max("bm25").over(most), digits)).select(id_column, "score")
 
