@@ -30,7 +30,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 @BOOK.add("SELECT 'p' || p_partkey AS id, 1.0::DOUBLE AS score FROM part WHERE p_name = 'hot gear' AND p_type = 'PROMO' ORDER BY id LIMIT 5")
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     found = I.search(I.build(_entries(spark, d)), "hot gear PROMO", 200, ["dataset"])
-    return found.where("score >= 0.999999").orderBy("id").limit(5).select("id", "score")
+    return found.where("text = 'hot gear PROMO'").orderBy("id").limit(5).select("id", "score")
 
 
 @BOOK.add()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,3 +151,45 @@ def ngrams(words: Column, n: int) -> Column:
     """Space-joined runs of ``n`` successive words."""
     last = F.size(words) - n
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def chunk_filter(doc_type: str | None = None, year: int | None = None, file_pattern: str | None = None) -> Column:
+    """Conjunction over the columns ``doc_type, date_year, source_file``: missing metadata is inferred from the file
+    name, and a year that can't be inferred passes."""
+    file, test = F.coalesce("source_file", F.lit("")), F.lit(True)
+    if doc_type:
+        test = test & (F.lower(F.coalesce(F.nullif(F.col("doc_type"), F.lit("")), infer_doc_type(file))) == doc_type.lower())
+    if year:
+        known = F.coalesce(F.nullif(F.col("date_year"), F.lit(0)), year_of_filename(file))
+        test = test & (known.isNull() | (known == int(year)))
+    if file_pattern:
+        test = test & glob_matches(file, file_pattern)
+    return test
+
+
+def expand_synonyms(query: str, synonyms: dict[str, tuple[str, ...]], most: int = 2) -> list[str]:
+    """The query, its acronym variants, and variants with one word replaced by each of its first synonyms; distinct."""
+    out, words = expand_acronyms(query), query.lower().split()
+    for i, word in enumerate(words):
+        out += [" ".join([*words[:i], other, *words[i + 1 :]]) for other in synonyms.get(word, ())[:most]]
+    return list(dict.fromkeys(out))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity of two strings; there is no JVM function for it."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
+def keyed_enrichment(name: Column, description: Column, table: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]]) -> Column:
+    """Aliases and keywords of all patterns of ``table`` (regex -> category, aliases, keywords) that a name and its
+    description match, and the first one's category."""
+    low = F.lower(F.concat_ws(" ", name, description))
+    array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    hits = F.filter(F.array(*[F.when(F.rlike(low, F.lit(p)), F.struct(F.lit(c).alias("category"), array(a).alias("aliases"), array(k).alias("keywords"))) for p, (c, a, k) in table.items()]), lambda h: h.isNotNull())
+    flat = lambda f: F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h[f]))))
+    return F.struct(F.try_element_at(hits, F.lit(1))["category"].alias("category"), flat("aliases").alias("aliases"), flat("keywords").alias("keywords"))

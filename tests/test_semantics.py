@@ -262,3 +262,46 @@ def test_correct_and_ngrams(spark):
     assert one(spark, T.similarity_ratio(F.lit(""), F.lit(""))) == 1.0 and one(spark, T.sanitize(F.lit(float("inf")))) is None
     assert one(spark, T.citation(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(""))) == "Unknown"
     assert len(one(spark, T.make_id("doc", F.lit("x" * 100)))) == 59
+
+
+def test_chunk_filter(spark):
+    rows = spark.createDataFrame([(1, "report", 2020, "a.txt"), (2, None, None, "weekly_2021.txt"), (3, "", None, "report.txt"), (4, "Report", 2021, "b_report.pdf")], "id long, doc_type string, date_year int, source_file string")
+    ids = lambda **kw: [r.id for r in rows.where(T.chunk_filter(**kw)).orderBy("id").collect()]
+    assert ids() == [1, 2, 3, 4] and ids(doc_type="report") == [1, 3, 4] and ids(year=2021) == [2, 3, 4] and ids(file_pattern="*report*") == [3, 4] and ids(doc_type="meeting", year=2021) == [2]
+
+
+def test_similarity_synonyms_and_keyed_enrichment(spark):
+    import difflib
+
+    assert T.expand_synonyms("find ai work", {"find": ("get", "seek", "spot")}) == ["find ai work", "find artificial intelligence work", "get ai work", "seek ai work"]
+    assert one(spark, T.sequence_ratio(F.lit("Ann Lee"), F.lit("An Leigh"))) == difflib.SequenceMatcher(None, "Ann Lee", "An Leigh").ratio()
+    table = {"reddit|tweets": ("social", ("posts",), ("b", "a")), "archive": ("store", (), ("a",))}
+    found = one(spark, T.keyed_enrichment(F.lit("Reddit archive"), F.lit(None).cast("string"), table))
+    assert (found.category, found.aliases, found.keywords) == ("social", ["posts"], ["a", "b"])
+    assert one(spark, T.keyed_enrichment(F.lit("x"), F.lit("y"), table)).category is None
+    assert one(spark, D.month_of_filename(F.lit("notes_March_2021.txt"))) == 3 and one(spark, D.month_of_filename(F.lit("2021-11-notes"))) == 11
+
+
+def test_voices(spark, tmp_path):
+    from tarnwork.operators import voices
+
+    (tmp_path / "v.json").write_text(json.dumps({"compound_types": {"a_one": {"name": "One", "tensions": ["b_two"]}, "b_two": {"name": "Two", "tensions": ["a_one"]}, "c": {"name": "C", "tensions": []}}, "individuals": {"x": {"name": "X"}}}))
+    types, people = voices.load(spark, str(tmp_path / "v.json"))
+    assert types.count() == 3 and people.first().name == "X"
+    for seed in range(4):
+        chosen = voices.choose(types, 2, seed)
+        assert chosen == voices.choose(types, 2, seed) and len(set(chosen)) == 2
+        if chosen[0] != "c":
+            assert set(chosen) == {"a_one", "b_two"}
+
+
+def test_index_round_trip(spark, tmp_path):
+    from tarnwork.operators import index
+
+    rows = spark.createDataFrame([("a", "t", "red gear", 1), ("a", "t", "other", 2), ("b", "u", "blue bolt", 1)], "id string, doc_type string, text string, ord int")
+    made = index.build(rows)
+    index.save(made, str(tmp_path / "i"))
+    held = index.load(spark, str(tmp_path / "i"))
+    assert {r.id: r.text for r in held.collect()} == {"a": "red gear", "b": "blue bolt"}
+    assert index.search(held, "gear red", 1).first().id == "a" and [r.id for r in index.similar(held, "a", 5).collect()] == ["b"]
+    assert index.search(held, "gear red", 5, doc_types=["u"]).count() == 1
