@@ -83,7 +83,7 @@ class WordEncoder:
                     block.append(_ASCII.findall(text.lower()))
                 else:
                     block.append(_ANY.findall(unicodedata.normalize("NFC", text).lower()))
-            new = list({w for words in block if isinstance(words, list) for w in words if w not in kept})
+            new = list(set().union(*(words for words in block if isinstance(words, list))).difference(kept))
             for k in range(0, len(new), 20_000):
                 self._learn(new[k : k + 20_000])
             for words in block:
