@@ -22,7 +22,7 @@ _SCORED = f"""{_ROWS}, b AS (SELECT greatest(1, quantile_cont(title_word_count,
     regexp_matches(lower(venue), 'science|nature|pnas|proceedings of the national academy|cell|american sociological review')::INT AS signal, least(profile_link_count / 3.0::DOUBLE, 1) AS linked FROM worded, bounds),
     g AS (SELECT *, least(greatest(0.84::DOUBLE * verbosity + 0.16::DOUBLE * marks, 0), 1) AS ts, least(0.45::DOUBLE * breadth + 0.25::DOUBLE * diversity + 0.20::DOUBLE * signal + 0.10::DOUBLE * linked, 1) AS rc FROM f),
     scored AS (SELECT *, least(0.60::DOUBLE * rc + 0.25::DOUBLE * diversity + 0.15::DOUBLE * linked, 1) AS ra FROM g)"""
-_GROUP = """CASE WHEN lab_author_roles = 'Postdoc' THEN 'No KLab core author' WHEN lab_author_roles = 'PhD Student' THEN 'Solo PhD student' WHEN lab_author_roles = 'Director' THEN 'Solo faculty'
+_GROUP = """CASE WHEN lab_author_roles = 'Postdoc' THEN 'No lab core author' WHEN lab_author_roles = 'PhD Student' THEN 'Solo PhD student' WHEN lab_author_roles = 'Director' THEN 'Solo faculty'
     WHEN lab_author_roles = 'Affiliate Faculty; Director' THEN 'Faculty + Faculty' ELSE 'Mixed (faculty + PhD)' END"""
 _QUAD = f"""{_SCORED}, cut AS (SELECT median(round(ts, 9)) AS tc, median(round(rc, 9)) AS cc FROM scored), quad AS (SELECT *, CASE WHEN round(ts, 9) <= tc AND round(rc, 9) > cc THEN 'Hidden Gem' WHEN round(ts, 9) > tc AND round(rc, 9) > cc THEN 'Aligned Surprise' WHEN round(ts, 9) <= tc THEN 'Routine' ELSE 'False Positive' END AS quadrant, {_GROUP} AS composition FROM scored, cut)"""
 

@@ -130,15 +130,15 @@ def expand_acronyms(query: str) -> list[str]:
     return [query, *(low.replace(short, full) for short, full in ACRONYMS.items() if short in low.split())]
 
 
-def author_group(roles: Column) -> Column:
-    """Composition of a ``; ``-separated list of roles."""
+def author_group(roles: Column, lab: str = "lab") -> Column:
+    """Composition of a ``; ``-separated list of roles; ``lab`` is what the labels call the group."""
     all_roles = F.filter(F.transform(F.split(F.coalesce(roles, F.lit("")), ";"), lambda r: F.trim(r)), lambda r: r != "")
     count = lambda names: F.size(F.filter(all_roles, lambda r: r.isin(*names)))
     faculty, phd = count(FACULTY_ROLES), count(PHD_ROLES)
     core = faculty + phd
     return (
-        F.when(core == 0, "No KLab core author").when((core == 1) & (phd == 1), "Solo PhD student").when((core == 1) & (faculty == 1), "Solo faculty")
-        .when((faculty >= 2) & (phd == 0), "Faculty + Faculty").when((faculty >= 1) & (phd >= 1), "Mixed (faculty + PhD)").otherwise("Other KLab author config")
+        F.when(core == 0, f"No {lab} core author").when((core == 1) & (phd == 1), "Solo PhD student").when((core == 1) & (faculty == 1), "Solo faculty")
+        .when((faculty >= 2) & (phd == 0), "Faculty + Faculty").when((faculty >= 1) & (phd >= 1), "Mixed (faculty + PhD)").otherwise(f"Other {lab} author config")
     )
 
 

@@ -17,7 +17,7 @@ SIMPLE = (
 )
 COMPLEX = (
     (r"papers?\s+(?:about|on|regarding)\s+.+", "semantic_search"), (r"publications?\s+(?:about|on|regarding)\s+.+", "semantic_search"), (r"research\s+(?:about|on|regarding)\s+.+", "semantic_search"),
-    (r"how\s+does\s+(?:the\s+lab|our\s+lab|chorus)\s+.+", "conceptual"), (r"what\s+(?:approach|methodology|methods?)\s+.+", "conceptual"), (r"explain\s+.+", "conceptual"), (r"describe\s+(?:the\s+)?(?:research\s+)?(?:approach|methodology|process)\s+.+", "conceptual"),
+    (r"how\s+does\s+(?:the\s+lab|our\s+lab|this\s+assistant)\s+.+", "conceptual"), (r"what\s+(?:approach|methodology|methods?)\s+.+", "conceptual"), (r"explain\s+.+", "conceptual"), (r"describe\s+(?:the\s+)?(?:research\s+)?(?:approach|methodology|process)\s+.+", "conceptual"),
     (r"(?:compare|contrast|difference)\s+.+\s+(?:and|with|vs)\s+.+", "comparison"), (r"who\s+(?:works?\s+on|studies|researches?)\s+.{15,}", "topic_search"), (r"researchers?\s+(?:working\s+on|studying|in)\s+.{15,}", "topic_search"),
     (r"what\s+do\s+.+\s+and\s+.+\s+have\s+in\s+common", "multi_hop"), (r"how\s+(?:are|do)\s+.+\s+and\s+.+\s+(?:related|connected|collaborate)", "multi_hop"),
 )
