@@ -45,7 +45,7 @@ _CAP = r"[^\W\d_a-zа-яà-ÿ][^\W\d_]+"
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+    "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w])",
@@ -217,11 +217,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-    for m in _NUMERIC.finditer(text):
+    at = 0
+    while m := _NUMERIC.search(text, at):
+        at = m.end()
         if valid(m.lastgroup, m[0]):
-            found.append((m.start(), m.end(), m.lastgroup))
-        elif m.lastgroup == "card":
-            found += _card_within(m[0], m.start())
+            found.append((m.start(), at, m.lastgroup))
+        elif m.lastgroup == "card":  # what is no card may hold one, and other kinds beside it
+            within = _card_within(m[0], m.start())
+            found += within
+            at = within[0][1] if within else m.start() + len(re.match("[0-9]+", m[0])[0])
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if valid("iban", m[0])]
     for m in _PERSON.finditer(text):
         group = "titled" if m["titled"] else "listed"

@@ -281,6 +281,8 @@ def test_surrogates_keep_format_and_coreference():
     assert phones[0] == phones[1]
     card = next(r for r in rows if r["kind"] == "card")
     assert pii.luhn(card["surrogate"].replace(" ", "")) and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card["surrogate"])
+    kinds = [r["kind"] for r in pii.surrogates("(636) 555-9331 4913187196670932 53.121.55.90, 1234 5678 9012 3456 53.121.55.91 then 1234-5678-9012-34566 656-555-1234", KEY)[1]]
+    assert kinds == ["phone", "card", "ip", "ip", "phone"]
     assert pii.surrogates("plain words 12 and 3.14 only", KEY) == ("plain words 12 and 3.14 only", [])
 
 
