@@ -17,7 +17,7 @@ PIVOT = 7
 _COS = f"round({sql_dot('a.v', 'b.v')} / (sqrt({sql_dot('a.v', 'a.v')}) * sqrt({sql_dot('b.v', 'b.v')})), 6)"
 _VECS = "vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _SEM = f"{_VECS}, sem AS (SELECT a.vec_id, a.label, {_COS} AS score FROM vecs a, (SELECT * FROM vecs WHERE vec_id = {PIVOT}) b)"
-_Q, _O = R.query_tokens(None, QUERY), R.query_tokens(None, OTHER)
+_Q, _O = R.query_tokens(QUERY), R.query_tokens(OTHER)
 
 
 def _top(query: list[str], k: int, suffix: str = "") -> str:

@@ -26,7 +26,7 @@ NAME = r"(?i)^(who is|what is|tell me about|find)\s+[A-Z][a-z]+(\s+[A-Z][a-z]+)*
 CONCEPTUAL = r"(?i)\b(how|why|what is the|explain|describe|compare|difference|relationship|concept|theory|method|approach|impact|effect|trend|overview|research on|studies about|work on|field of)\b"
 
 
-def query_tokens(spark, query: str) -> list[str]:
+def query_tokens(query: str) -> list[str]:
     low = query.lower().translate(str.maketrans("", "", T.PUNCTUATION))
     return [w for w in low.split() if len(w) > 2]
 
@@ -71,7 +71,7 @@ def mean_idf(docs: DataFrame, n: int) -> float:
 def bm25_scores(docs: DataFrame, query: str, id_column: str = "doc_id") -> DataFrame:
     """Rows ``(doc_id, bm25)`` for every document; repeated query words count repeatedly, and a negative
     inverse document frequency becomes a quarter of the vocabulary's mean."""
-    counts = Counter(query_tokens(None, query))
+    counts = Counter(query_tokens(query))
     stats = corpus_statistics(docs, list(counts))
     idf = {w: math.log(stats["n"] - df + 0.5) - math.log(df + 0.5) for w, df in stats["df"].items() if df}
     if any(x < 0 for x in idf.values()):
