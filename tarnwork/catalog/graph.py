@@ -129,11 +129,16 @@ def graph_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @BOOK.add(f"WITH {_MEMBERS} SELECT edge_id, list_sort(list(DISTINCT node_id)) AS nodes, list_sort(list(DISTINCT node_id) FILTER (role IN ('agent', 'input'))) AS sources FROM m WHERE edge_id < 500 GROUP BY edge_id")
-def edge_node_sets(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d).where("id < 500")
+def edge_node_sets(spark: SparkSession, d: str, part: str = "id < 500") -> DataFrame:
+    edges = _edges(spark, d).where(part)
     return edges.select(F.col("id").alias("edge_id"), G.all_nodes(F.col("agents"), F.col("inputs"), F.col("outputs"), F.col("context")).alias("nodes"), F.array_sort(F.array_union("agents", "inputs")).alias("sources"))
 
 
+@BOOK.add(BOOK.whole("edge_node_sets", " WHERE edge_id < 500"))
+def edge_node_sets_all(spark: SparkSession, d: str) -> DataFrame:
+    return edge_node_sets(spark, d, "true")
+
+
 @BOOK.add("SELECT o_custkey AS id, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey")
 def node_upsert(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))

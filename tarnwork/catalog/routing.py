@@ -68,12 +68,17 @@ def temporal_intent(spark: SparkSession, d: str) -> DataFrame:
     a AS (SELECT source, count(*) AS n, avg(CASE type WHEN 'registry' THEN 1.0::DOUBLE WHEN 'document' THEN 0.8::DOUBLE WHEN 'web' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) AS q, avg(relevance) AS r, bool_or(type = 'registry') AS st, list(relevance ORDER BY doc_id)[1:3] AS near FROM s GROUP BY source),
     f AS (SELECT source, n, round(0.15::DOUBLE * CASE WHEN n = 1 THEN 0.5::DOUBLE WHEN n <= 3 THEN 0.7::DOUBLE ELSE least(0.9::DOUBLE, 0.7::DOUBLE + n * 0.05::DOUBLE) END + 0.25::DOUBLE * q + 0.2::DOUBLE * CASE WHEN st THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END + 0.1::DOUBLE + 0.15::DOUBLE * list_sum(near) / len(near) + 0.15::DOUBLE * r, 6) AS score FROM a)
     SELECT source, n, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.4 THEN 'low' ELSE 'uncertain' END AS level FROM f""")
-def confidence_score(spark: SparkSession, d: str) -> DataFrame:
+def confidence_score(spark: SparkSession, d: str, part: str = "doc_id % 13 < 4") -> DataFrame:
     k = F.col("doc_id")
-    rows = table(spark, d, "documents").where("doc_id % 13 < 4").select("source", "doc_id", F.when(k % 4 == 0, "registry").when(k % 4 == 1, "document").when(k % 4 == 2, "web").otherwise("inference").alias("type"), ((k % 10) / 10.0).alias("relevance"))
+    rows = table(spark, d, "documents").where(part).select("source", "doc_id", F.when(k % 4 == 0, "registry").when(k % 4 == 1, "document").when(k % 4 == 2, "web").otherwise("inference").alias("type"), ((k % 10) / 10.0).alias("relevance"))
     return C.confidence(rows, "source", similarity="relevance", order="doc_id")
 
 
+@BOOK.add(BOOK.whole("confidence_score", " WHERE doc_id % 13 < 4"))
+def confidence_score_all(spark: SparkSession, d: str) -> DataFrame:
+    return confidence_score(spark, d, "true")
+
+
 @BOOK.add("SELECT source, 'Based on ' || CAST(sum(n) AS VARCHAR) || ' sources (' || string_agg(n || ' ' || lang, ', ' ORDER BY lang) || ')' AS reason FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source")
 def confidence_reasons(spark: SparkSession, d: str) -> DataFrame:
     return C.reasons(table(spark, d, "documents"), "source", "lang")
