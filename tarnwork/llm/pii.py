@@ -26,6 +26,7 @@ import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,23 +44,32 @@ _LIST_OF = {name: key for key, names in NAMES.items() for name in names}
 _TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Sir|Madam|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Sra?|Doña|Don)\.?"
 _CAP = r"[^\W\d_a-zа-яà-ÿ][^\W\d_]+"
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9_.+%-])(?:[^\W\d_⺀-퟿＀-￯]|[0-9_])(?:[^\W⺀-퟿＀-￯]|[.%+-])*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|(?<![0-9]\.)(?:0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{8}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8}|[2-9][0-9]{9})(?!\.[0-9]))(?![\w])",
 }
 _NUMERIC = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k in ("card", "ip", "ssn", "phone")))
 _EMAIL, _IBAN = re.compile(PATTERNS["email"]), re.compile(PATTERNS["iban"])
 _PERSON = re.compile(rf"(?P<title>\b{_TITLE} )(?P<titled>{_CAP}(?: {_CAP})?)|\b(?P<listed>(?:{'|'.join(sorted(_LIST_OF, key=len, reverse=True))}) {_CAP})")
 KINDS = (*PATTERNS, "person")
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
-_ALPHABETS = ("0123456789", _VOWELS, _CONSONANTS, _VOWELS.upper(), _CONSONANTS.upper(), "аеиоуыэюя", "бвгдзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЗКЛМНПРСТФХЦЧШЩ")
+_ALPHABETS = ("0123456789", _VOWELS, _CONSONANTS, _VOWELS.upper(), _CONSONANTS.upper(), "аеиоуыэюя", "бвгдзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЗКЛМНПРСТФХЦЧШЩ", "àáâãäåèéêëìíîïòóôõöùúûü", "çñýÿ", "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ", "ÇÑÝŸ")
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 _AREA = "23456789"
 
 
+@functools.lru_cache(65536)
+def _alphabet(c: str) -> str:
+    """The alphabet of a character, empty if it stays; letters without a listed one have those of their kind among 16 code points."""
+    if c in _CLASS or not c.isalpha():
+        return _CLASS.get(c, "")
+    kind, at = unicodedata.category(c), ord(c) & ~15
+    return "".join(x for x in map(chr, range(at, at + 16)) if unicodedata.category(x) == kind and x not in _CLASS)
+
+
 class Permutation:
     """Keyed permutation of 0..size-1 without fixed points."""
 
@@ -99,15 +109,15 @@ def _permutation(key: bytes, tag: str, size: int) -> Permutation:
 
 def _shaped(key: bytes, tag: str, text: str, fixed: frozenset[int] = frozenset(), area: frozenset[int] = frozenset()) -> str:
     """Permute the characters of known alphabets outside the ``fixed`` places; digits at ``area`` places stay above 1."""
-    places = [i for i, c in enumerate(text) if c in _CLASS and i not in fixed]
-    alphabets = {i: _AREA if i in area and text[i] in _AREA else _CLASS[text[i]] for i in places}
+    places = [i for i, c in enumerate(text) if i not in fixed and _alphabet(c)]
+    alphabets = {i: _AREA if i in area and text[i] in _AREA else _alphabet(text[i]) for i in places}
     size = number = 0
     for i in places:
         alphabet = alphabets[i]
         size, number = max(size, 1) * len(alphabet), number * len(alphabet) + alphabet.index(text[i])
     if size < 2:
         return text
-    shape = "".join(str(len(alphabets[i])) + _CLASS[c][0] if i in alphabets else c for i, c in enumerate(text))
+    shape = "".join(str(len(alphabets[i])) + _alphabet(c)[0] if i in alphabets else c for i, c in enumerate(text))
     number, out = _permutation(key, f"{tag}:{shape}", size)(number), list(text)
     for i in reversed(places):
         alphabet = alphabets[i]
@@ -146,7 +156,7 @@ def valid(kind: str, text: str) -> bool:
 def canonical(kind: str, text: str) -> str:
     """What coreferent spellings share."""
     if kind == "email":
-        return text.lower()
+        return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
     if kind in ("card", "ssn"):
@@ -238,7 +248,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def _country(text: str) -> int:
-    """Digits of a phone number's country that stay: those between + and the next separator, at most 3."""
+    """Digits of a phone number that stay: those of the country between + and the next separator, at most 3, or
+    the 0 of a national number and the digit after it."""
+    if re.match("[^+0-9]*0[1-9]", text):
+        return 2
     m = re.match(r"\+([0-9]{1,3})(?=\D)", text)
     return 0 if not m or m[1] == "1" else len(m[1])
 
