@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aliases import TOPIC_ALIASES, closure
-from ..functions.text import any_of, normalize_name, similarity_ratio
+from ..functions.text import any_of, normalize_name, sequence_ratio, similarity_ratio
 
 #: What a role stands for in a compound search.
 ROLE_TERMS = {"student": ("student", "phd"), "faculty": ("faculty", "professor", "director"), "researcher": ("research", "scientist", "scholar", "fellow"), "postdoc": ("postdoc", "postdoctoral")}
@@ -182,21 +182,40 @@ def topic_counts(rows: DataFrame, topics: str) -> DataFrame:
     return rows.select(F.explode(topics).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text."""
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def cross_links(people: DataFrame, resources: DataFrame, small_side_rows: int = 1_000_000) -> DataFrame:
     """Additive evidence that ``people(person_id, username, topics)`` use ``resources(resource_id, path_user, owner,
-    created_by, description)``: 1.0 for the directory, 0.9 for being listed, 0.3 for a topic in the description.
+    created_by, description)``: 1.0 for the directory, 0.9 for being listed, 0.7 for a name more than 0.8 similar to
+    the owner (if people have a ``name``), 0.3 for a topic in the description.
 
-    The evidences are equi-joins (a topic meets the descriptions that hold it as whole words, then the containment is
-    exact), so no pair without evidence is made.
+    The evidences are equi-joins. A topic meets the distinct descriptions that hold its first five characters, a name
+    the distinct owners with which it shares two successive characters, or all: unequal strings of a ratio over 0.8
+    always do, as their equal characters are more than the pieces they come in. Then the test is exact.
     """
     user = people.where("username is not null and username <> ''").select("person_id", F.lower("username").alias("username"))
     own = user.join(resources.select("resource_id", F.lower("path_user").alias("username")), "username").select("person_id", "resource_id", F.lit(1.0).alias("score"), F.lit("owns_directory").alias("reason"))
     listed = resources.select("resource_id", F.explode(F.array_distinct(F.array(F.lower("owner"), F.lower("created_by")))).alias("username"))
     listed = user.join(listed, "username").select("person_id", "resource_id", F.lit(0.9).alias("score"), F.lit("listed_owner").alias("reason")).distinct()
-    topic = people.select("person_id", F.explode(F.array_distinct("topics")).alias("topic")).withColumn("word", F.split(F.lower("topic"), r"\s+")[0])
-    words = resources.select("resource_id", F.lower("description").alias("about")).withColumn("word", F.explode(F.array_distinct(F.split("about", r"\s+"))))
-    about = topic.join(words, "word").where(F.col("about").contains(F.lower("topic"))).select("person_id", "resource_id").distinct().select("person_id", "resource_id", F.lit(0.3).alias("score"), F.lit("topic_match").alias("reason"))
+    topic = people.select("person_id", F.explode(F.array_distinct("topics")).alias("topic")).select("person_id", F.lower("topic").alias("topic")).where("topic is not null").distinct()
+    text = resources.select("resource_id", F.lower(F.coalesce("description", F.lit(""))).alias("about"))
+    starts = topic.select("topic").distinct().withColumn("key", F.left("topic", F.lit(5)))
+    held = text.select("about").distinct().withColumn("key", F.explode(F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[_pieces(F.col("about"), n) for n in range(1, 6)])))))
+    holds = starts.join(held, "key").where(F.contains("about", "topic")).select("topic", "about")
+    about = topic.join(holds, "topic").join(text, "about").select("person_id", "resource_id").distinct().select("person_id", "resource_id", F.lit(0.3).alias("score"), F.lit("topic_match").alias("reason"))
     links = own.union(listed).union(about)
+    if "name" in people.columns:
+        names = people.select("person_id", normalize_name(F.coalesce("name", F.lit(""))).alias("name"))
+        owners = resources.where("owner <> ''").select("resource_id", normalize_name(F.col("owner")).alias("owned"))
+        keyed = lambda rows, c: rows.select(c).distinct().withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.col(c)), _pieces(F.col(c), 2)))))
+        near = 5 * F.least(F.length("name"), F.length("owned")) * 2 >= 4 * (F.length("name") + F.length("owned"))
+        pairs = keyed(names, "name").join(keyed(owners, "owned"), "key").where(near).select("name", "owned").distinct()
+        pairs = pairs.where(sequence_ratio(F.col("name"), F.col("owned")) > 0.8)
+        links = links.union(names.join(pairs, "name").join(owners, "owned").select("person_id", "resource_id", F.lit(0.7).alias("score"), F.lit("name_match").alias("reason")).distinct())
     return links.groupBy("person_id", "resource_id").agg(F.round(F.sum("score"), 6).alias("score"), F.array_sort(F.collect_list("reason")).alias("reasons"))
 
 
