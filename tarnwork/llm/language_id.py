@@ -7,13 +7,15 @@ kernel into features, and one-versus-rest kernel ridge regression is fitted on t
 A batch of texts is scored as a product of its presence matrix with the landmarks' and
 then with the weights.
 
-The model is fitted on at most ``per_language`` labelled texts of each language, those
-of smallest hash; the driver receives their presence bits (4 KB each), never texts.
+The model is fitted on at most ``per_language`` labelled texts of each of the
+``most_languages`` most frequent languages: one text (the smallest) of each of the doc_ids of
+smallest hash.  The driver receives their presence bits (4 KB each), never texts, and one
+count per language.
 
 Defined cases: null text and text without a letter give ``und`` with score 0, as does
 any text where nothing could be learned; ties go to the language that sorts first;
 equal texts get equal answers; rows with null lang or null doc_id are not learned from;
-an empty table gives an empty result; other columns are not read.
+repeated rows and rows of one doc_id count once per language; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,21 +96,21 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "bits"])
 
 
-def fit(docs: DataFrame, learnable: Column, per_language: int = 300, landmarks: int = 128) -> KernelModel:
+def fit(docs: DataFrame, learnable: Column, per_language: int = 300, landmarks: int = 128, most_languages: int = 200) -> KernelModel:
     """Fit on the rows of ``docs(doc_id, text, lang)`` for which ``learnable`` holds."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    # Hashes far beyond the wanted number can't be chosen: few rows of a language, however frequent, are ranked.
-    # The counts are one number per language, as is the model.
-    keys = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    counts = {lang: n for lang, n in keys.groupBy("lang").agg(F.count("*")).collect()}
-    if counts:
-        cuts = {lang: min(1.0, (3.0 * per_language + 100) / n) * 2.0**64 - 2.0**63 for lang, n in counts.items()}
-        cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
-        keys = keys.where(F.col("key").cast("double") <= F.element_at(cut, F.col("lang")))
+    keyed = rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("key"))
+    # Hashes far beyond the wanted number can't be chosen: few ids of a language, however frequent, are ranked.
+    counts = keyed.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not counts:
+        return KernelModel.fit(np.zeros((0, (1 << BITS) // 8), np.uint8), [], landmarks)
+    cuts = {r.lang: min(1.0, (3.0 * per_language + 100) / max(1, r.n)) * 2.0**64 - 2.0**63 for r in counts}
+    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    near = keyed.where(F.col("key").cast("double") <= F.element_at(cut, F.col("lang")))
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    # At most per_language ids of each language: small enough to broadcast.
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    ids = near.select("lang", "doc_id", "key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    # At most per_language ids of most_languages languages: small enough to broadcast.
+    sample = near.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     found = sample.select("lang", "text").mapInArrow(_bits, "lang string, bits binary").collect()
     found = sorted((r.lang, bytes(r.bits)) for r in found)
     bits = np.frombuffer(b"".join(b for _, b in found), dtype=np.uint8).reshape(len(found), -1 if found else (1 << BITS) // 8)
