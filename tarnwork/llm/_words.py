@@ -46,40 +46,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _block_hashes(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _block_words(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
-    if not len(edge):
-        return np.empty(0, dtype=np.uint64)
     start, end = edge[::2], edge[1::2]
+    if not len(edge):
+        return np.empty(0, dtype=np.uint64), start, end
     power, inverse = _power(len(raw) + 1)
     sums = np.empty(len(raw) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(table[raw] * power[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end
 
 
-def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the words of ``text`` in order; ``lower`` lower-cases A-Z first."""
-    if not text:
-        return np.empty(0, dtype=np.uint64)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def word_places(raw: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text's UTF-8 bytes in order, and the words' first and past bytes."""
+    data = np.frombuffer(raw, dtype=np.uint8)
     table = _BYTE_LOWER if lower else _BYTE
-    if len(raw) <= _BLOCK:
-        return _block_hashes(raw, table)
+    if len(data) <= _BLOCK:
+        return _block_words(data, table)
     out, at = [], 0
-    while at < len(raw):  # blocks end at white space; a longer word makes a longer block
-        end = min(at + _BLOCK, len(raw))
-        if end < len(raw):
-            cut = np.flatnonzero(_SPACE[raw[at:end]])
+    while at < len(data):  # blocks end at white space; a longer word makes a longer block
+        end = min(at + _BLOCK, len(data))
+        if end < len(data):
+            cut = np.flatnonzero(_SPACE[data[at:end]])
             if len(cut):
                 end = at + int(cut[-1]) + 1
             else:
-                rest = np.flatnonzero(_SPACE[raw[end:]])
-                end = end + int(rest[0]) + 1 if len(rest) else len(raw)
-        out.append(_block_hashes(raw[at:end], table))
+                rest = np.flatnonzero(_SPACE[data[end:]])
+                end = end + int(rest[0]) + 1 if len(rest) else len(data)
+        hashes, first, past = _block_words(data[at:end], table)
+        out.append((hashes, first + at, past + at))
         at = end
-    return np.concatenate(out)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the words of ``text`` in order; ``lower`` lower-cases A-Z first."""
+    return word_places(utf8(text), lower)[0]
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

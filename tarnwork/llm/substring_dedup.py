@@ -12,19 +12,20 @@ content, known by its earliest unit: every later unit of that content goes whole
 Different contents of one minimizer are the reference shard: they make one suffix
 automaton whose states know where they first ended, and each content is streamed
 through it; a matching statistic of at least ``words`` that first ended elsewhere marks
-its window.  The automata are built where the units are, by a shuffle on the minimizer,
-and not broadcast: a broadcast reference would grow with the corpus and every document
-would have to pass every shard.  Minimizers that occur more than ``shard`` times (one
-passage in very many documents) don't meet: their windows' first places are minima,
-aggregated before the shuffle, so that no task holds an unbounded group.
-
-The automata's symbols are 32 bits of a word's hash: two windows of one minimizer that
-differ in one word are taken for equal with chance 2**-32.
+its window.  Contents are the words themselves, so what goes was compared word by word
+(a word of more than 64 bytes by 256 bits of digest).  The automata are built where the
+units are, by a shuffle on the minimizer, and not broadcast: a broadcast reference would
+grow with the corpus and every document would have to pass every shard (README has
+figures).  A minimizer that occurs more than ``shard`` times (one passage in very many
+documents) is split further, window by window: the first place of each window, by 128
+bits of digest of its words, is a minimum, aggregated before the shuffle, so that no task
+holds an unbounded group.
 
 Defined cases: null text has no words; a document shorter than a window loses nothing;
-rows of equal doc_id and text are one document and fare alike; a null doc_id counts as
-smaller than any other; doc_id must otherwise tell texts apart; an empty table gives
-an empty result; columns other than doc_id and text are not read.
+rows of equal doc_id and text are one document and fare alike; rows of one doc_id and
+different texts are different documents, in an order of their own; rows without a doc_id
+come before all others and are one document only if their texts are equal; an empty table
+gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,15 +36,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import partitions, shared_table
-from ._words import WORD, ngram_hashes, word_hashes
+from ._words import WORD, ngram_hashes, utf8, word_hashes, word_places
 
 GRAM = 4
+#: Rows without a doc_id have numbers of their texts' hashes here and up to a quarter of the range.
 _NULL = -(1 << 63)
+#: Longer words are known by a digest.
+_LONG = 64
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -70,52 +75,69 @@ def units(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _find_units(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, keys = [], []
+            for row, text in enumerate(batch.column(2)):
                 _, _, key = units(word_hashes(text.as_py()), words)
                 if len(key):
-                    ids.append(np.full(len(key), doc_id, dtype=np.int64))
+                    rows.append(np.full(len(key), row))
                     keys.append(key)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["mh", "doc_id"])
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["mh", "doc_id", "alt"])
 
     return run
 
 
-def _candidates(batch: pa.RecordBatch, words: int, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per document: id, word hashes, and the units whose minimizer is in the list column ``column``."""
-    for doc_id, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(column), strict=True):
-        if len(wanted := keys.values.to_numpy(zero_copy_only=False) if keys.is_valid else ()):
-            hashes = word_hashes(text.as_py())
-            start, count, key = units(hashes, words)
-            hit = np.isin(key.view(np.int64), wanted)
-            yield doc_id, hashes, start[hit], count[hit], key[hit]
+def _hits(text: pa.Scalar, keys: pa.Scalar, words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """A text's bytes, its words' first and past bytes, and its units whose minimizer is in ``keys``."""
+    if not len(wanted := keys.values.to_numpy(zero_copy_only=False) if keys.is_valid else ()):
+        return None
+    raw = utf8(text.as_py())
+    hashes, first, past = word_places(raw)
+    start, count, key = units(hashes, words)
+    hit = np.isin(key.view(np.int64), wanted)
+    return raw, first, past, start[hit], count[hit], key[hit].view(np.int64)
+
 
+def _plain(raw: bytes) -> list[bytes]:
+    """The words of some bytes; bytes split at the same characters as texts do."""
+    found = raw.split()
+    return found if len(raw) <= _LONG else [w if len(w) <= _LONG else b"\0" + hashlib.sha256(w).digest().hex().encode() for w in found]
 
-#: Distinct contents that a task holds back, so that copies in its documents are sent once.
-_HELD = 50_000
 
+#: Distinct contents, and bytes of them, that a task holds back, so that copies in its documents are sent once.
+_HELD, _HELD_BYTES = 50_000, 64 << 20
 
-def _earliest(words: int, column: str, names: list[str], found: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[tuple, int]]], arrays: Callable[[list[tuple]], list[pa.Array]], out: list[str]):
+
+def _earliest(words: int, column: str, names: list[str], found: Callable[..., Iterator[tuple[tuple[int, bytes], int]]], out: list[str]):
     """A pass over candidate documents that yields the keys of ``found`` with their earliest places."""
+    doc, alt, text, keys = (names.index(n) for n in ("doc_id", "alt", "text", column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, tuple[int, int]] = {}
+        best: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        held = 0
 
         def told() -> pa.RecordBatch:
-            ids, starts = zip(*best.values(), strict=True)
-            columns = [*arrays(list(best)), pa.array(ids, pa.int64()), pa.array(starts, pa.int64())]
+            minimizers, contents = zip(*best, strict=True)
+            ids, alts, starts = zip(*best.values(), strict=True)
+            columns = [pa.array(minimizers, pa.int64()), pa.array(contents, pa.binary()), pa.array(ids, pa.int64()), pa.array(alts, pa.int32()), pa.array(starts, pa.int64())]
             best.clear()
             return pa.RecordBatch.from_arrays(columns, names=out)
 
         for batch in batches:
-            for doc_id, hashes, starts, counts, keys in _candidates(batch, words, names.index(column)):
-                for key, at in found(hashes, starts, counts, keys.view(np.int64)):
-                    place = doc_id, at
-                    if key not in best or place < best[key]:
+            for row in range(batch.num_rows):
+                if not (hits := _hits(batch.column(text)[row], batch.column(keys)[row], words)):
+                    continue
+                name = batch.column(doc)[row].as_py(), batch.column(alt)[row].as_py()
+                for key, at in found(*hits):
+                    place = (*name, at)
+                    if key not in best:
+                        best[key], held = place, held + len(key[1])
+                    elif place < best[key]:
                         best[key] = place
-                if len(best) > _HELD:
+                if len(best) > _HELD or held > _HELD_BYTES:
                     yield told()
+                    held = 0
         if best:
             yield told()
 
@@ -125,24 +147,24 @@ def _earliest(words: int, column: str, names: list[str], found: Callable[[np.nda
 def _contents(words: int, names: list[str]):
     """Distinct contents of candidate units."""
 
-    def found(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[tuple, int]]:
-        symbols = (hashes >> np.uint64(32)).astype(np.uint32)
-        for start, count, key in zip(starts.tolist(), counts.tolist(), keys.tolist(), strict=True):
-            yield (key, symbols[start : start + count + words - 1].tobytes()), start
+    def found(raw: bytes, first: np.ndarray, past: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[tuple[int, bytes], int]]:
+        lows, highs = first[starts].tolist(), past[starts + counts + words - 2].tolist()
+        for low, high, start, key in zip(lows, highs, starts.tolist(), keys.tolist(), strict=True):
+            yield (key, b" ".join(_plain(raw[low:high]))), start
 
-    return _earliest(words, "again", names, found, lambda keys: [pa.array([k for k, _ in keys], pa.int64()), pa.array([c for _, c in keys], pa.binary())], ["mh", "words", "doc_id", "start"])
+    return _earliest(words, "again", names, found, ["mh", "words", "doc_id", "alt", "start"])
 
 
 def _windows(words: int, names: list[str]):
-    """Windows of hot units, by 128 bits of hash."""
+    """Windows of hot units, by a digest of their words."""
 
-    def found(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[tuple, int]]:
-        whole = ngram_hashes(hashes, words).view(np.int64)
+    def found(raw: bytes, first: np.ndarray, past: np.ndarray, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[tuple[int, bytes], int]]:
         for start, count, key in zip(starts.tolist(), counts.tolist(), keys.tolist(), strict=True):
-            for at in range(start, start + count):
-                yield (key, int(whole[at])), at
+            part = _plain(raw[first[start] : past[start + count + words - 2]])
+            for at in range(count):
+                yield (key, xxhash.xxh3_128_digest(b" ".join(part[at : at + words]))), start + at
 
-    return _earliest(words, "hot", names, found, lambda keys: [pa.array([k for k, _ in keys], pa.int64()), pa.array([w for _, w in keys], pa.int64())], ["mh", "window", "doc_id", "start"])
+    return _earliest(words, "hot", names, found, ["mh", "window", "doc_id", "alt", "start"])
 
 
 class SuffixAutomaton:
@@ -209,32 +231,39 @@ def repeated_windows(contents: list[list[int]], words: int) -> list[int]:
     return [sum(1 << (at - words + 1) for at, first in shard.statistics(sequence, words) if first != (name, at)) for name, sequence in enumerate(contents)]
 
 
+def _symbols(contents: list[bytes]) -> list[list[int]]:
+    """Contents as numbers of their words."""
+    table: dict[bytes, int] = {}
+    return [[table.setdefault(w, len(table)) for w in raw.split(b" ")] for raw in contents]
+
+
 def _judge(words: int):
     """Rows sorted by minimizer and place; a minimizer's contents are one reference shard."""
     size = 8 * (words // 64 + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first = None, {}
-        out: list[tuple[int, int, bytes]] = []
+        out: list[tuple[int, int, int, bytes]] = []
 
         def judge() -> None:
-            contents = [np.frombuffer(raw, dtype=np.uint32).tolist() for raw in first] if len(first) > 1 else []
-            masks = repeated_windows(contents, words) if contents else [_alone(raw, words) for raw in first]
+            # A content of one window that meets no other can't repeat.
+            single = len(first) < 2 and all(raw.count(b" ") < words for raw in first)
+            masks = [0] * len(first) if single else repeated_windows(_symbols(list(first)), words)
             out.extend((*place, mask.to_bytes(size, "little")) for place, mask in zip(first.values(), masks, strict=True))
 
         def batch_of() -> pa.RecordBatch:
-            ids, starts, masks = zip(*out, strict=True)
+            ids, alts, starts, masks = zip(*out, strict=True)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(masks, pa.binary())], names=["doc_id", "start", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(alts, pa.int32()), pa.array(starts, pa.int64()), pa.array(masks, pa.binary())], names=["doc_id", "alt", "start", "mask"])
 
         for batch in batches:
-            for mh, doc_id, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for mh, doc_id, alt, start, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if mh != now:
                     judge()
                     now, first = mh, {}
                     if len(out) > 10_000:
                         yield batch_of()
-                first.setdefault(raw, (doc_id, start))
+                first.setdefault(raw, (doc_id, alt, start))
         judge()
         if out:
             yield batch_of()
@@ -242,23 +271,19 @@ def _judge(words: int):
     return run
 
 
-def _alone(raw: bytes, words: int) -> int:
-    """A content that meets no other can only repeat itself."""
-    return 0 if len(raw) <= 4 * words else repeated_windows([np.frombuffer(raw, dtype=np.uint32).tolist()], words)[0]
-
-
 def _strip(words: int, emit: Callable[[list[str], np.ndarray, str], tuple], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone: dict[int, np.ndarray] = {}
             texts = batch.column(1)
-            numbers = np.arange(batch.num_rows, dtype=np.int64)
             for column in (2, 3):
-                numbered = pa.RecordBatch.from_arrays([pa.array(numbers), texts, *batch.columns[2:4]], names=["k", "text", "again", "hot"])
-                for k, hashes, starts, counts, _ in _candidates(numbered, words, column):
+                for k in range(batch.num_rows):
+                    if not (hits := _hits(texts[k], batch.column(column)[k], words)):
+                        continue
+                    _, places, _, starts, counts, _ = hits
                     first = batch.column(4)[k]
                     judged = {x["start"]: x["mask"] for x in first.as_py()} if first.is_valid else {}
-                    marks = gone.setdefault(k, np.zeros(len(hashes) + 1, dtype=np.int64))
+                    marks = gone.setdefault(k, np.zeros(len(places) + 1, dtype=np.int64))
                     for start, count in zip(starts.tolist(), counts.tolist(), strict=True):
                         if column == 3:  # hot: all windows go but those that are first
                             old = [i for i in range(start, start + count) if i not in judged]
@@ -311,25 +336,32 @@ def remove_repeats(docs: DataFrame, words: int = 20, shard: int = 5000, digest:
     SHA-256 in place of text and spans; with ``keep`` the columns of ``docs`` with the new text, and no others.
     Null text gives an empty text (with ``keep`` it stays null)."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null")).alias("rest")] if keep else []))
-    found = shared_table(base.select("doc_id", "text").mapInArrow(_find_units(words), "mh long, doc_id long"), "units")
+    number = F.lit(_NULL) + F.xxhash64("text", F.lit(3)).bitwiseAND(F.lit((1 << 62) - 1))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null")).alias("rest")] if keep else []
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    # ``alt`` tells rows of one doc_id and different texts apart.
+    alt = F.shiftright(F.xxhash64("text"), 32).cast("int").alias("alt")
+    base = plain.select(F.coalesce("doc_id", number).alias("doc_id"), alt, "text", F.col("doc_id").isNull().alias("nameless"), *(["rest"] if keep else []))
+    name = ["doc_id", "alt"]
+    found = shared_table(base.select(*name, "text").mapInArrow(_find_units(words), "mh long, doc_id long, alt int"), "units")
     # A table, so that the join below is between two plain exchanges and a hot minimizer can be split.
     again = shared_table(found.groupBy("mh").agg(F.count("*").alias("k")).where("k > 1"), "repeated")
-    hits = found.join(again.hint("merge"), "mh").groupBy("doc_id")
+    hits = found.join(again.hint("merge"), "mh").groupBy(*name)
     hits = hits.agg(F.collect_set(F.when(F.col("k") <= shard, F.col("mh"))).alias("again"), F.collect_set(F.when(F.col("k") > shard, F.col("mh"))).alias("hot"))
     # One exchange of the documents serves all three uses.
-    joined = base.join(hits.hint("merge"), "doc_id", "left")
+    joined = base.join(hits.hint("merge"), name, "left")
 
     # The minimizers left here occur at most ``shard`` times.
-    contents = joined.where("size(again) > 0").mapInArrow(_contents(words, joined.columns), "mh long, words binary, doc_id long, start long")
-    contents = contents.repartition(partitions(spark), "mh").sortWithinPartitions("mh", "doc_id", "start").select("mh", "doc_id", "start", "words")
-    judged = contents.mapInArrow(_judge(words), "doc_id long, start long, mask binary")
-    first = joined.where("size(hot) > 0").mapInArrow(_windows(words, joined.columns), "mh long, window long, doc_id long, start long")
-    first = first.groupBy("mh", "window").agg(F.min(F.struct("doc_id", "start")).alias("first")).select("first.*", F.lit(b"").alias("mask"))
-    judged = judged.union(first).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("judged"))
+    contents = joined.where("size(again) > 0").mapInArrow(_contents(words, joined.columns), "mh long, words binary, doc_id long, alt int, start long")
+    contents = contents.repartition(partitions(spark), "mh").sortWithinPartitions("mh", *name, "start").select("mh", *name, "start", "words")
+    judged = contents.mapInArrow(_judge(words), "doc_id long, alt int, start long, mask binary")
+    first = joined.where("size(hot) > 0").mapInArrow(_windows(words, joined.columns), "mh long, window binary, doc_id long, alt int, start long")
+    first = first.groupBy("mh", "window").agg(F.min(F.struct(*name, "start")).alias("first")).select("first.*", F.lit(b"").alias("mask"))
+    judged = judged.union(first).groupBy(*name).agg(F.collect_list(F.struct("start", "mask")).alias("judged"))
     emit, schema, arrow = _OUT[digest]
-    full = joined.join(judged.hint("merge"), "doc_id", "left").select("doc_id", "text", "again", "hot", "judged", *(["rest"] if keep else []))
+    full = joined.join(judged.hint("merge"), name, "left")
+    full = full.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "text", "again", "hot", "judged", *(["rest"] if keep else []))
     if keep:
         out = full.mapInArrow(_strip(words, emit, arrow), T.StructType([*T._parse_datatype_string(schema).fields, full.schema["rest"]]))
         return out.select(*[F.when(~F.col("rest.__null"), F.col("text")).alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
-    return full.mapInArrow(_strip(words, emit, arrow), schema).withColumn("doc_id", F.when(F.col("doc_id") != _NULL, F.col("doc_id")))
+    return full.mapInArrow(_strip(words, emit, arrow), schema)
