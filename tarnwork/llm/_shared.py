@@ -1,38 +1,43 @@
 """Tables in the folder that driver and executors share.
 
-A table written there cuts the lineage and outlives any executor.  The folder is
-the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-(tests, a notebook) a folder of our own is made.
+A table written there cuts the lineage and outlives any executor.  The folder is the one the
+cluster names in ``spark.checkpoint.dir``; where that is unset, as in tests, it is a folder in
+the warehouse, which a cluster shares too.  All tables of an application go when it ends.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN = "tarnwork.own.shared.dir"
+_swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get(_OWN, None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tarnwork-")
-            spark.conf.set(_OWN, base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def _sweep_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the file system remove the folder when the driver ends."""
+    if folder not in _swept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _swept.add(folder)
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _sweep_at_end(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

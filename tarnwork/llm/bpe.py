@@ -26,7 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_MOST = 600_000
+#: Pre-tokens that are kept, and characters and ids of them.
+_CACHE_MOST, _CACHE_SIZE = 600_000, 20_000_000
 #: The pre-token pattern of this kind of tokenizer, with Unicode's white space, and the
 #: printable characters that stand for themselves in its vocabulary.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -133,6 +134,7 @@ class ByteBPE:
         self.bytes |= {n: t.encode() for t, n in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -150,6 +152,7 @@ class ByteBPE:
         at = 0
         for token, count in zip(new, counts, strict=True):
             self.kept[token] = tuple(flat[at : at + count])
+            self.size += len(token) + count
             at += count
 
     def _parts(self, text: str) -> list[str]:
@@ -163,8 +166,9 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         for at in range(0, len(texts), 2000):
-            if len(self.kept) > _CACHE_MOST:
+            if len(self.kept) > _CACHE_MOST or self.size > _CACHE_SIZE:
                 self.kept.clear()
+                self.size = 0
             kept = self.kept
             for s, n in self.special.items():  # a pre-token never starts with NUL and goes on with a special token's string
                 kept["\0" + s] = (n,)

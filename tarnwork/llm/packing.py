@@ -7,8 +7,8 @@ by descending a segment tree over remaining capacities, in time logarithmic in
 ``size``.  Pieces of one length go into bins of one remaining capacity as a run.  The
 outcome is what best-fit decreasing over all single pieces gives.  Each piece then finds
 its run by its rank among the pieces of its length; ranks are counted within
-(length, salt) groups and shifted by the counts of lower salts, so no length's pieces
-meet in one task.
+(length, salt) groups and shifted by the counts of lower salts.  A length has as many salts
+as its counted pieces need, so no length's pieces meet in one task.
 
 Defined cases: null text is empty, and a document of no tokens still has the closing id;
 equal and repeated rows are separate documents; a null doc_id is kept; an empty table
@@ -37,8 +37,10 @@ from ._shared import shared_table
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _END = "</w>"
-_CACHE_MOST = 600_000
-_SALTS = 64
+#: Words that are kept, and bytes of them and their ids.
+_CACHE_MOST, _CACHE_BYTES = 600_000, 128 << 20
+#: Pieces of one (length, salt) at least, and the number of such groups that the driver holds at most, besides one a length.
+_GROUP, _GROUPS = 20_000, 100_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -56,6 +58,11 @@ class WordEncoder:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[number] = token.endswith(_END)
         self.kept: dict[str, bytes] = {}
+        self.size = 0
+
+    def _keep(self, word: str, raw: bytes) -> None:
+        self.kept[word] = raw
+        self.size += len(word) + len(raw)
 
     def _learn(self, words: list[str]) -> None:
         """Encode words joined by spaces; word ends part the ids."""
@@ -63,18 +70,19 @@ class WordEncoder:
         stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stops) != len(words):
             for word in words:
-                self.kept[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+                self._keep(word, array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes())
             return
         raw, at = ids.tobytes(), 0
         for word, stop in zip(words, stops.tolist(), strict=True):
-            self.kept[word] = raw[at:stop]
+            self._keep(word, raw[at:stop])
             at = stop
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         kept = self.kept
         for at in range(0, len(texts), 256):
-            if len(kept) > _CACHE_MOST:
+            if len(kept) > _CACHE_MOST or self.size > _CACHE_BYTES:
                 kept.clear()
+                self.size = 0
             block: list[list[str] | str] = []
             for text in texts[at : at + 256]:
                 if "<|" in text or "\u03a3" in text:  # a special token; a letter whose lower case depends on its place
@@ -204,18 +212,26 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, closing: int = 0) ->
     """Rows ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: every document's ids,
     closed by the id ``closing``, in pieces of at most ``size`` ids, and each piece's place.
 
-    ``tokenizer`` is the path of a tokenizers file whose kind drops white space.  The driver sees
-    one count per (length, salt), at most 64 * ``size`` numbers.
+    ``tokenizer`` is the path of a tokenizers file whose kind drops white space.  The driver sees one count
+    per length, and per salt of the lengths that have several: at most ``size`` + 2 * ``_GROUPS`` numbers.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = shared_table(base.mapInArrow(_pieces(tokenizer, size, closing), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_SALTS)).cast("int"))
-    counted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
-    ranks, total = {}, {}
-    for length, salt, n in sorted(counted):
-        ranks[length, salt] = total.get(length, 0)
-        total[length] = ranks[length, salt] + n
+    total = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    group = max(_GROUP, -(-sum(total.values()) // _GROUPS))
+    salts = {length: -(-n // group) for length, n in total.items() if n > group}
+    ranks = {(length, 0): 0 for length in total}
+    if salts:
+        several = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]), F.col("length")), F.lit(1))
+        pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), several).cast("int"))
+        at: dict[int, int] = {}
+        counted = pieces.where(F.col("length").isin(list(salts))).groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
+        for length, salt, n in sorted(counted):
+            ranks[length, salt] = at.get(length, 0)
+            at[length] = ranks[length, salt] + n
+    else:
+        pieces = pieces.withColumn("salt", F.lit(0))
     runs = best_fit_plan(total, size)
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(order).cast("long") - 1)
     return ranked.mapInPandas(_place(runs, ranks), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
