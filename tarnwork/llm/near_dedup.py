@@ -245,11 +245,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     signed = classes.select("doc_id", "alt", "n", "sig")
     keys = [F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)]
     bands = classes.select("doc_id", "alt", F.explode(F.array(*keys)).alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    members = shared_table(bands.join(shared.hint("merge"), "band").select(F.col("band").alias("grp"), "doc_id", "alt"), "members")
     # Buckets of equal members, told by their number, first member and two sums of hashes, are one.
-    member = [F.bit_xor(F.xxhash64("doc_id", "alt")).alias("x"), F.bit_xor(F.xxhash64("alt", "doc_id", F.lit(9))).alias("y")]
-    shared = bands.groupBy("band").agg(F.count("*").alias("k"), F.min("doc_id").alias("least"), *member).where("k > 1")
-    shared = shared_table(shared.groupBy("k", "least", "x", "y").agg(F.min("band").alias("band")).select("band"), "buckets")
-    buckets = shared_table(bands.join(shared.hint("merge"), "band").select(F.col("band").alias("grp"), "doc_id", "alt"), "members")
+    of_members = [F.count("*").alias("k"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id", "alt")).alias("x"), F.bit_xor(F.xxhash64("alt", "doc_id", F.lit(9))).alias("y")]
+    distinct = members.groupBy("grp").agg(*of_members).groupBy("k", "least", "x", "y").agg(F.min("grp").alias("grp")).select("grp")
+    buckets = shared_table(members.join(distinct.hint("merge"), "grp"), "buckets")
     edges = _joining(buckets, signed, None, None, percent, miss, chunk, leaders)
     groups = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
     groups = shared_table(groups.join(signed.select("doc_id", "alt").hint("merge"), "doc_id").select("grp", "doc_id", "alt"), "groups")
