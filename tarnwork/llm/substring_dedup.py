@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import partitions, shared_table
-from ._words import WORD, ngram_hashes, utf8, word_hashes, word_places
+from ._words import ngram_hashes, word_places
 
 GRAM = 4
 #: Rows without a doc_id have numbers of their texts' hashes here and up to a quarter of the range.
@@ -72,12 +72,17 @@ def units(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return start, np.diff(np.append(start, len(place))), grams[place[start]]
 
 
+def _raw(texts: pa.Array) -> list[bytes]:
+    """The texts' UTF-8 bytes as they lie; null is empty."""
+    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+
+
 def _find_units(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys = [], []
-            for row, text in enumerate(batch.column(2)):
-                _, _, key = units(word_hashes(text.as_py()), words)
+            for row, raw in enumerate(_raw(batch.column(2))):
+                _, _, key = units(word_places(raw)[0], words)
                 if len(key):
                     rows.append(np.full(len(key), row))
                     keys.append(key)
@@ -88,11 +93,10 @@ def _find_units(words: int):
     return run
 
 
-def _hits(text: pa.Scalar, keys: pa.Scalar, words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """A text's bytes, its words' first and past bytes, and its units whose minimizer is in ``keys``."""
+def _hits(raw: bytes, keys: pa.Scalar, words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """A text, its words' first and past bytes, and its units whose minimizer is in ``keys``."""
     if not len(wanted := keys.values.to_numpy(zero_copy_only=False) if keys.is_valid else ()):
         return None
-    raw = utf8(text.as_py())
     hashes, first, past = word_places(raw)
     start, count, key = units(hashes, words)
     hit = np.isin(key.view(np.int64), wanted)
@@ -125,8 +129,8 @@ def _earliest(words: int, column: str, names: list[str], found: Callable[..., It
             return pa.RecordBatch.from_arrays(columns, names=out)
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                if not (hits := _hits(batch.column(text)[row], batch.column(keys)[row], words)):
+            for row, raw in enumerate(_raw(batch.column(text))):
+                if not (hits := _hits(raw, batch.column(keys)[row], words)):
                     continue
                 name = batch.column(doc)[row].as_py(), batch.column(alt)[row].as_py()
                 for key, at in found(*hits):
@@ -271,14 +275,14 @@ def _judge(words: int):
     return run
 
 
-def _strip(words: int, emit: Callable[[list[str], np.ndarray, str], tuple], schema: pa.Schema):
+def _strip(words: int, emit: Callable[[list[bytes], np.ndarray | None, bytes], tuple], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone: dict[int, np.ndarray] = {}
-            texts = batch.column(1)
+            texts = _raw(batch.column(1))
             for column in (2, 3):
-                for k in range(batch.num_rows):
-                    if not (hits := _hits(texts[k], batch.column(column)[k], words)):
+                for k, raw in enumerate(texts):
+                    if not (hits := _hits(raw, batch.column(column)[k], words)):
                         continue
                     _, places, _, starts, counts, _ = hits
                     first = batch.column(4)[k]
@@ -299,10 +303,9 @@ def _strip(words: int, emit: Callable[[list[str], np.ndarray, str], tuple], sche
                             marks[i + words] -= 1
             rows = []
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                text = texts[k].as_py() or ""
-                tokens = WORD.findall(text)
-                marks = np.cumsum(gone[k][:-1]) > 0 if k in gone else np.zeros(len(tokens), dtype=bool)
-                rows.append((doc_id, *emit(tokens, marks, text)))
+                tokens = texts[k].split()
+                marks = np.cumsum(gone[k][:-1]) > 0 if k in gone else None
+                rows.append((doc_id, *emit(tokens, marks if marks is not None and marks.any() else None, texts[k])))
             columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
             made = [pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)]
             yield pa.RecordBatch.from_arrays([*made, *batch.columns[5:]], names=[*schema.names, *batch.schema.names[5:]])
@@ -310,17 +313,17 @@ def _strip(words: int, emit: Callable[[list[str], np.ndarray, str], tuple], sche
     return run
 
 
-def _digest(tokens: list[str], gone: np.ndarray, text: str) -> tuple:
-    kept = compress(tokens, ~gone)
-    return len(tokens), int(gone.sum()), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
+def _digest(tokens: list[bytes], gone: np.ndarray | None, raw: bytes) -> tuple:
+    kept = tokens if gone is None else compress(tokens, ~gone)
+    return len(tokens), 0 if gone is None else int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def _text(tokens: list[str], gone: np.ndarray, text: str) -> tuple:
+def _text(tokens: list[bytes], gone: np.ndarray | None, raw: bytes) -> tuple:
     """The text itself where nothing goes, else the kept words joined by one space, and the spans that went."""
-    if not gone.any():
-        return text, len(tokens), 0, []
+    if gone is None:
+        return raw.decode(), len(tokens), 0, []
     edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-    return " ".join(compress(tokens, ~gone)), len(tokens), int(gone.sum()), [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return b" ".join(compress(tokens, ~gone)).decode(), len(tokens), int(gone.sum()), [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
