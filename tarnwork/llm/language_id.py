@@ -81,9 +81,10 @@ class KernelModel:
         w = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ y)
         return KernelModel(languages, bits[chosen], (root @ w / norm[chosen][:, None]).astype(np.float32))
 
-    def scores(self, x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.maximum(x.sum(axis=1), 1))
-        return (x @ landmarks) / norm[:, None] @ self.weights
+    def scores(self, x: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decision values of each language, and the kernel's value with the nearest landmark."""
+        kernel = (x @ landmarks) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+        return kernel @ self.weights, (kernel / np.sqrt(np.maximum(landmarks.sum(axis=0), 1))).max(axis=1)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = 300, landmarks:
     return KernelModel.fit(bits[order_by], [found[i][0] for i in order_by], landmarks)
 
 
-def _predict(model: KernelModel, block: int = 128):
+def _predict(model: KernelModel, least_kin: float = 0.0, block: int = 128):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks = np.ascontiguousarray(np.unpackbits(model.landmarks, axis=1).astype(np.float32).T)
         x = np.empty((block, 1 << BITS), dtype=np.float32)
@@ -132,11 +133,12 @@ def _predict(model: KernelModel, block: int = 128):
                 x[: len(part)] = 0
                 for k, i in enumerate(part):
                     presence(texts[i].as_py(), x[k])
-                f = model.scores(x[: len(part)], landmarks)
+                f, kin = model.scores(x[: len(part)], landmarks)
                 best = f.argmax(axis=1)
-                scores[part] = np.clip((1 + f[np.arange(len(part)), best]) / 2, 0, 1)
+                told = np.clip((1 + f[np.arange(len(part)), best]) / 2, 0, 1)
                 for k, i in enumerate(part):
-                    names[i] = model.languages[best[k]]
+                    if kin[k] >= least_kin:
+                        names[i], scores[i] = model.languages[best[k]], told[k]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return run
@@ -148,8 +150,9 @@ def predict(docs: DataFrame, model: KernelModel) -> DataFrame:
     return base.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
-def tag(docs: DataFrame, model: KernelModel, column: str) -> DataFrame:
-    """``docs`` as they are, with the prediction for ``text`` in one more column (which must be a new name)."""
+def tag(docs: DataFrame, model: KernelModel, column: str, least_kin: float = 0.0) -> DataFrame:
+    """``docs`` as they are, with the prediction for ``text`` in one more column (which must be a new name); a text
+    whose kernel with every landmark is below ``least_kin`` is of none of the learned languages: ``und``."""
     if column in docs.columns:
         raise ValueError(f"{column} is taken")
     place = docs.columns.index("text")
@@ -157,7 +160,7 @@ def tag(docs: DataFrame, model: KernelModel, column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place)], names=["doc_id", "text"])
-            found = next(_predict(model)(iter([texts]))).column(1)
+            found = next(_predict(model, least_kin)(iter([texts]))).column(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.StringType())]))
