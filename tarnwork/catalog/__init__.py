@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, enrichment, graph, indexes, registry, retrieval, routing, snapshots, state, streams
+from . import audit, enrichment, graph, indexes, people, planning, registry, retrieval, routing, snapshots, state, streams
 
-_AREAS = (retrieval, indexes, registry, graph, snapshots, audit, enrichment, routing, state, streams)
+_AREAS = (retrieval, indexes, registry, graph, snapshots, audit, enrichment, routing, planning, people, state, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

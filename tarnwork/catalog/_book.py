@@ -22,12 +22,6 @@ class Book:
 
         return keep
 
-    def whole(self, name: str, part: str) -> str:
-        """The SQL of a query over a part of a table, without the condition that makes the part."""
-        if part not in self.sql[name]:
-            raise ValueError(f"{part!r} is not in the SQL of {name}")
-        return self.sql[name].replace(part, "")
-
 
 def sql_tokens(text: str) -> str:
     marks = PUNCTUATION.replace("'", "''")

@@ -78,13 +78,13 @@ def audit_hidden_ratio(spark: SparkSession, d: str) -> DataFrame:
     return A.hidden_ratio(A.summarize(A.quadrants(_scored(spark, d)), "reward_quadrant")).select(F.round("ratio", 6).alias("ratio"))
 
 
-@BOOK.add("""WITH docs AS (SELECT o_orderkey AS doc_id, 'order ' || o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN '10.1/' || o_orderkey ELSE '' END AS doi, year(o_orderdate) AS year FROM orders WHERE o_orderkey < 3000), e AS (SELECT l_orderkey AS doc_id, list_sort(list(DISTINCT 's' || l_suppkey)) AS a FROM lineitem GROUP BY 1),
+@BOOK.add("""WITH docs AS (SELECT o_orderkey AS doc_id, 'order ' || o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN '10.1/' || o_orderkey ELSE '' END AS doi, year(o_orderdate) AS year FROM orders), e AS (SELECT l_orderkey AS doc_id, list_sort(list(DISTINCT 's' || l_suppkey)) AS a FROM lineitem GROUP BY 1),
     k AS (SELECT *, CASE WHEN doi <> '' THEN doi ELSE trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) END AS paper_key FROM docs), o AS (SELECT '10.1/' || s_suppkey * 2 AS paper_key, ['s' || s_suppkey] AS p FROM supplier),
     j AS (SELECT k.*, coalesce(a, []) AS a, coalesce(p, []) AS p FROM k LEFT JOIN e USING (doc_id) LEFT JOIN o USING (paper_key)), l AS (SELECT *, list_sort(list_distinct(list_concat(a, p))) AS links FROM j)
     SELECT doc_id, paper_key, year, array_to_string(a, '; ') AS edge_author_ids, array_to_string(p, '; ') AS profile_owner_ids, len(links) AS lab_link_count, array_to_string(list_transform(links, lambda x: 'Supplier#' || lpad(x[2:], 9, '0')), '; ') AS lab_author_names FROM l""")
-def document_panel(spark: SparkSession, d: str, part: str = "o_orderkey < 3000") -> DataFrame:
+def document_panel(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    docs = table(spark, d, "orders").where(part).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("order "), "o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("10.1/"), F.col("o_orderkey").cast("string"))).otherwise("").alias("doi"), F.year("o_orderdate").alias("year"), F.lit(None).cast("string").alias("venue"), F.col("o_totalprice").alias("citation_count"), F.array("o_orderstatus").alias("topics"))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("order "), "o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("10.1/"), F.col("o_orderkey").cast("string"))).otherwise("").alias("doi"), F.year("o_orderdate").alias("year"), F.lit(None).cast("string").alias("venue"), F.col("o_totalprice").alias("citation_count"), F.array("o_orderstatus").alias("topics"))
     edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("person_id"))
     suppliers = table(spark, d, "supplier")
     owners = suppliers.select(F.concat(F.lit("10.1/"), (F.col("s_suppkey") * 2).cast("string")).alias("doi"), F.lit("").alias("title"), name.alias("person_id"))
@@ -92,11 +92,6 @@ def document_panel(spark: SparkSession, d: str, part: str = "o_orderkey < 3000")
     return A.document_panel(docs, edges, owners, people).select("doc_id", "paper_key", "year", "edge_author_ids", "profile_owner_ids", "lab_link_count", "lab_author_names")
 
 
-@BOOK.add(BOOK.whole("document_panel", " WHERE o_orderkey < 3000"))
-def document_panel_all(spark: SparkSession, d: str) -> DataFrame:
-    return document_panel(spark, d, "true")
-
-
 @BOOK.add("SELECT doc_id, round(-0.02 + CAST('0x' || left(md5('d' || doc_id), 8) AS BIGINT) / 4294967295.0::DOUBLE * 0.04, 9) AS jitter FROM documents")
 def stable_jitter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.round(T.stable_float(F.concat(F.lit("d"), F.col("doc_id").cast("string"))), 9).alias("jitter"))

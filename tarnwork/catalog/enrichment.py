@@ -126,12 +126,12 @@ def gazetteer_extract(spark: SparkSession, d: str) -> DataFrame:
     return E.gazetteer(_ascii(spark, d), "doc_id", surfaces)
 
 
-@BOOK.add(f"""WITH {_TEXT}, v AS (SELECT id, list_transform(regexp_extract_all(text, '\\bNSF[-\\s#]?(\\d{{7}})\\b', 1), lambda x: 'NSF-' || x) AS grants, regexp_extract_all(text, '\\b(MURI|CAREER)\\b', 1) AS projects FROM txt WHERE id % 6 <> 3)
+@BOOK.add(f"""WITH {_TEXT}, v AS (SELECT id, list_concat(list_transform(regexp_extract_all(text, '\\bNSF[-\\s#]?(\\d{{7}})\\b', 1), lambda x: 'NSF-' || x), list_transform(regexp_extract_all(text, '\\bR01-GM\\d{{6}}\\b'), lambda x: 'NIH-R01-GM-' || x[7:])) AS grants, regexp_extract_all(text, '\\b(MURI|CAREER)\\b', 1) AS projects FROM txt)
     SELECT 'grants' AS field, count(*) AS n, count(*) FILTER (len(grants) > 0) AS with_values, round(100.0::DOUBLE * count(*) FILTER (len(grants) > 0) / count(*), 1) AS percent, (SELECT count(DISTINCT x) FROM (SELECT unnest(grants) AS x FROM v)) AS distinct_values FROM v
     UNION ALL SELECT 'projects', count(*), count(*) FILTER (len(projects) > 0), round(100.0::DOUBLE * count(*) FILTER (len(projects) > 0) / count(*), 1), (SELECT count(DISTINCT x) FROM (SELECT unnest(projects) AS x FROM v)) FROM v""")
 def enrichment_stats(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    rows = _texts(spark, d).where("id % 6 <> 3").select(E.grant_ids(t).alias("grants"), E.projects(t).alias("projects"))
+    rows = _texts(spark, d).select(E.grant_ids(t).alias("grants"), E.projects(t).alias("projects"))
     return E.coverage(rows, ["grants", "projects"])
 
 

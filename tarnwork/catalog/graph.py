@@ -10,7 +10,6 @@ from ..session import table
 from ._book import Book
 
 BOOK = Book()
-#: Orders below this key make the graph of the pair queries, which are quadratic in an order's lines only.
 _MEMBERS = """m AS (SELECT DISTINCT l_orderkey AS edge_id, 'agent' AS role, 's' || l_suppkey AS node_id, o_orderdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     UNION ALL SELECT DISTINCT l_orderkey, 'output', 'p' || l_partkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     UNION ALL SELECT o_orderkey, 'input', 'c' || o_custkey, o_orderdate FROM orders)"""
@@ -117,10 +116,9 @@ def coauthor_strength(spark: SparkSession, d: str) -> DataFrame:
     return G.co_occurrence(_members(spark, d))
 
 
-@BOOK.add("WITH b AS (SELECT DISTINCT l_suppkey AS node, p_name AS t FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO' AND l_discount >= 0.09) SELECT x.node AS a, y.node AS b, count(*) AS shared FROM b x JOIN b y ON x.t = y.t AND x.node < y.node GROUP BY 1, 2 HAVING count(*) >= 2")
+@BOOK.add("WITH b AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS t FROM lineitem) SELECT x.node AS a, y.node AS b, count(*) AS shared FROM b x JOIN b y ON x.t = y.t AND x.node < y.node GROUP BY 1, 2 HAVING count(*) >= 2")
 def shared_topics_ge2(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_discount >= 0.09").join(table(spark, d, "part").where("p_type = 'PROMO'"), F.col("l_partkey") == F.col("p_partkey"))
-    return G.shared_attributes(lines, "l_suppkey", "p_name")
+    return G.shared_attributes(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @BOOK.add(f"WITH {_NODES} SELECT id, type, name FROM nodes WHERE contains(lower(name), 'gear') OR contains(lower(id), 'gear') ORDER BY id LIMIT 20")
@@ -128,17 +126,12 @@ def graph_search(spark: SparkSession, d: str) -> DataFrame:
     return G.node_search(_nodes(spark, d), "Gear")
 
 
-@BOOK.add(f"WITH {_MEMBERS} SELECT edge_id, list_sort(list(DISTINCT node_id)) AS nodes, list_sort(list(DISTINCT node_id) FILTER (role IN ('agent', 'input'))) AS sources FROM m WHERE edge_id < 500 GROUP BY edge_id")
-def edge_node_sets(spark: SparkSession, d: str, part: str = "id < 500") -> DataFrame:
-    edges = _edges(spark, d).where(part)
+@BOOK.add(f"WITH {_MEMBERS} SELECT edge_id, list_sort(list(DISTINCT node_id)) AS nodes, list_sort(list(DISTINCT node_id) FILTER (role IN ('agent', 'input'))) AS sources FROM m GROUP BY edge_id")
+def edge_node_sets(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d)
     return edges.select(F.col("id").alias("edge_id"), G.all_nodes(F.col("agents"), F.col("inputs"), F.col("outputs"), F.col("context")).alias("nodes"), F.array_sort(F.array_union("agents", "inputs")).alias("sources"))
 
 
-@BOOK.add(BOOK.whole("edge_node_sets", " WHERE edge_id < 500"))
-def edge_node_sets_all(spark: SparkSession, d: str) -> DataFrame:
-    return edge_node_sets(spark, d, "true")
-
-
 @BOOK.add("SELECT o_custkey AS id, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey")
 def node_upsert(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))

@@ -51,20 +51,15 @@ def person_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.alias("text"))
 
 
-@BOOK.add("""WITH r AS (SELECT DISTINCT l_orderkey AS project_id, CASE WHEN l_suppkey % 2 = 0 THEN 's' || l_suppkey ELSE 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') END AS ref FROM lineitem WHERE l_orderkey < 400),
+@BOOK.add("""WITH r AS (SELECT DISTINCT l_orderkey AS project_id, CASE WHEN l_suppkey % 2 = 0 THEN 's' || l_suppkey ELSE 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') END AS ref FROM lineitem),
     m AS (SELECT DISTINCT project_id, 's' || s_suppkey AS person_id FROM r JOIN supplier ON ref = 's' || s_suppkey OR lower(ref) = lower(s_name)) SELECT project_id, list_sort(list(person_id)) AS team FROM m GROUP BY project_id""")
-def graph_project_members(spark: SparkSession, d: str, part: str = "l_orderkey < 400") -> DataFrame:
+def graph_project_members(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_suppkey").cast("string")
-    refs = table(spark, d, "lineitem").where(part).select(F.col("l_orderkey").alias("project_id"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("s"), k)).otherwise(F.concat(F.lit("Supplier#"), F.lpad(k, 9, "0"))).alias("ref")).distinct()
+    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("project_id"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("s"), k)).otherwise(F.concat(F.lit("Supplier#"), F.lpad(k, 9, "0"))).alias("ref")).distinct()
     people = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("person_id"), F.col("s_name").alias("name"))
     return G.resolve_members(refs, people).groupBy("project_id").agg(F.array_sort(F.collect_list("person_id")).alias("team"))
 
 
-@BOOK.add(BOOK.whole("graph_project_members", " WHERE l_orderkey < 400"))
-def graph_project_members_all(spark: SparkSession, d: str) -> DataFrame:
-    return graph_project_members(spark, d, "true")
-
-
 @BOOK.add("""WITH b AS (SELECT DISTINCT o_custkey % 3 AS profile_id, l_orderkey AS doc_id, 's' || l_suppkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT x.p AS a, y.p AS b, least(count(*) / 10.0, 1.0)::DOUBLE AS confidence FROM b x JOIN b y ON x.profile_id = y.profile_id AND x.doc_id = y.doc_id AND x.p < y.p GROUP BY 1, 2 HAVING count(*) >= 3""")
 def graph_coauthor_edges(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))

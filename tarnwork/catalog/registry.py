@@ -117,22 +117,17 @@ def topic_list_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @BOOK.add("""WITH r AS (SELECT s_suppkey AS resource_id, 'user' || (s_suppkey % 40) AS u, 'user' || (s_suppkey % 7) AS o, 'deals in ' || CASE s_suppkey % 3 WHEN 0 THEN 'building goods' WHEN 1 THEN 'machinery parts' ELSE 'other things' END AS d FROM supplier),
-    p AS (SELECT c_custkey AS person_id, 'user' || c_custkey AS u, lower(c_mktsegment) AS t FROM customer WHERE c_custkey < 60)
+    p AS (SELECT c_custkey AS person_id, 'user' || c_custkey AS u, lower(c_mktsegment) AS t FROM customer)
     SELECT person_id, resource_id, round((p.u = r.u)::INT * 1.0 + (p.u = r.o)::INT * 0.9 + contains(r.d, t)::INT * 0.3, 6) AS score FROM p, r WHERE p.u = r.u OR p.u = r.o OR contains(r.d, t)""")
-def cross_link_scores(spark: SparkSession, d: str, part: str = "c_custkey < 60") -> DataFrame:
+def cross_link_scores(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     about = F.concat(F.lit("deals in "), F.when(k % 3 == 0, "building goods").when(k % 3 == 1, "machinery parts").otherwise("other things"))
     name = lambda x: F.concat(F.lit("user"), x.cast("string"))
     resources = table(spark, d, "supplier").select(k.alias("resource_id"), name(k % 40).alias("path_user"), name(k % 7).alias("owner"), F.lit(None).cast("string").alias("created_by"), about.alias("description"))
-    people = table(spark, d, "customer").where(part).select(F.col("c_custkey").alias("person_id"), name(F.col("c_custkey")).alias("username"), F.array("c_mktsegment").alias("topics"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("person_id"), name(F.col("c_custkey")).alias("username"), F.array("c_mktsegment").alias("topics"))
     return R.cross_links(people, resources).select("person_id", "resource_id", "score")
 
 
-@BOOK.add(BOOK.whole("cross_link_scores", " WHERE c_custkey < 60"))
-def cross_link_scores_all(spark: SparkSession, d: str) -> DataFrame:
-    return cross_link_scores(spark, d, "true")
-
-
 _KEYS = {"metal": ("bolt", "gear", "plate", "red"), "size": ("small", "large"), "color": ("red", "blue", "green")}
 
 
@@ -211,22 +206,17 @@ def resource_union(spark: SparkSession, d: str) -> DataFrame:
     return R.entity_union(parts).groupBy("_category").agg(F.count("*").alias("n"), F.count("brand").alias("branded"))
 
 
-@BOOK.add("""WITH people AS (SELECT p_partkey AS person_id, p_name AS name FROM part WHERE p_partkey < 40), authors AS (SELECT s_suppkey AS author_id, CASE s_suppkey % 4 WHEN 0 THEN 'small ring' WHEN 1 THEN 'tiny gear' WHEN 2 THEN 'plate holder' ELSE 'unknown thing' END AS name FROM supplier),
+@BOOK.add("""WITH people AS (SELECT p_partkey AS person_id, p_name AS name FROM part), authors AS (SELECT s_suppkey AS author_id, CASE s_suppkey % 4 WHEN 0 THEN 'small ring' WHEN 1 THEN 'tiny gear' WHEN 2 THEN 'plate holder' ELSE 'unknown thing' END AS name FROM supplier),
     e AS (SELECT lower(name) AS key, max(person_id) AS id FROM people GROUP BY 1), t AS (SELECT key, max(id) AS id FROM (SELECT unnest(string_split(lower(name), ' ')) AS key, person_id AS id FROM people) GROUP BY key),
     w AS (SELECT author_id, unnest(string_split(lower(name), ' ')) AS key, generate_subscripts(string_split(name, ' '), 1) AS pos FROM authors), b AS (SELECT author_id, arg_min(id, pos) AS id FROM w JOIN t USING (key) GROUP BY author_id)
     SELECT author_id, name, coalesce(e.id, b.id) AS person_id FROM authors LEFT JOIN e ON lower(name) = e.key LEFT JOIN b USING (author_id)""")
-def author_resolution(spark: SparkSession, d: str, part: str = "p_partkey < 40") -> DataFrame:
-    people = table(spark, d, "part").where(part).select(F.col("p_partkey").alias("person_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+def author_resolution(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "part").select(F.col("p_partkey").alias("person_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
     k = F.col("s_suppkey") % 4
     authors = table(spark, d, "supplier").select(F.col("s_suppkey").alias("author_id"), F.when(k == 0, "small ring").when(k == 1, "tiny gear").when(k == 2, "plate holder").otherwise("unknown thing").alias("name"))
     return R.resolve_authors(authors, people)
 
 
-@BOOK.add(BOOK.whole("author_resolution", " WHERE p_partkey < 40"))
-def author_resolution_all(spark: SparkSession, d: str) -> DataFrame:
-    return author_resolution(spark, d, "true")
-
-
 @BOOK.add("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
 def list_doc_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))

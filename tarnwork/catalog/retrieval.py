@@ -120,21 +120,16 @@ def hybrid_search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return R.search(docs, e, QUERY, R.vector_of(e, PIVOT, "id"), k=10, raw=raw)
 
 
-@BOOK.add(f"""WITH {_SEM}, s AS (SELECT 'doc' AS type, vec_id AS id, score FROM sem ORDER BY score DESC, vec_id LIMIT 40), t AS (SELECT 'doc' AS type, doc_id AS id FROM labels WHERE quality = 1 AND doc_id < 60)
+@BOOK.add(f"""WITH {_SEM}, s AS (SELECT 'doc' AS type, vec_id AS id, score FROM sem ORDER BY score DESC, vec_id LIMIT 40), t AS (SELECT 'doc' AS type, doc_id AS id FROM labels WHERE quality = 1)
     SELECT coalesce(s.type, t.type) AS type, coalesce(s.id, t.id) AS id, round(CASE WHEN score IS NULL THEN 0.5 WHEN t.id IS NOT NULL THEN least(score + 0.3, 1.0) ELSE score END, 6) AS score,
     CASE WHEN score IS NULL THEN 'structured' WHEN t.id IS NOT NULL THEN 'both' ELSE 'semantic' END AS origin FROM s FULL JOIN t ON s.type = t.type AND s.id = t.id""")
-def merge_structured_semantic(spark: SparkSession, d: str, part: str = "doc_id < 60") -> DataFrame:
+def merge_structured_semantic(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     near = R.vector_search(e, R.vector_of(e, PIVOT), 40).select(F.lit("doc").alias("type"), F.col("vec_id").alias("id"), "score")
-    known = table(spark, d, "labels").where("quality = 1").where(part).select(F.lit("doc").alias("type"), F.col("doc_id").alias("id"))
+    known = table(spark, d, "labels").where("quality = 1").select(F.lit("doc").alias("type"), F.col("doc_id").alias("id"))
     return R.merge_structured(near, known)
 
 
-@BOOK.add(BOOK.whole("merge_structured_semantic", " AND doc_id < 60"))
-def merge_structured_semantic_all(spark: SparkSession, d: str) -> DataFrame:
-    return merge_structured_semantic(spark, d, "true")
-
-
 @BOOK.add(f"""SELECT vec_id, round(least(greatest(1 - sqrt(list_sum(list_transform(list_zip(v[1:18], p), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) / sqrt(18) + CASE WHEN label = l THEN 0.05 ELSE 0 END, 0), 1), 6) AS similarity
     FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT CAST(embedding AS DOUBLE[])[1:18] AS p, label AS l FROM embeddings WHERE vec_id = {PIVOT})""")
 def disposition_similarity(spark: SparkSession, d: str) -> DataFrame:

@@ -64,26 +64,16 @@ def temporal_intent(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark).select("query_id", F.transform(D.years_in(q), lambda y: y.cast("int")).alias("years"), D.temporal_intent(q, 2026).alias("intent"))
 
 
-@BOOK.add("""WITH s AS (SELECT source, doc_id, CASE doc_id % 4 WHEN 0 THEN 'registry' WHEN 1 THEN 'document' WHEN 2 THEN 'web' ELSE 'inference' END AS type, (doc_id % 10) / 10.0::DOUBLE AS relevance FROM documents WHERE doc_id % 13 < 4),
+@BOOK.add("""WITH s AS (SELECT source, doc_id, CASE doc_id % 4 WHEN 0 THEN 'registry' WHEN 1 THEN 'document' WHEN 2 THEN 'web' ELSE 'inference' END AS type, (doc_id % 10) / 10.0::DOUBLE AS relevance FROM documents),
     a AS (SELECT source, count(*) AS n, avg(CASE type WHEN 'registry' THEN 1.0::DOUBLE WHEN 'document' THEN 0.8::DOUBLE WHEN 'web' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) AS q, avg(relevance) AS r, bool_or(type = 'registry') AS st, list(relevance ORDER BY doc_id)[1:3] AS near FROM s GROUP BY source),
     f AS (SELECT source, n, round(0.15::DOUBLE * CASE WHEN n = 1 THEN 0.5::DOUBLE WHEN n <= 3 THEN 0.7::DOUBLE ELSE least(0.9::DOUBLE, 0.7::DOUBLE + n * 0.05::DOUBLE) END + 0.25::DOUBLE * q + 0.2::DOUBLE * CASE WHEN st THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END + 0.1::DOUBLE + 0.15::DOUBLE * list_sum(near) / len(near) + 0.15::DOUBLE * r, 6) AS score FROM a)
     SELECT source, n, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.4 THEN 'low' ELSE 'uncertain' END AS level FROM f""")
-def confidence_score(spark: SparkSession, d: str, part: str = "doc_id % 13 < 4") -> DataFrame:
+def confidence_score(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    rows = table(spark, d, "documents").where(part).select("source", "doc_id", F.when(k % 4 == 0, "registry").when(k % 4 == 1, "document").when(k % 4 == 2, "web").otherwise("inference").alias("type"), ((k % 10) / 10.0).alias("relevance"))
+    rows = table(spark, d, "documents").select("source", "doc_id", F.when(k % 4 == 0, "registry").when(k % 4 == 1, "document").when(k % 4 == 2, "web").otherwise("inference").alias("type"), ((k % 10) / 10.0).alias("relevance"))
     return C.confidence(rows, "source", similarity="relevance", order="doc_id")
 
 
-@BOOK.add(BOOK.whole("confidence_score", " WHERE doc_id % 13 < 4"))
-def confidence_score_all(spark: SparkSession, d: str) -> DataFrame:
-    return confidence_score(spark, d, "true")
-
-
-@BOOK.add("SELECT source, 'Based on ' || CAST(sum(n) AS VARCHAR) || ' sources (' || string_agg(n || ' ' || lang, ', ' ORDER BY lang) || ')' AS reason FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source")
-def confidence_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return C.reasons(table(spark, d, "documents"), "source", "lang")
-
-
 _INTENTS = {"person": (r"\bwho\b", r"\bjane\b"), "topic": (r"\bpapers?\b", r"\bnetworks?\b", r"\bmethodology\b"), "list": (r"\blist\b", r"\bhow many\b"), "thing": (r"\bgears?\b", r"\bbolts?\b")}
 
 
@@ -94,11 +84,6 @@ def intent_vote(spark: SparkSession, d: str) -> DataFrame:
     return Q.vote_intent(_asked(spark), _INTENTS).select("query_id", "intent", "share")
 
 
-@BOOK.add(f"WITH {_VALUES}, w AS (SELECT *, len(string_split_regex(trim(query), '\\s+')) AS n, lower(query) AS l FROM q) SELECT query_id, CASE WHEN regexp_matches(l, '\\b(compare|analy[sz]e|relationship|explain|why)\\b') OR n > 20 THEN 'complex' WHEN n > 8 THEN 'moderate' ELSE 'simple' END AS complexity, regexp_matches(l, '\\b(he|she|they|it|his|her|their|its|him|them|that|this|those|these)\\b|\\b(tell me more|what about|and also|as well)\\b') AS follows FROM w")
-def query_complexity(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark).select("query_id", Q.query_complexity(F.col("query")).alias("complexity"), Q.needs_reformulation(F.col("query")).alias("follows"))
-
-
 @BOOK.add(f"WITH {_VALUES} SELECT query_id, len(list_distinct(list_concat([query], list_transform(string_split_regex(query, '(?i)\\s+(?:and|or)\\s+'), lambda p: trim(p))))) AS n_parts, list_distinct(regexp_extract_all(query, '\\b[A-Z][a-z]+(?:\\s+[A-Z]\\.)?(?:\\s+[A-Z][a-z]+){{1,2}}\\b')) AS names FROM q")
 def subqueries_names(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark).select("query_id", F.size(Q.subqueries(F.col("query"))).alias("n_parts"), Q.person_names(F.col("query")).alias("names"))

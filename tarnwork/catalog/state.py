@@ -64,17 +64,12 @@ def evict_oldest(spark: SparkSession, d: str) -> DataFrame:
     return S.drop_oldest(_cache(spark, d), 10, "ts", "key").select("key")
 
 
-@BOOK.add(f"WITH {_CACHE}, u AS (SELECT key, ts, 'old' AS v FROM cache UNION ALL SELECT user_id, max(ts), 'new' FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND user_id < 20 GROUP BY user_id) SELECT key, max(ts) AS ts, arg_max(v, ts) AS v FROM u GROUP BY key")
-def cache_upsert(spark: SparkSession, d: str, part: str = "user_id < 20") -> DataFrame:
-    new = table(spark, d, "events").where("ts >= timestamp'2024-01-16'").where(part).groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("ts")).withColumn("v", F.lit("new"))
+@BOOK.add(f"WITH {_CACHE}, u AS (SELECT key, ts, 'old' AS v FROM cache UNION ALL SELECT user_id, max(ts), 'new' FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id) SELECT key, max(ts) AS ts, arg_max(v, ts) AS v FROM u GROUP BY key")
+def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    new = table(spark, d, "events").where("ts >= timestamp'2024-01-16'").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("ts")).withColumn("v", F.lit("new"))
     return S.put(_cache(spark, d).select("key", "ts", F.lit("old").alias("v")), new, "key")
 
 
-@BOOK.add(BOOK.whole("cache_upsert", " AND user_id < 20"))
-def cache_upsert_all(spark: SparkSession, d: str) -> DataFrame:
-    return cache_upsert(spark, d, "true")
-
-
 @BOOK.add("SELECT event_id, left(sha256('search:' || event_type || ':' || user_id), 16) AS key, trim(regexp_replace(lower(trim('  ' || event_type || '   X ')), '\\s+', ' ', 'g')) AS normal FROM events")
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     key = T.cache_key(F.lit("search"), F.lit(""), F.col("event_type"), F.col("user_id").cast("string"))

@@ -17,7 +17,7 @@ BOOK = Book()
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     target = J.place(spark, "counts")
     J.keep_latest(J.window_counts(J.stream_table(spark, f"{d}/events.parquet"), "ts", "event_type"), target)
-    return spark.read.parquet(target)
+    return J.latest(spark, target)
 
 
 @BOOK.add("SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")

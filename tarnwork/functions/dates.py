@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from datetime import date
@@ -36,6 +37,7 @@ FAMILIES: dict[str, tuple[str, float]] = {
     "days": (rf"\b{_M}\s+{_D}(?:st|nd|rd|th)?[-–]+{_D}(?:st|nd|rd|th)?,?\s+{_Y}\b", 0.85),
     "year": (rf"\b(?:in|since|during|by|year|dated|from|until|through)\s+{_Y}\b", 0.5),
 }
+_DIGIT = re.compile(r"\d")
 SCHEMA = "array<struct<raw:string,normalized:string,year:int,month:int,day:int,context:string,confidence:double,char_start:int,char_end:int,is_range:boolean,range_end:string>>"
 
 
@@ -80,6 +82,8 @@ def _parts(family: str, g: tuple[str, ...]) -> tuple[int, int | None, int | None
 
 def find(text: str) -> list[dict]:
     """Dates of one text after context and deduplication, by start."""
+    if not _DIGIT.search(text):
+        return []
     found = []
     for family, (pattern, confidence) in FAMILIES.items():
         for m in re.finditer(pattern, text, re.IGNORECASE):
@@ -98,11 +102,14 @@ def find(text: str) -> list[dict]:
 def deduplicate(found: list[dict]) -> list[dict]:
     """One date per cluster of overlapping spans: the most confident that starts within the first; then on past the cluster."""
     rows, out, until = sorted(found, key=lambda d: d["char_start"]), [], -1
-    for row in rows:
+    for at, row in enumerate(rows):
         if row["char_start"] < until:
             continue
         best, end = row, row["char_end"]
-        for other in rows:
+        first = at
+        while first and rows[first - 1]["char_start"] == row["char_start"]:
+            first -= 1
+        for other in itertools.islice(rows, first, None):
             if other["char_start"] >= end:
                 break
             if row["char_start"] <= other["char_start"] < row["char_end"]:
@@ -179,3 +186,9 @@ def temporal_intent(query: Column, year: int) -> Column:
         .when(some & F.forall(years, lambda y: y < year), "past").when(some & F.forall(years, lambda y: y > year), "future").when(F.array_contains(years, year), "current")
         .when(test("past"), "past").otherwise("any")
     )
+
+
+def temporal_context(today: Column) -> Column:
+    """The date, year and quarter as text."""
+    quarter = F.concat(F.lit("Q"), F.quarter(today).cast("string"), F.lit(" "), F.year(today).cast("string"))
+    return F.concat(F.lit("- Today's date: "), F.date_format(today, "MMMM dd, yyyy"), F.lit("\n- Current year: "), F.year(today).cast("string"), F.lit("\n- Current quarter: "), quarter)

@@ -6,7 +6,7 @@ import difflib
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the punctuation that the keyword tokenizer deletes.
@@ -26,6 +26,12 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def each(rows: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
+    """One row per value that is not null.  An inner explode would be preceded by a filter on the array's size, and so
+    compute a costly array twice."""
+    return rows.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def tokens(text: Column) -> Column:
     """Lower-case, without punctuation, split at white space, longer than two."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")

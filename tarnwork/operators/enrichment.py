@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import text as T
 
 #: Grant numbers by agency, project acronyms, funders and titles of names.
 GRANTS = (
@@ -41,14 +42,14 @@ def valid_term(term: Column) -> Column:
 def fit_idf(rows: DataFrame, text: str = "text") -> DataFrame:
     """``(term, df, idf)`` with idf = ln(N / df) over all rows."""
     n = rows.count()
-    terms = rows.select(F.explode(F.array_distinct(key_tokens(F.col(text)))).alias("term")).where(valid_term(F.col("term")))
+    terms = T.each(rows, F.array_distinct(key_tokens(F.col(text))), "term").where(valid_term(F.col("term")))
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(max(n, 1))) / F.col("df")))
 
 
 def key_terms(rows: DataFrame, id_column: str, idf: DataFrame | None = None, k: int = 10, least: float = 0.1, text: str = "text") -> DataFrame:
     """The ``k`` best terms of each row: frequency times idf (2.0 where unknown), 1.3 times that for technical words."""
     words = rows.select(id_column, key_tokens(F.col(text)).alias("w")).withColumn("total", F.size("w"))
-    counted = words.select(id_column, "total", F.explode("w").alias("term")).where(valid_term(F.col("term"))).groupBy(id_column, "term").agg(F.count("*").alias("frequency"), F.first("total").alias("total"))
+    counted = T.each(words, F.col("w"), "term", id_column, "total").where(valid_term(F.col("term"))).groupBy(id_column, "term").agg(F.count("*").alias("frequency"), F.first("total").alias("total"))
     if idf is not None:
         counted = counted.join(idf.select("term", "idf"), "term", "left")
     else:
@@ -89,14 +90,31 @@ def key_phrases(rows: DataFrame, id_column: str, n: int, idf: DataFrame | None =
     return runs.select(id_column, "phrase", "count", F.round(F.try_divide(F.col("count"), F.col("total")) * F.col("mean_idf") * (1 + 0.1 * n) * 1.5, 6).alias("score"))
 
 
+def _apart(phrase: str, others: list[str]) -> bool:
+    """True for a phrase of plain words that neither overlaps itself nor begins, or begins with, another one."""
+    parts = phrase.split(" ")
+    plain = all(re.fullmatch(r"\w+", p) for p in parts) and parts[0] != parts[-1]
+    return plain and not any(p != phrase and (p.startswith(phrase + " ") or phrase.startswith(p + " ")) for p in others)
+
+
 def classify_topics(rows: DataFrame, id_column: str, taxonomy: dict[str, dict[str, dict[str, float]]], k: int = 3, least: float = 0.1, text: str = "text") -> DataFrame:
     """Topics by weighted term frequencies (phrases twice), scaled by the best and spread by a sigmoid.
 
     ``taxonomy``: topic -> {"keywords": {word: weight}, "phrases": {phrase: weight}}, a small parameter.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    words = sorted({w for c in taxonomy.values() for w in c.get("keywords", {}) if re.fullmatch(r"\w+", w)})
+    runs = sorted({p for c in taxonomy.values() for p in c.get("phrases", {}) if _apart(p, [q for d in taxonomy.values() for q in d.get("phrases", {})])})
+    # One pass finds the hits of all plain words, and one those of all phrases; the few hits are then counted by term.
+    rows = rows.select(id_column, low.alias("low")).withColumn("n", F.regexp_count("low", F.lit(r"\b\w+\b")))
+    found = {"_words": rf"\b(?:{'|'.join(words)})\b" if words else None, "_runs": rf"\b(?=({'|'.join(map(re.escape, runs))})\b)" if runs else None}
+    for name, pattern in found.items():
+        hits = F.regexp_extract_all("low", F.lit(pattern), F.lit(int(name == "_runs"))) if pattern else F.array().cast("array<string>")
+        rows = rows.withColumn(name, hits)
 
     def times(term: str) -> Column:
+        if term in words or term in runs:
+            return F.size(F.filter("_words" if term in words else "_runs", lambda x: x == term))
         return F.regexp_count("low", F.lit(r"\b" + re.escape(term) + r"\b"))
 
     def score(content: dict[str, dict[str, float]]) -> Column:
@@ -107,10 +125,9 @@ def classify_topics(rows: DataFrame, id_column: str, taxonomy: dict[str, dict[st
             total = total + 2.0 * weight * times(phrase)
         return F.when(F.col("n") > 0, total / F.col("n")).otherwise(0.0)
 
-    rows = rows.select(id_column, low.alias("low")).withColumn("n", F.regexp_count("low", F.lit(r"\b\w+\b")))
     scored = rows.select(id_column, F.array(*[F.struct(score(c).alias("score"), F.lit(t).alias("topic")) for t, c in taxonomy.items()]).alias("s"))
     scored = scored.withColumn("most", F.array_max(F.transform("s", lambda x: x["score"])))
-    topics = scored.select(id_column, "most", F.explode("s").alias("x")).where("x.score > 0")
+    topics = T.each(scored, F.col("s"), "x", id_column, "most").where("x.score > 0")
     confidence = F.round(1 / (1 + F.exp(-3 * (2 * F.col("x.score") / F.col("most") - 1))), 3)
     topics = topics.select(id_column, F.col("x.topic").alias("topic"), confidence.alias("confidence")).where(F.col("confidence") >= least)
     order = Window.partitionBy(id_column).orderBy(F.desc("confidence"), "topic")
@@ -159,7 +176,7 @@ def gazetteer(rows: DataFrame, id_column: str, surfaces: DataFrame, text: str =
     """
     names = surfaces.select(F.lower("surface").alias("surface"), "type", F.col("id").alias("entity")).withColumn("word", F.split("surface", r"[^\p{L}\p{N}]+")[0])
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = rows.select(id_column, F.explode(F.array_distinct(F.split(low, r"[^\p{L}\p{N}]+"))).alias("word"))
+    words = T.each(rows, F.array_distinct(F.split(low, r"[^\p{L}\p{N}]+")), "word", id_column)
     maybe = words.join(names, "word").groupBy(id_column).agg(F.collect_set(F.struct("surface", "type", "entity")).alias("maybe"))
     flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     held = rows.select(id_column, flat.alias("flat")).join(maybe, id_column)

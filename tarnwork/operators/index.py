@@ -89,3 +89,15 @@ def similar(index: DataFrame, entity_id: str, k: int = 5, same_type: bool = Fals
 
 def stats(index: DataFrame) -> DataFrame:
     return index.groupBy("doc_type").agg(F.count("*").alias("n"))
+
+
+def with_aliases(surfaces: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """``surfaces(surface, id)`` and the aliases that are not among them yet."""
+    more = surfaces.sparkSession.createDataFrame(list(aliases.items()), "surface string, id string")
+    return surfaces.select("surface", "id").unionByName(more.join(surfaces.select("surface"), "surface", "left_anti"))
+
+
+def with_known(found: Column, known: tuple[str, ...], text: Column) -> Column:
+    """``found`` and the known names that the text holds in any case."""
+    low = F.lower(text)
+    return F.array_union(found, F.filter(F.array(*map(F.lit, known)), lambda k: F.contains(low, F.lower(k))))

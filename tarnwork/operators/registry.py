@@ -188,6 +188,14 @@ def _pieces(text: Column, n: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def holding(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """All ``(topic, about)`` of distinct ``needles(topic)`` and ``texts(about)`` where the text contains the topic: they
+    meet on the first five characters of the topic, then the test is exact."""
+    starts = needles.withColumn("key", F.left("topic", F.lit(5)))
+    held = texts.withColumn("key", F.explode_outer(F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[_pieces(F.col("about"), n) for n in range(1, 6)])))))
+    return starts.join(held, "key").where(F.contains("about", "topic")).select("topic", "about")
+
+
 def cross_links(people: DataFrame, resources: DataFrame, small_side_rows: int = 1_000_000) -> DataFrame:
     """Additive evidence that ``people(person_id, username, topics)`` use ``resources(resource_id, path_user, owner,
     created_by, description)``: 1.0 for the directory, 0.9 for being listed, 0.7 for a name more than 0.8 similar to
@@ -203,15 +211,13 @@ def cross_links(people: DataFrame, resources: DataFrame, small_side_rows: int =
     listed = user.join(listed, "username").select("person_id", "resource_id", F.lit(0.9).alias("score"), F.lit("listed_owner").alias("reason")).distinct()
     topic = people.select("person_id", F.explode(F.array_distinct("topics")).alias("topic")).select("person_id", F.lower("topic").alias("topic")).where("topic is not null").distinct()
     text = resources.select("resource_id", F.lower(F.coalesce("description", F.lit(""))).alias("about"))
-    starts = topic.select("topic").distinct().withColumn("key", F.left("topic", F.lit(5)))
-    held = text.select("about").distinct().withColumn("key", F.explode(F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[_pieces(F.col("about"), n) for n in range(1, 6)])))))
-    holds = starts.join(held, "key").where(F.contains("about", "topic")).select("topic", "about")
+    holds = holding(topic.select("topic").distinct(), text.select("about").distinct())
     about = topic.join(holds, "topic").join(text, "about").select("person_id", "resource_id").distinct().select("person_id", "resource_id", F.lit(0.3).alias("score"), F.lit("topic_match").alias("reason"))
     links = own.union(listed).union(about)
     if "name" in people.columns:
         names = people.select("person_id", normalize_name(F.coalesce("name", F.lit(""))).alias("name"))
         owners = resources.where("owner <> ''").select("resource_id", normalize_name(F.col("owner")).alias("owned"))
-        keyed = lambda rows, c: rows.select(c).distinct().withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.col(c)), _pieces(F.col(c), 2)))))
+        keyed = lambda rows, c: rows.select(c).distinct().withColumn("key", F.explode_outer(F.array_distinct(F.concat(F.array(F.col(c)), _pieces(F.col(c), 2)))))
         near = 5 * F.least(F.length("name"), F.length("owned")) * 2 >= 4 * (F.length("name") + F.length("owned"))
         pairs = keyed(names, "name").join(keyed(owners, "owned"), "key").where(near).select("name", "owned").distinct()
         pairs = pairs.where(sequence_ratio(F.col("name"), F.col("owned")) > 0.8)
@@ -223,7 +229,7 @@ def topic_resources(resources: DataFrame, text: Column, id_column: str, keywords
     """The share of a topic's keywords that a resource's text holds; the ``top`` resources of each topic."""
     low = F.lower(text)
     scored = F.array(*[F.struct(F.lit(t).alias("topic"), (sum((low.contains(k).cast("int") for k in ks), F.lit(0)) / len(ks)).alias("score")) for t, ks in keywords.items()])
-    rows = resources.select(id_column, F.explode(scored).alias("s")).select(id_column, "s.*").where("score > 0").withColumn("score", F.round("score", 6))
+    rows = resources.select(id_column, F.explode_outer(scored).alias("s")).select(id_column, "s.*").where("score > 0").withColumn("score", F.round("score", 6))
     order = Window.partitionBy("topic").orderBy(F.desc("score"), id_column)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
@@ -254,7 +260,7 @@ def closest_words(words: DataFrame, vocabulary: DataFrame, most_distance: int =
         drop = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.left(x, i - 1), F.substr(x, i + 1)))
         one = F.array_union(F.array(F.col(column)), drop(F.col(column)))
         two = F.array_distinct(F.flatten(F.transform(one, lambda x: F.when(F.length(x) > 0, F.array_union(F.array(x), drop(x))).otherwise(F.array(x)))))
-        return rows.where(F.length(column) > 0).withColumn("_key", F.explode(two if most_distance > 1 else one))
+        return rows.where(F.length(column) > 0).withColumn("_key", F.explode_outer(two if most_distance > 1 else one))
 
     pairs = variants(words, "word").join(variants(vocabulary, "term"), "_key").select("word", "term").distinct()
     distance = F.levenshtein("word", "term", most_distance)

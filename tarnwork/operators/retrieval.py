@@ -51,20 +51,28 @@ def _length(flat: Column) -> Column:
     return F.regexp_count(flat, F.lit(r"\S{3,}"))
 
 
-def _frequency(flat: Column, word: str) -> Column:
-    return F.regexp_count(flat, F.lit(rf"(?<!\S){re.escape(word)}(?!\S)"))
+def _found(flat: Column, words: list[str]) -> Column:
+    """All places of the words, as the words, in one pass."""
+    if not words:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(flat, F.lit(rf"(?<!\S)(?:{'|'.join(map(re.escape, words))})(?!\S)"), F.lit(0))
+
+
+def _frequency(found: Column, word: str) -> Column:
+    return F.size(F.filter(found, lambda w: w == word))
 
 
 def corpus_statistics(docs: DataFrame, words: list[str]) -> dict:
     """Documents, mean length and document frequencies of ``words``: one small row."""
-    base = docs.select(_flat(F.col("text")).alias("flat"))
-    row = base.agg(F.count("*").alias("n"), F.avg(_length(F.col("flat"))).alias("mean"), *[F.count_if(_frequency(F.col("flat"), w) > 0).alias(f"df{i}") for i, w in enumerate(words)]).first()
+    flat = docs.select(_flat(F.col("text")).alias("flat"))
+    base = flat.select(_length(F.col("flat")).alias("dl"), _found(F.col("flat"), words).alias("found"))
+    row = base.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.array_contains("found", w)).alias(f"df{i}") for i, w in enumerate(words)]).first()
     return {"n": row["n"], "mean": row["mean"] or 0.0, "df": {w: row[f"df{i}"] for i, w in enumerate(words)}}
 
 
 def mean_idf(docs: DataFrame, n: int) -> float:
     """Mean inverse document frequency over the whole vocabulary (one partially aggregated shuffle)."""
-    seen = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    seen = T.each(docs, F.array_distinct(T.tokens(F.col("text"))), "w").groupBy("w").agg(F.count("*").alias("df"))
     return seen.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
 
 
@@ -77,11 +85,12 @@ def bm25_scores(docs: DataFrame, query: str, id_column: str = "doc_id") -> DataF
     if any(x < 0 for x in idf.values()):
         floor = EPSILON * mean_idf(docs, stats["n"])
         idf = {w: x if x >= 0 else floor for w, x in idf.items()}
-    base = docs.select(F.col(id_column), _flat(F.col("text")).alias("flat")).withColumn("dl", _length(F.col("flat")))
+    flat = docs.select(F.col(id_column), _flat(F.col("text")).alias("flat"))
+    base = flat.select(id_column, _length(F.col("flat")).alias("dl"), _found(F.col("flat"), list(counts)).alias("found"))
     score = F.lit(0.0)
     for w in counts:
         if w in idf:
-            tf = _frequency(F.col("flat"), w)
+            tf = _frequency(F.col("found"), w)
             score = score + counts[w] * idf[w] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stats["mean"])))
     return base.select(id_column, score.alias("bm25"))
 

@@ -177,3 +177,36 @@ def active_users(rows: DataFrame, user: str, order: str, least: int, most_each:
     wanted = rows.groupBy(user).agg(F.count("*").alias("n_total")).where(F.col("n_total") >= least)
     rank = F.row_number().over(Window.partitionBy(user).orderBy(order))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most_each).join(wanted, user)
+
+
+def delete(cache: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The cache without some keys."""
+    return cache.join(keys.select(key), key, "left_anti")
+
+
+def estimated_savings(hits: Column, cost: float = 0.001, seconds: float = 0.35) -> Column:
+    """What ``hits`` spared: calls, money and milliseconds, at the cost and time of one call."""
+    return F.struct(hits.alias("api_calls_saved"), F.round(hits * cost, 6).alias("estimated_cost_saved_usd"), F.round(hits * seconds * 1000, 6).alias("estimated_time_saved_ms"))
+
+
+def source_hash(files: DataFrame, stamp: str = "mtime") -> DataFrame:
+    """One row: a hash of the index files' sorted times of change; empty without files."""
+    stamps = F.array_join(F.transform(F.array_sort(F.collect_list(F.col(stamp).cast("double"))), lambda s: s.cast("string")), ":")
+    return files.agg(F.when(F.count(stamp) == 0, "").otherwise(F.left(F.md5(stamps), F.lit(12))).alias("source_hash"))
+
+
+def active_threads(threads: DataFrame, now: Column, ttl: int = 24 * 3600) -> DataFrame:
+    """Each thread with whether the bot takes part: it has before, and the last activity is under ``ttl`` seconds ago."""
+    fresh = F.unix_timestamp(now) - F.unix_timestamp("last_activity") < ttl
+    return threads.withColumn("is_active", F.coalesce(fresh & F.col("bot_active"), F.lit(False)))
+
+
+def mentions(found: DataFrame, thread: str, entity: str, stamp: str, now: Column, most: int = 15) -> DataFrame:
+    """Per thread the ``most`` relevant entities of ``found(thread, entity, stamp)``: 0.4 a mention and up to 0.6 for a
+    last one less than a day ago; ``display_name`` is the id in title case."""
+    rows = found.groupBy(thread, entity).agg(F.count("*").alias("mentions"), F.max(stamp).alias("last_mentioned"))
+    hours = (F.unix_timestamp(now) - F.unix_timestamp("last_mentioned")) / 3600
+    relevance = F.col("mentions") * 0.4 + F.greatest(F.lit(0.0), 1.0 - hours / 24) * 0.6
+    rows = rows.withColumn("relevance", F.round(relevance, 6)).withColumn("display_name", F.initcap(F.replace(F.col(entity), F.lit("-"), F.lit(" "))))
+    rank = F.row_number().over(Window.partitionBy(thread).orderBy(F.desc("relevance"), entity))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import any_of
+
 STORE = "compound_types map<string,struct<name:string,description:string,tensions:array<string>,disposition:array<double>>>, individuals map<string,struct<name:string,topics:array<string>,disposition:array<double>>>"
 
 
@@ -24,13 +26,18 @@ def by_topic(affinities: DataFrame, topics: list[str], n: int = 3) -> DataFrame:
 
 
 def choose(voices: DataFrame, n: int = 3, seed: int = 0, tension: bool = True) -> list[str]:
-    """Up to n of a few voices ``(id, tensions)``: the first by seeded chance, then one it is in tension with, then by chance."""
-    rows = [r.id for r in voices.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("id").limit(1000).collect()]
-    if not rows:
+    """Up to n of the voices ``(id, tensions)``: the first by seeded chance, then one it is in tension with, then by
+    chance.  Only the chosen reach the driver."""
+    drawn = voices.select("id", "tensions").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    picked = drawn.limit(n + 1).collect()
+    if not picked:
         return []
-    wanted = voices.where(F.col("id") == rows[0]).first().tensions or []
-    against = [v for v in rows[1:] if any(t in v.lower().replace(" ", "_") for t in wanted)] if tension else []
-    order = [rows[0], *against[:1], *(v for v in rows[1:] if v not in against[:1])]
+    first, against = picked[0], []
+    if tension and first.tensions:
+        plain = F.replace(F.lower("id"), F.lit(" "), F.lit("_"))
+        test = any_of([plain.contains(t) for t in first.tensions])
+        against = [r.id for r in drawn.where((F.col("id") != first.id) & test).limit(1).collect()]
+    order = [first.id, *against, *(r.id for r in picked[1:] if r.id not in against)]
     return order[:n]
 
 

@@ -27,6 +27,41 @@ def role(text: Column, roles: dict[str, tuple[str, ...]] | None = None) -> Colum
     return first_in(text, {variant: name for name, variants in (roles or ROLES).items() for variant in variants})
 
 
+def normalize_role(value: Column, roles: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The role that a name equals, else the first that contains it or that it contains; else null."""
+    low, table = F.trim(F.lower(value)), roles or ROLES
+    exact = [F.when(low.isin(*variants), F.lit(name)) for name, variants in table.items()]
+    near = [F.when(low.contains(v) | F.lit(v).contains(low), F.lit(name)) for name, variants in table.items() for v in variants]
+    return F.coalesce(*exact, *near, F.lit(None).cast("string"))
+
+
+#: Kinds of queries whose patterns are surer than others.
+SURE = ("comparison", "publication_count", "citations", "h_index", "contact", "collaborators", "research_interests")
+LIKELY = ("person_lookup", "topic_search", "project_members", "publication_search")
+
+
+def pattern_confidence(query: Column, matched: Column, subtype: Column) -> Column:
+    """By the kind of query 0.85 to 0.95, and 0.05 more if the match covers over 0.7 of it, at most 1."""
+    base = F.when(subtype.isin(*LIKELY), 0.90).when(subtype.isin(*SURE), 0.95).otherwise(0.85)
+    covers = F.length(matched) / F.greatest(F.length(query), F.lit(1)) > 0.7
+    return F.round(F.when(covers, F.least(base + 0.05, F.lit(1.0))).otherwise(base), 6)
+
+
+def keywords(entities: DataFrame) -> DataFrame:
+    """Distinct keywords of ``entities(kind, name)``: words of 3 or more letters of people's and datasets' names, of 4 or
+    more of topics and descriptions (these only letters), other names whole."""
+    low, kind = F.lower("name"), F.col("kind")
+    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+    of = (
+        F.when(kind.isin("person", "dataset", "resource"), F.filter(words, lambda w: F.length(w) >= 3))
+        .when(kind == "topic", F.filter(words, lambda w: F.length(w) >= 4))
+        .when(kind == "description", F.filter(words, lambda w: (F.length(w) >= 4) & w.rlike(r"^\p{L}+$")))
+        .when(kind.isin("owner", "file"), F.filter(F.array(low), lambda w: F.length(w) >= 3))
+        .otherwise(F.array(low))
+    )
+    return entities.where("name is not null").select(F.explode(of).alias("keyword")).distinct()
+
+
 def compound(queries: DataFrame, institutions: dict[str, str], query: str = "query") -> DataFrame:
     """Adds ``institution``, ``role``, ``topic`` and ``is_compound`` (at least two of them)."""
     low = F.lower(query)

@@ -27,8 +27,49 @@ def confidence(sources: DataFrame, answer: str, kind: str = "type", relevance: s
     return rows.withColumn("score", score).withColumn("level", level(F.col("score"))).select(answer, "n", "score", "level")
 
 
-def reasons(sources: DataFrame, answer: str, kind: str = "type") -> DataFrame:
-    """Counts of source kinds as text."""
-    per = sources.groupBy(answer, kind).agg(F.count("*").alias("n"))
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(kind, "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x[kind])), ", ")
-    return per.groupBy(answer).agg(F.concat(F.lit("Based on "), F.sum("n").cast("string"), F.lit(" sources ("), told, F.lit(")")).alias("reason"))
+def reasons(sources: DataFrame, answer: str, kind: str = "type", order: str | None = None, similarity: Column | None = None, classification: Column | None = None) -> DataFrame:
+    """Per ``answer`` of ``sources(answer, type)`` why its confidence is what it is, in sentences: structured data among
+    the sources, their number and kinds (in order of first appearance by ``order``), a low or high ``similarity`` and an
+    unclear ``classification`` (aggregates over an answer's rows).  An answer without sources has a row of null type."""
+    at = F.col(order) if order else F.col(kind)
+    held = [F.min(F.struct(at, kind)).alias("first"), F.count(kind).alias("n")]
+    extra = {"similarity": similarity, "classification": classification}
+    per = sources.groupBy(answer, kind).agg(*held)
+    list_of = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("first", "n", kind)))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x[kind]))
+    told = per.groupBy(answer).agg(F.sum("n").alias("n"), list_of.alias("kinds"), F.bool_or(F.coalesce(F.col(kind) == "registry", F.lit(False))).alias("structured"), F.max(kind).alias("one"))
+    values = [(c if c is not None else F.max(F.lit(0.6 if name == "similarity" else 1.0))).alias(name) for name, c in extra.items()]
+    told = told.join(sources.groupBy(answer).agg(*values), answer)
+    count = F.when(F.col("n") == 0, "No sources found").when(F.col("n") == 1, F.concat(F.lit("Based on single source ("), "one", F.lit(")")))
+    count = count.otherwise(F.concat(F.lit("Based on "), F.col("n").cast("string"), F.lit(" sources ("), F.array_join("kinds", ", "), F.lit(")")))
+    near = F.when(F.col("similarity") < 0.5, "Low semantic match to query").when(F.col("similarity") > 0.8, "High semantic relevance")
+    unclear = F.when(F.col("classification") < 0.7, "Query intent unclear")
+    return told.select(answer, F.concat_ws(". ", F.when(F.col("structured"), "Found structured registry data"), count, near, unclear).alias("reason"))
+
+
+def structured_sources(results: DataFrame) -> DataFrame:
+    """Sources of ``results(type, name, title, url, score)`` from a registry: a person's profile, a project, a publication
+    by the start of its title, anything else by its name."""
+    kind, name = F.col("type"), F.col("name")
+    title = F.left(F.coalesce("title", F.lit("Untitled")), F.lit(50))
+    person = F.coalesce(name, F.lit("Unknown"))
+    named = F.when(kind == "person", F.concat(person, F.lit(" profile"))).when(kind == "project", F.coalesce(name, F.lit("Unknown Project"))).when(kind == "publication", title).otherwise(F.coalesce(name, kind))
+    cited = F.concat(named, F.when(kind == "publication", " (registry publication)").otherwise(" (registry)"))
+    url = F.when(kind.isin("person", "publication"), F.col("url"))
+    return results.select(F.lit("registry").alias("type"), named.alias("name"), cited.alias("citation"), F.coalesce("score", F.lit(1.0)).alias("relevance"), url.alias("url"))
+
+
+def document_sources(results: DataFrame) -> DataFrame:
+    """Sources of ``results(citation, source_file, score)`` from a search."""
+    cited = F.coalesce("citation", "source_file", F.lit("unknown"))
+    return results.select(F.lit("document").alias("type"), cited.alias("name"), cited.alias("citation"), F.coalesce("score", F.lit(0.5)).alias("relevance"), F.lit(None).cast("string").alias("url"))
+
+
+def web_sources(results: DataFrame, rank: str = "rank") -> DataFrame:
+    """Sources of ``results(rank, title, url)``, ranks from 0: the relevance falls by 0.1 a rank, to 0.5."""
+    title = F.coalesce("title", F.lit("Web Result"))
+    return results.select(F.lit("web").alias("type"), title.alias("name"), title.alias("citation"), F.greatest(F.lit(0.5), F.round(1.0 - F.col(rank) * 0.1, 6)).alias("relevance"), F.coalesce("url", F.lit("")).alias("url"))
+
+
+def sources(structured: DataFrame, semantic: DataFrame) -> DataFrame:
+    """Sources of both kinds of results, the structured ones first in their columns' sense only: rows have no order."""
+    return structured_sources(structured).unionByName(document_sources(semantic))

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-#: The quality below which fallbacks are tried, and how often.
-GATE, RETRIES = 0.6, 2
+#: The quality from which a step succeeds, that below which fallbacks are tried, and how often.
+LEAST, GATE, RETRIES = 0.3, 0.6, 2
+#: What a structured and a semantic result adds to a step's quality, when it is run and when it is planned.
+RUN, PLANNED = (0.05, 0.08), (0.1, 0.1)
+#: Strings of a query that is not simple.
+JOINED = (" and ", " or ", " compare ", " versus ", " vs ", " relationship ", " between ", " both ", " multiple ", " all ", " similar to ", " like ", " as well as ", " along with ", " together ")
 
 
 @dataclass
@@ -17,6 +23,7 @@ class Step:
     action: str
     query: str
     parent: str | None = None
+    sources: tuple[str, ...] = ()
 
 
 @dataclass
@@ -26,6 +33,10 @@ class Outcome:
     quality: float
     error: str | None = None
 
+    @property
+    def success(self) -> bool:
+        return self.error is None and self.quality >= LEAST
+
 
 @dataclass
 class Execution:
@@ -34,60 +45,138 @@ class Execution:
 
     @property
     def quality(self) -> float:
-        return max((o.quality for o in self.outcomes), default=0.0)
+        return max((o.quality for o in self.outcomes if o.success), default=0.0)
+
+    @property
+    def success(self) -> bool:
+        return self.quality >= LEAST
 
 
 def in_order(steps: list[Step]) -> list[Step]:
-    """Parents before children, in the given order otherwise; steps on a cycle come last."""
-    done: set[str] = set()
-    left, out = list(steps), []
-    names = {s.id for s in steps}
+    """Steps without a parent first, then, round by round, those whose parent is there; others last."""
+    out = [s for s in steps if s.parent is None]
+    left = [s for s in steps if s.parent is not None]
     while left:
-        ready = [s for s in left if s.parent is None or s.parent in done or s.parent not in names] or left
-        out += ready
-        done |= {s.id for s in ready}
-        left = [s for s in left if s not in ready]
-    return out
+        before = len(left)
+        for step in list(left):
+            if step.parent in {s.id for s in out}:
+                out.append(step)
+                left.remove(step)
+        if len(left) == before:
+            break
+    return out + left
+
+
+def quality_of(structured: int, semantic: int = 0, direct: bool = False, error: bool = False, per: tuple[float, float] = RUN) -> float:
+    """0 for an error, 0.9 for a direct answer, else a base and a little per result, structured ones before others; 0.2 for nothing."""
+    if error:
+        return 0.0
+    if direct and per == RUN:
+        return 0.9
+    if structured:
+        return min(1.0, 0.7 + per[0] * structured)
+    return min(0.8, 0.4 + per[1] * semantic) if semantic else 0.2
+
+
+def result_quality(structured: Column, semantic: Column, direct: Column, error: Column, per: tuple[float, float] = RUN) -> Column:
+    """``quality_of`` for a table of results."""
+    some = F.when(structured > 0, F.least(F.lit(1.0), 0.7 + per[0] * structured)).when(semantic > 0, F.least(F.lit(0.8), 0.4 + per[1] * semantic)).otherwise(0.2)
+    plain = F.when(direct, 0.9).otherwise(some) if per == RUN else some
+    return F.round(F.when(error, 0.0).otherwise(plain), 6)
+
+
+def text_quality(text: Column, planned: bool = False) -> Column:
+    """The quality of a result that is a text: 0.2 if short, less if it tells of a failure, else by its length (a plan takes 0.6)."""
+    low, n = F.lower(text), F.length(text)
+    failed = low.contains("error") | low.contains("not found")
+    if planned:
+        return F.when(text.isNull(), 0.0).when(n < 50, 0.2).when(failed, 0.1).otherwise(0.6)
+    good = F.least(F.lit(0.8), 0.5 + F.least(F.lit(0.3), n / 1000))
+    return F.round(F.when(text.isNull(), 0.0).when(n < 50, 0.2).when(failed, 0.1).when(low.contains("no results"), 0.15).otherwise(good), 6)
 
 
-def quality_of(n: int, structured: bool) -> float:
-    """0 for nothing, else a base and a little per row, at most 1."""
-    return 0.0 if n == 0 else min(1.0, (0.7 + 0.05 * n) if structured else (0.5 + 0.08 * n))
+def list_quality(n: Column) -> Column:
+    """The quality of a result that is a list of ``n``."""
+    return F.when(n == 0, 0.2).otherwise(F.round(F.least(F.lit(0.9), 0.5 + 0.1 * n), 6))
+
+
+def combine(found: dict[str, DataFrame], names: tuple[str, ...]) -> DataFrame | None:
+    """The rows of the named steps that succeeded, each with its ``step``; null without any."""
+    parts = [found[n].withColumn("step", F.lit(n)) for n in names if n in found]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def execute(steps: list[Step], actions: dict[str, Callable[[str, DataFrame | None], DataFrame]], fallbacks: list[str] = (), structured: tuple[str, ...] = ("registry",)) -> Execution:
-    """Run steps in order; while the mean quality is under the gate, try fallback actions on the first query.  A failing
-    fallback doesn't count as a retry; the final quality is the best step's."""
+    """Run steps in order, leaving out those whose parent did not succeed.  If the mean quality of the successful steps is
+    under the gate, fallback actions are tried on the first query until one reaches the gate; one that does not succeed is
+    no retry.  The final quality is the best successful step's.  A step ``combine`` unites the rows of its sources."""
     run, found = Execution(), {}
 
     def one(step: Step) -> Outcome:
         try:
-            rows = actions[step.action](step.query, found.get(step.parent))
+            rows = combine(found, step.sources) if step.action == "combine" else actions[step.action](step.query, found.get(step.parent))
+            if rows is None:
+                return Outcome(step.id, None, 0.0, "no source results to combine")
             n = len(rows.take(20))
-            found[step.id] = rows
-            return Outcome(step.id, rows, quality_of(n, step.action in structured))
+            out = Outcome(step.id, rows, quality_of(n, 0) if step.action in structured else quality_of(0, n))
         except Exception as error:  # a failed step is an outcome, not the end of the plan
             return Outcome(step.id, None, 0.0, str(error))
+        if out.success:
+            found[step.id] = rows
+        return out
 
     for step in in_order(steps):
-        run.outcomes.append(one(step))
-    for name in fallbacks:
-        mean = sum(o.quality for o in run.outcomes) / max(1, len(run.outcomes))
-        if mean >= GATE or run.fallbacks >= RETRIES:
-            break
-        outcome = one(Step(f"fallback:{name}", name, steps[0].query))
-        run.outcomes.append(outcome)
-        run.fallbacks += outcome.error is None
+        if step.parent is None or step.parent in found:
+            run.outcomes.append(one(step))
+    good = [o.quality for o in run.outcomes if o.success]
+    if (sum(good) / len(good) if good else 0.0) < GATE:
+        for name in fallbacks:
+            if run.fallbacks >= RETRIES:
+                break
+            outcome = one(Step(f"fallback:{name}", name, steps[0].query if steps else ""))
+            if outcome.success:
+                run.outcomes.append(outcome)
+                run.fallbacks += 1
+                if outcome.quality >= GATE:
+                    break
     return run
 
 
+def simple(query: Column) -> Column:
+    """Short lookups, and queries of at most ten words that join nothing."""
+    low = F.trim(F.lower(query))
+    n = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
+    asks = low.startswith("who is ") | low.startswith("who's ") | low.startswith("what is ")
+    joined = reduce(lambda a, b: a | b, [low.contains(w) for w in JOINED])
+    return ((n <= 5) & asks) | (~joined & (n <= 10))
+
+
+def action(query: Column) -> Column:
+    """What a simple plan does: lookups go to the registry, technical questions to documents, talk is answered directly."""
+    low = F.trim(F.lower(query))
+    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    asks = low.startswith("who is ") | low.startswith("who's ") | low.startswith("what is ")
+    technical, talk = has("how do i", "how to", "setup", "install", "error"), has("what can you", "help me", "your capabilities")
+    told = lambda a, i: F.struct(F.lit(a).alias("action"), F.lit(i).alias("intent"))
+    return F.when(asks, told("search_registry", "lookup")).when(technical, told("search_docs", "technical")).when(talk, told("direct_answer", "explore")).otherwise(told("search_registry", "lookup"))
+
+
 def is_simple(query: str) -> bool:
-    words = query.split()
-    return len(words) <= 8 and not any(w in query.lower() for w in (" and ", "compare", "versus", " then ", "relationship"))
+    low, n = query.lower().strip(), len(query.split())
+    return n <= 5 and low.startswith(("who is ", "who's ", "what is ")) or n <= 10 and not any(w in low for w in JOINED)
 
 
 def make_plan(query: str) -> list[Step]:
-    """One step for a simple query; a lookup and a dependent search otherwise."""
+    """One step for a simple query; a lookup, a dependent search and their union otherwise."""
     if is_simple(query):
-        return [Step("s1", "search", query)]
-    return [Step("s1", "registry", query), Step("s2", "search", query, "s1")]
+        low = query.lower().strip()
+        technical = not low.startswith(("who is ", "who's ", "what is ")) and any(w in low for w in ("how do i", "how to", "setup", "install", "error"))
+        return [Step("s1", "search" if technical else "registry", query)]
+    return [Step("s1", "registry", query), Step("s2", "search", query, "s1"), Step("s3", "combine", query, "s2", ("s1", "s2"))]
+
+
+def merged(responses: DataFrame, key: str, order: str, content: str = "content", error: str = "error") -> DataFrame:
+    """The contents of each ``key``'s responses without an error, in order, parted by blank lines; a sole response as it is."""
+    kept = F.filter(F.array_sort(F.collect_list(F.struct(order, content, error))), lambda r: F.coalesce(r[error], F.lit("")) == "")
+    rows = responses.groupBy(key).agg(kept.alias("_kept"), F.count("*").alias("_n"), F.first(content).alias("_sole"))
+    return rows.select(key, F.when(F.col("_n") == 1, F.col("_sole")).otherwise(F.array_join(F.transform("_kept", lambda r: r[content]), "\n\n")).alias(content))

@@ -28,10 +28,12 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".txt", ".md", ".vtt")) -> DataFrame:
-    """Whole text files below a folder with path, time of change, size and content hash."""
+    """Whole text files below a folder with path, time of change, size and content hash; bytes that are no UTF-8 are
+    replaced, and ``is_utf8`` tells."""
+    raw = F.col("content").cast("string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     wanted = files.where(F.col("path").rlike("(?i)(" + "|".join(map(re.escape, extensions)) + ")$"))
-    return wanted.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"), content_hash(F.col("content")).alias("hash"))
+    return wanted.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), F.make_valid_utf8(raw).alias("text"), F.is_valid_utf8(raw).alias("is_utf8"), content_hash(F.col("content")).alias("hash"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,8 +76,9 @@ def parsed_elements(spark: SparkSession, manifest: str, text: str) -> DataFrame:
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<name:string,lo:int,hi:int>>").alias("out"))
     step = lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.array_append(s["out"], F.struct(x["name"].alias("name"), s["at"].alias("lo"), (s["at"] + x["n"]).alias("hi"))).alias("out"))
     bounds = bounds.select(F.explode(F.aggregate("files", begin, step)["out"]).alias("b")).select("b.*")
+    places = bounds.where("hi > lo").select(F.col("name").alias("source_file"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("element"))
     elements = spark.read.text(text, wholetext=True).select(F.posexplode(F.split("value", r"\n\n")).alias("element", "text"))
-    return elements.join(F.broadcast(bounds), (F.col("element") >= F.col("lo")) & (F.col("element") < F.col("hi"))).select("element", F.col("name").alias("source_file"), "text")
+    return elements.join(places, "element").select("element", "source_file", "text")
 
 
 _STAMP = re.compile(r"((?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3})\s*-->\s*((?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3})")

@@ -1,30 +1,50 @@
 """Streaming forms of the incremental operators.
 
-State lives in the session's ``spark.checkpoint.dir`` (or a folder of our own where that
-is unset, as in tests), never in a machine's temporary folder on a cluster.
+State lives in the session's ``spark.checkpoint.dir``, or in a folder of the warehouse where that is unset; both are
+shared by driver and executors.  Results are written beside the old ones and count once they are complete.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, tokens
 from ..operators.snapshots import diff
 
 
 def place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarnwork-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, folder: str, mark: str = "_SUCCESS") -> list[int]:
+    """The complete versions ``v1, v2, ...`` below a folder, in order."""
+    path, files = _folder(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    found = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()]
+    return sorted(v for v in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{v}/{mark}")))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path, files = _folder(spark, folder)
+    files.delete(path, True)
+
+
 def run_available(rows: DataFrame, each: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
     """Process what is there, batch by batch, and stop."""
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
@@ -44,45 +64,106 @@ def window_counts(events: DataFrame, stamp: str, key: str, window: str = "1 day"
 
 
 def keep_latest(rows: DataFrame, target: str, mode: str = "complete") -> None:
-    """Write a complete-mode result over and over; the last batch stays."""
-    run_available(rows, lambda batch, _: batch.write.mode("overwrite").parquet(target), target + "-state", mode)
+    """Write a complete-mode result batch by batch, each beside the one before, which then goes; see ``latest``."""
+    spark = rows.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/v{number + 1}")
+        for old in versions(spark, target)[:-1]:
+            _remove(spark, f"{target}/v{old}")
+
+    run_available(rows, each, target + "-state", mode)
+
+
+def latest(spark: SparkSession, target: str) -> DataFrame:
+    """The last complete result of ``keep_latest``."""
+    return spark.read.parquet(f"{target}/v{versions(spark, target)[-1]}")
 
 
 class IncrementalIndex:
-    """Document chunks kept up to date by content hash: unchanged files are skipped, changed ones replaced."""
+    """Document chunks kept up to date by content hash: unchanged files are skipped, changed ones replaced.
+
+    The folder is a log: each version holds only the files and chunks that it adds and the paths that it removes, and
+    counts once its mark is there.  An index over a folder goes on with the versions that it finds.
+    """
+
+    _FILES = "path string, hash string, removed boolean, num_chunks long, indexed_at timestamp, version int"
 
     def __init__(self, spark: SparkSession, folder: str, chunker: Callable[[DataFrame], DataFrame]) -> None:
         self.spark, self.folder, self.chunker = spark, folder, chunker
-        self.version = 0
 
     def _at(self, version: int, table: str) -> str:
         return f"{self.folder}/v{version}/{table}"
 
+    @property
+    def version(self) -> int:
+        return max(versions(self.spark, self.folder, "_done"), default=0)
+
+    def _logged(self) -> DataFrame:
+        """The last entry of each path, removed ones too."""
+        found = versions(self.spark, self.folder, "_done")
+        if not found:
+            return self.spark.createDataFrame([], self._FILES)
+        rows = self.spark.read.schema(self._FILES).parquet(*[self._at(v, "files") for v in found])
+        return rows.groupBy("path").agg(F.max_by(F.struct("hash", "removed", "num_chunks", "indexed_at", "version"), "version").alias("f")).select("path", "f.*")
+
     def files(self) -> DataFrame:
-        return self.spark.read.parquet(self._at(self.version, "files")) if self.version else self.spark.createDataFrame([], "path string, hash string")
+        """``path, hash`` of what is indexed."""
+        return self._logged().where("not removed").select("path", "hash")
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(self._at(self.version, "chunks"))
+        """The chunks of what is indexed."""
+        found = versions(self.spark, self.folder, "_done")
+        parts = [self.spark.read.parquet(self._at(v, "chunks")).withColumn("version", F.lit(v)) for v in found]
+        rows = reduce(lambda a, b: a.unionByName(b), parts)
+        return rows.join(self._logged().where("not removed").select("path", "version"), ["path", "version"]).drop("version")
+
+    def _commit(self, files: DataFrame, chunks: DataFrame) -> None:
+        new = self.version + 1
+        chunks.write.mode("overwrite").parquet(self._at(new, "chunks"))
+        made = self.spark.read.parquet(self._at(new, "chunks")).groupBy("path").agg(F.count("*").alias("num_chunks"))
+        rows = files.join(made, "path", "left").select("path", "hash", "removed", F.coalesce("num_chunks", F.lit(0).cast("long")).alias("num_chunks"), F.current_timestamp().alias("indexed_at"), F.lit(new).alias("version"))
+        rows.write.mode("overwrite").parquet(self._at(new, "files"))
+        path, where = _folder(self.spark, f"{self.folder}/v{new}/_done")
+        where.create(path, True).close()
 
     def apply(self, batch: DataFrame, _: int = 0) -> None:
-        """Upsert ``batch(path, text)``; the new version is written beside the old one and then used."""
-        new = batch.select("path", "text", content_hash(F.col("text")).alias("hash")).dropDuplicates(["path"])
-        changed = new.join(self.files().select("path", F.col("hash").alias("old")), "path", "left").where("old is null or old <> hash").drop("old")
-        made = self.chunker(changed.select("path", "text"))
-        files, chunks = changed.select("path", "hash"), made
-        if self.version:
-            paths = changed.select("path")
-            files = self.files().join(paths, "path", "left_anti").unionByName(files)
-            chunks = self.chunks().join(paths, "path", "left_anti").unionByName(chunks)
-        files.write.mode("overwrite").parquet(self._at(self.version + 1, "files"))
-        chunks.write.mode("overwrite").parquet(self._at(self.version + 1, "chunks"))
-        self.version += 1
+        """Upsert ``batch(path, text[, mtime])``; of several texts of a path the latest counts, or the one of smallest hash."""
+        stamp = F.col("mtime") if "mtime" in batch.columns else F.lit(0)
+        hashed = batch.select("path", "text", content_hash(F.col("text")).alias("hash"), stamp.alias("at"))
+        last = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("at"), "hash"))).where("rank = 1")
+        changed = last.join(self.files().select("path", F.col("hash").alias("old")), "path", "left").where("old is null or old <> hash")
+        self._commit(changed.select("path", "hash", F.lit(False).alias("removed")), self.chunker(changed.select("path", "text")))
 
     def remove(self, paths: DataFrame) -> None:
-        files, chunks = (x.join(paths.select("path"), "path", "left_anti") for x in (self.files(), self.chunks()))
-        files.write.mode("overwrite").parquet(self._at(self.version + 1, "files"))
-        chunks.write.mode("overwrite").parquet(self._at(self.version + 1, "chunks"))
-        self.version += 1
+        if not self.version:
+            return
+        gone = self.files().join(paths.select("path").distinct(), "path", "left_semi")
+        self._commit(gone.select("path", "hash", F.lit(True).alias("removed")), self.chunks().limit(0))
+
+    def status(self, last: int = 10) -> DataFrame:
+        """One row: the numbers of files and chunks, the time of the last change and the files indexed last."""
+        held = self._logged().where("not removed")
+        recent = held.orderBy(F.desc("indexed_at"), "path").limit(last).agg(F.array_sort(F.collect_list(F.struct("path", "num_chunks"))).alias("files"))
+        return held.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("num_chunks"), F.lit(0)).alias("total_chunks"), F.max("indexed_at").alias("updated_at")).join(F.broadcast(recent))  # one row
+
+    def export(self, path: str, *order: str) -> None:
+        """The chunks in order with their tokens, for search."""
+        rows = self.chunks()
+        rows.withColumn("tokens", tokens(F.col("text"))).sort(*(order or ("path",))).write.mode("overwrite").parquet(path)
+
+    def compact(self) -> None:
+        """Write all that is indexed as one version and drop those before it."""
+        old = versions(self.spark, self.folder, "_done")
+        if old:
+            self._commit(self.files().withColumn("removed", F.lit(False)), self.chunks())
+            for version in old:
+                _remove(self.spark, f"{self.folder}/v{version}")
+
+    def reindex(self, batch: DataFrame) -> None:
+        """Forget everything and index the batch."""
+        _remove(self.spark, self.folder)
+        self.apply(batch)
 
 
 def daily_diff(spark: SparkSession, snapshots: DataFrame, log: str) -> Callable[[DataFrame, int], None]:

@@ -188,7 +188,13 @@ def test_plan_steps(spark):
     assert [s.id for s in order] == ["a", "b", "c"]
     actions = {"registry": lambda q, _: spark.range(0), "search": lambda q, parent: spark.range(8), "broken": lambda q, _: 1 / 0}
     run = steps.execute([steps.Step("s1", "registry", "q")], actions, ["broken", "search", "search"])
-    assert run.fallbacks == 2 and run.quality == 1.0 and run.outcomes[1].error
+    # An empty lookup (0.2) is no success; the broken fallback is no retry; the search (8 rows) reaches the gate.
+    assert run.fallbacks == 1 and run.quality == 0.8 and [o.success for o in run.outcomes] == [False, True]
+    plan = steps.make_plan("papers on gears and bolts")
+    run = steps.execute(plan, {"registry": lambda q, _: spark.range(2), "search": lambda q, parent: parent.limit(1)})
+    assert [o.step for o in run.outcomes] == ["s1", "s2", "s3"] and run.outcomes[2].rows.count() == 3 and run.success
+    skipped = steps.execute([steps.Step("a", "broken", "q"), steps.Step("b", "search", "q", "a")], actions)
+    assert [o.step for o in skipped.outcomes] == ["a"] and skipped.quality == 0.0 and not skipped.success
 
 
 def test_registries(spark, tmp_path):
