@@ -29,7 +29,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".txt", ".md", ".vtt")) -> DataFrame:
     """Whole text files below a folder with path, time of change, size and content hash; bytes that are no UTF-8 are
-    replaced, and ``is_utf8`` tells."""
+    replaced, and ``is_utf8`` tells.  Empty files have no row, as Spark does not read them."""
     raw = F.col("content").cast("string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     wanted = files.where(F.col("path").rlike("(?i)(" + "|".join(map(re.escape, extensions)) + ")$"))
@@ -64,7 +64,8 @@ def append_log(rows: DataFrame, path: str) -> None:
 def chat_messages(spark: SparkSession, folder: str, users: DataFrame | None = None, least: int = 20) -> DataFrame:
     """Messages of per-channel daily exports, without joins, leaves and bots, of at least ``least`` characters."""
     raw = spark.read.schema(CHAT).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder, multiLine=True)
-    raw = raw.withColumn("channel", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1))
+    folder_name = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
+    raw = raw.withColumn("channel", F.url_decode(F.replace(folder_name, F.lit("+"), F.lit("%2B"))))  # paths come URL-encoded
     said = raw.where(~F.coalesce("subtype", F.lit("")).isin("channel_join", "channel_leave", "bot_message") & (F.length("text") >= least))
     return said.join(users.select(F.col("id").alias("user"), F.col("name").alias("user_name")), "user", "left") if users is not None else said
 

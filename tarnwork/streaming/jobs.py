@@ -147,10 +147,9 @@ class IncrementalIndex:
         recent = held.orderBy(F.desc("indexed_at"), "path").limit(last).agg(F.array_sort(F.collect_list(F.struct("path", "num_chunks"))).alias("files"))
         return held.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("num_chunks"), F.lit(0)).alias("total_chunks"), F.max("indexed_at").alias("updated_at")).join(F.broadcast(recent))  # one row
 
-    def export(self, path: str, *order: str) -> None:
+    def export(self, path: str, text: str = "chunk", order: tuple[str, ...] = ("path", "chunk_index")) -> None:
         """The chunks in order with their tokens, for search."""
-        rows = self.chunks()
-        rows.withColumn("tokens", tokens(F.col("text"))).sort(*(order or ("path",))).write.mode("overwrite").parquet(path)
+        self.chunks().withColumn("tokens", tokens(F.col(text))).sort(*order).write.mode("overwrite").parquet(path)
 
     def compact(self) -> None:
         """Write all that is indexed as one version and drop those before it."""
