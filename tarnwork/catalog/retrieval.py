@@ -106,7 +106,12 @@ def rerank_sigmoid_mix(spark: SparkSession, d: str) -> DataFrame:
     return R.rerank(full, raw, 10).select("id", "score")
 
 
-@BOOK.add()
+_COSINE = f"{sql_dot('a.v', 'b.v')} / (sqrt({sql_dot('a.v', 'a.v')}) * sqrt({sql_dot('b.v', 'b.v')}))"
+
+
+@BOOK.add(f"""WITH RECURSIVE {_SEM}, c AS (SELECT sem.vec_id AS id, score, v FROM sem JOIN vecs USING (vec_id) ORDER BY score DESC, sem.vec_id LIMIT 20), near AS (SELECT a.id AS id, b.id AS other, {_COSINE} AS cos FROM c a, c b),
+    chosen(step, ids) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT step + 1, list_append(ids, (SELECT arg_min(c.id, struct_pack(a := -round(0.7::DOUBLE * c.score - 0.3::DOUBLE * coalesce((SELECT max(cos) FROM near WHERE near.id = c.id AND list_contains(ids, other)), 0), 9), b := -c.score, d := c.id)) FROM c WHERE NOT list_contains(ids, c.id))) FROM chosen WHERE step < 10)
+    SELECT c.id, rank, round(score, 6) AS score FROM (SELECT unnest(ids) AS id, generate_subscripts(ids, 1) AS rank FROM chosen WHERE step = 10) p JOIN c ON c.id = p.id""")
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return R.mmr(R.vector_search(e, R.vector_of(e, PIVOT), 20).select(F.col("vec_id").alias("id"), "score", "embedding"), 10)

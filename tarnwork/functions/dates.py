@@ -80,13 +80,25 @@ def _parts(family: str, g: tuple[str, ...]) -> tuple[int, int | None, int | None
     return int(g[0]), None, None, None
 
 
+#: What a text must hold (in lower case) for a family to match at all, and the families that need the name of a month.
+_NEEDS = {"iso": ("-", "/"), "us": ("/",), "quarter": ("q",), "fiscal": ("fy",), "season": tuple(SEASONS), "years": ("-", "–"), "days": ("-", "–")}
+_NAMED = ("mdy", "dmy", "month", "days")
+_HINTS = sorted({hint for hints in _NEEDS.values() for hint in hints})
+_MONTH_NAME = re.compile("|".join(_SHORT))
+_COMPILED = {family: (re.compile(pattern, re.IGNORECASE), confidence) for family, (pattern, confidence) in FAMILIES.items()}
+
+
 def find(text: str) -> list[dict]:
     """Dates of one text after context and deduplication, by start."""
     if not _DIGIT.search(text):
         return []
-    found = []
-    for family, (pattern, confidence) in FAMILIES.items():
-        for m in re.finditer(pattern, text, re.IGNORECASE):
+    found, low = [], text.casefold()
+    hinted = {hint for hint in _HINTS if hint in low}
+    named = bool(_MONTH_NAME.search(low))
+    for family, (pattern, confidence) in _COMPILED.items():
+        if family in _NAMED and not named or family in _NEEDS and not hinted.intersection(_NEEDS[family]):
+            continue
+        for m in pattern.finditer(text):
             parts = _parts(family, m.groups())
             if parts is None:
                 continue

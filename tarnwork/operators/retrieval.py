@@ -160,10 +160,15 @@ def rerank(candidates: DataFrame, raw: Column, k: int, id_column: str = "id") ->
 def mmr(candidates: DataFrame, k: int, weight: float = 0.7, id_column: str = "id", group: str | None = None) -> DataFrame:
     """Greedy choice of ``weight * score - (1 - weight) * nearest chosen cosine``; ties keep the earlier candidate.
 
-    ``candidates(id, score, embedding)`` are at most 2k rows a query; ``group`` names the query.
+    Of ``candidates(id, score, embedding)`` the 2k best of a query count; ``group`` names the query.
     """
     key = group or "_query"
-    rows = candidates if group else candidates.withColumn(key, F.lit(0))
+    # Only 2k candidates of a query leave their partitions.
+    if group:
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), id_column))
+        rows = candidates.withColumn("_rank", rank).where(F.col("_rank") <= 2 * k).drop("_rank")
+    else:
+        rows = candidates.orderBy(F.desc("score"), id_column).limit(2 * k).withColumn(key, F.lit(0))
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["score", id_column], ascending=[False, True]).head(2 * k).reset_index(drop=True)

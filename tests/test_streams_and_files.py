@@ -49,3 +49,32 @@ def test_many_voices(spark):
     picked = voices.choose(rows, 3, seed=4)
     assert len(picked) == 3 == len(set(picked)) and picked[1] == "v 2999" and picked == voices.choose(rows, 3, seed=4)
     assert voices.choose(rows.where("false"), 3) == []
+
+
+def test_hints_lose_no_date():
+    """Every family with and without its hints: all patterns on texts of parts of dates."""
+    import random
+    import re
+
+    from tarnwork.functions import dates
+
+    rng = random.Random(3)
+    parts = ["March", "mar", "Sept", "4", "12th", "2024", "2019", "-", "/", "–", "Q3", "q", "FY", "fy24", "FY-2023", "Spring", "autumn", "in", "by", " ", " ", "03", "2024-01-05", "1/2/24", "until", ",", "İ", "K"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        plain = {(m.start(), m.end()) for f, (p, _) in dates.FAMILIES.items() for m in re.finditer(p, text, re.I) if dates._parts(f, m.groups())}
+        told = {(d["char_start"], d["char_end"]) for d in dates.find(text)}
+        assert told <= plain and bool(told) == bool(plain), text
+
+
+def test_similar_entries_equal_numpy(spark):
+    import numpy as np
+
+    from tarnwork.operators import index
+
+    entries = spark.createDataFrame([(f"p{i}", "part", f"word{i % 7} gear{i % 5} x{i}") for i in range(60)], "id string, doc_type string, text string")
+    built = index.build(entries)
+    held = {r.id: np.array(r.embedding, dtype=float) for r in built.collect()}
+    cosine = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
+    want = sorted(((-round(cosine(held["p1"], v), 6), i) for i, v in held.items() if i != "p1"))[:5]
+    assert [(r.id, round(r.score, 5)) for r in index.similar(built, "p1", 5).collect()] == [(i, round(-s, 5)) for s, i in want]
