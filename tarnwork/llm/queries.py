@@ -100,6 +100,26 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(expand(talks.unionByName(fixture)))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"), least_docs=10, k=10)
+
+
+def op12_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC files of both versions, converted to WARC, and what a reader of the archives finds."""
+    from .archives import convert, digest, read_warc, write_arc
+
+    legacy = write_arc(_table(spark, sf_dir, "pages"))
+    return digest(read_warc(spark, convert(spark, legacy)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infilling import digest, transform
+
+    return digest(transform(_table(spark, sf_dir, "documents"), seed=1))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -155,6 +175,48 @@ SQL = {
             CAST(sum(upto) FILTER (role = 'assistant' OR k = most) AS BIGINT) AS formatted_chars
         FROM p GROUP BY conv_id
     """,
+    "op11_source_divergence": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+        v AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+        l AS (SELECT lang, sum(n) + 2 * count(*) AS below FROM v GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        b AS (SELECT g.lang, g.source, coalesce((SELECT sum(c.n) FROM c JOIN v USING (lang, term) WHERE c.lang = g.lang AND c.source = g.source), 0) + 2 * (SELECT count(*) FROM v WHERE v.lang = g.lang) AS below FROM g),
+        p AS (
+            SELECT b.lang, b.source, v.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * (coalesce(c.n, 0) + 2)) // b.below AS BIGINT) AS p, CAST(1 + (1000000000 * (v.n + 2)) // l.below AS BIGINT) AS q
+            FROM b JOIN v ON v.lang = b.lang JOIN l ON l.lang = b.lang LEFT JOIN c ON c.lang = b.lang AND c.source = b.source AND c.term = v.term
+        ), pair AS (
+            SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+        ), a AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+            UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+        ), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM a)
+        SELECT * FROM k WHERE part = 'pair' OR rank <= 10
+    """,
+    "op12_warc_conversion": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY h, html) AS first FROM p)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                list_transform(range(4), lambda k: CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM documents
+        ), f AS (
+            SELECT *, CAST(len(u) AS BIGINT) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+        ), s AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM s
+    """,
 }
 
 
