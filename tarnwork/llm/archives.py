@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import _sweep_at_end, partitions, shared_dir
+from ._shared import _sweep_at_end, partitions, shared_dir, shared_table
 
 ID_HEADER = "X-Page-Id"
 #: Field names of a header line by version of the format; the last declares the length, the url comes first.
@@ -247,18 +247,19 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame
     return _read(spark, path, _warc_rows(bodies), _WARC)
 
 
-def _meet(rows: DataFrame, key: str, table: DataFrame, apart: str) -> DataFrame:
-    """``rows`` with the one row that ``table`` has for their key; keys that many rows have are salted by ``apart``."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(apart), F.lit(max(64, partitions(rows.sparkSession)))))
-    needed = salted.select(key, "_salt").distinct().join(table, key)
-    return salted.join(needed, [key, "_salt"]).drop("_salt")
+def _meet(rows: DataFrame, light: DataFrame, key: str, table: DataFrame, apart: str) -> DataFrame:
+    """``rows`` with the one row that ``table`` has for their key; keys that many rows have are salted by ``apart``.
+    ``light`` has the rows' ``key`` and ``apart`` alone."""
+    salt = F.pmod(F.xxhash64(apart), F.lit(max(64, partitions(rows.sparkSession)))).alias("_salt")
+    needed = light.select(key, salt).distinct().join(table, key)
+    return rows.select("*", salt).join(needed, [key, "_salt"]).drop("_salt")
 
 
 def convert(spark: SparkSession, legacy: str, per_file: int = 1000) -> str:
     """Write the ARC records below ``legacy`` as WARC records and return their folder."""
-    light = read_arc(spark, legacy, bodies=False).select("key", F.struct("page_id", "record_id", "url", "date").alias("who"))
-    chosen = light.groupBy("key").agg(F.max("who").alias("first"))
-    rows = _meet(read_arc(spark, legacy), "key", chosen, "record_id")
+    light = shared_table(read_arc(spark, legacy, bodies=False).select("key", "record_id", "page_id", "url", "date"), "arc_records")
+    chosen = light.groupBy("key").agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("first"))
+    rows = _meet(read_arc(spark, legacy), light, "key", chosen, "record_id")
     again = F.col("record_id") != F.col("first.record_id")
     http = F.octet_length("head") > 0
     kind = F.when(again, "revisit").when(http, "response").otherwise("resource")
@@ -285,9 +286,10 @@ def convert(spark: SparkSession, legacy: str, per_file: int = 1000) -> str:
 def digest(records: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of the records that were pages."""
     names = ["page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type")]
+    records = shared_table(records.drop("payload"), "warc_records")  # archives are read once
     whole = records.where("type IN ('response', 'resource')")
     first = whole.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of"), "payload_bytes", "payload_digest")
     again = records.where("type = 'revisit'").select("record_id", "refers_to", "page_id")
-    found = _meet(again, "refers_to", first, "record_id")
+    found = _meet(again, again, "refers_to", first, "record_id")
     back = found.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("of").alias("refers_to"))
     return whole.select(*names, F.lit(None).cast("long").alias("refers_to")).unionByName(back)
