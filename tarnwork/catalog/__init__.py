@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, documents, enrichment, graph, indexes, people, planning, registry, retrieval, routing, snapshots, state, streams
+from . import audit, documents, enrichment, graph, indexes, keeping, people, planning, registry, retrieval, routing, snapshots, state, streams
 
-_AREAS = (retrieval, indexes, registry, graph, snapshots, audit, enrichment, routing, planning, people, documents, state, streams)
+_AREAS = (retrieval, indexes, registry, graph, snapshots, audit, enrichment, routing, planning, people, documents, state, streams, keeping)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import retrieval as R
+from ..operators.postings import Postings
 from ..session import documents, table
+from ..streaming.files import sweep_at_end
+from ..streaming.jobs import place
 from ._book import Book, sql_bm25, sql_dot, sql_quoted, sql_tokens
 
 BOOK = Book()
@@ -34,6 +37,49 @@ def bm25_all_scores(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25_scores(documents(spark, d), QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+_built: dict[tuple[str, str], Postings] = {}
+
+
+def stored(spark: SparkSession, d: str) -> Postings:
+    """The keyword index over whole ``documents``; an application builds it once for a folder, then only reads it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        index = Postings(spark, place(spark, "postings"))
+        sweep_at_end(spark, index.folder)
+        index.add(documents(spark, d))
+        _built[key] = index
+    return _built[key]
+
+
+@BOOK.add(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences, max(tf)::INT AS most FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def postings_build(spark: SparkSession, d: str) -> DataFrame:
+    """What the stored postings hold of each term."""
+    tf = F.aggregate("docs", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
+    return stored(spark, d).postings().groupBy("term").agg(F.sum("n").alias("df"), F.sum(tf).alias("occurrences"), F.max("most").alias("most"))
+
+
+@BOOK.add(f"WITH {_top(_Q, 20)} SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM top), 6) AS score FROM top")
+def bm25_from_postings(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d).search(QUERY, 20)
+
+
+_M = "CASE WHEN doc_id % 3 = 0 THEN text || ' edtion ndble' ELSE text END"
+
+
+@BOOK.add(f"""WITH later AS (SELECT doc_id, {_M} AS text FROM documents WHERE doc_id % 7 <> 1), {_top(_Q, 20).replace('FROM documents', 'FROM later')}
+    SELECT doc_id, round(bm25 / (SELECT max(bm25) FROM top), 6) AS score FROM top""")
+def bm25_after_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that come, change and go in three batches of the index."""
+    docs = documents(spark, d).select("doc_id", "text")
+    index = Postings(spark, place(spark, "postings"))
+    sweep_at_end(spark, index.folder)
+    index.add(docs)
+    changed = F.concat("text", F.lit(" edtion ndble"))
+    index.add(docs.where("doc_id % 3 = 0").withColumn("text", changed))
+    index.remove(docs.where("doc_id % 7 = 1"))
+    return index.search(QUERY, 20)
+
+
 @BOOK.add(f"WITH {_SEM} SELECT vec_id, label, score FROM sem ORDER BY score DESC, vec_id LIMIT 20")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")

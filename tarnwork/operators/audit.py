@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HIGH_SIGNAL_VENUES, any_of, author_group, clean_key, compact_list, title_words
+from .quantiles import quantiles
 
 
 def document_panel(documents: DataFrame, edges: DataFrame, owners: DataFrame, people: DataFrame) -> DataFrame:
@@ -47,8 +48,8 @@ def proxy_scores(rows: DataFrame) -> DataFrame:
 
     The 5 % and 95 % points of the title length are exact and interpolated; they are one row, joined back.
     """
-    low, high = F.percentile("title_word_count", 0.05), F.percentile("title_word_count", 0.95)
-    bounds = rows.agg(F.greatest(F.lit(1.0), low).alias("_low"), high.alias("_high")).select("_low", F.greatest(F.col("_low") + 1, "_high").alias("_high"))
+    points = quantiles(rows, "title_word_count", {"low": 0.05, "high": 0.95})
+    bounds = points.select(F.greatest(F.lit(1.0), "low").alias("_low"), F.col("high").alias("_high")).select("_low", F.greatest(F.col("_low") + 1, "_high").alias("_high"))
     rows = rows.join(F.broadcast(bounds))  # one row
     verbosity = _unit((F.col("title_word_count") - F.col("_low")) / (F.col("_high") - F.col("_low")))
     title = F.coalesce("title", F.lit(""))
@@ -67,7 +68,10 @@ def proxy_scores(rows: DataFrame) -> DataFrame:
 
 def quadrants(rows: DataFrame) -> DataFrame:
     """Median splits (the median itself on the low side) and the composition of authors."""
-    cut = rows.agg(F.median("text_surprise_score").alias("_text"), F.median("representation_contrast_proxy").alias("_contrast"))
+    sides = {"_text": "text_surprise_score", "_contrast": "representation_contrast_proxy"}
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("v")) for n, c in sides.items()])).alias("s")).select("s.*")
+    medians = quantiles(values, "v", {"median": 0.5}, "side")
+    cut = medians.agg(*[F.max(F.when(F.col("side") == n, F.col("median"))).alias(n) for n in sides])
     rows = rows.join(F.broadcast(cut))  # one row
     text, contrast = F.col("text_surprise_score") > F.col("_text"), F.col("representation_contrast_proxy") > F.col("_contrast")
     name = F.when(~text & contrast, "Hidden Gem").when(text & contrast, "Aligned Surprise").when(~text & ~contrast, "Routine").when(text & ~contrast, "False Positive").otherwise("Unclassified")
@@ -76,7 +80,9 @@ def quadrants(rows: DataFrame) -> DataFrame:
 
 def summarize(rows: DataFrame, by: str, means: tuple[str, ...] = ()) -> DataFrame:
     """Rows, rows with citations, mean and median citations, and means of scores per group."""
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count("citation_count").alias("n_with_citations"), F.avg("citation_count").alias("mean_citations"), F.median("citation_count").alias("median_citations"), *[F.avg(m).alias(f"mean_{m}") for m in means])
+    sums = rows.groupBy(by).agg(F.count("*").alias("n"), F.count("citation_count").alias("n_with_citations"), F.avg("citation_count").alias("mean_citations"), *[F.avg(m).alias(f"mean_{m}") for m in means])
+    points = quantiles(rows, "citation_count", {"median_citations": 0.5}, by).withColumnRenamed(by, "_of")
+    return sums.join(points, F.col(by).eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def hidden_ratio(summary: DataFrame) -> DataFrame:

@@ -1,22 +1,25 @@
 """Snapshots of named resources: differences, panels and activity.
 
-``snapshot(name, mtime, size_bytes, owner)``; a panel has a ``snapshot_date`` as well and
-is best kept partitioned by it, so that a date range reads only its partitions.
+``snapshot(name, mtime, size_bytes, owner)``; a panel has a ``snapshot_date`` as well and is kept partitioned by it, so that a
+date range reads only its partitions and a date is written anew without the others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import last_wins
 
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, *by: str) -> DataFrame:
     """Rows ``(name, change, old_value, new_value, delta)``; changes are added, removed, modified, grown, shrunk (with a
-    positive delta) and owner_changed.  A name listed twice counts as its last row by ``ord`` where there is one."""
-    old, new = (last_wins(x, "name", "ord") if "ord" in x.columns else x for x in (old, new))
-    both = old.select("name", F.struct("mtime", "size_bytes", "owner").alias("a")).join(new.select("name", F.struct("mtime", "size_bytes", "owner").alias("b")), "name", "full_outer")
+    positive delta) and owner_changed.  A name listed twice counts as its last row by ``ord`` where there is one.
+    ``by`` names columns before the name that must agree too: many snapshots are compared in one join."""
+    if not by:
+        old, new = (last_wins(x, "name", "ord") if "ord" in x.columns else x for x in (old, new))
+    state = F.struct("mtime", "size_bytes", "owner")
+    both = old.select(*by, "name", state.alias("a")).join(new.select(*by, "name", state.alias("b")), [*by, "name"], "full_outer")
     size = lambda s: F.coalesce(F.col(f"{s}.size_bytes"), F.lit(0))
     kept = F.col("a").isNotNull() & F.col("b").isNotNull()
     change = lambda test, name, x, y, delta: F.when(test, F.struct(F.lit(name).alias("change"), x.cast("string").alias("old_value"), y.cast("string").alias("new_value"), delta.cast("long").alias("delta")))
@@ -27,7 +30,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
         change(kept & (size("b") > size("a")), "grown", size("a"), size("b"), size("b") - size("a")), change(kept & (size("b") < size("a")), "shrunk", size("a"), size("b"), size("a") - size("b")),
         change(kept & ~F.col("a.owner").eqNullSafe(F.col("b.owner")), "owner_changed", F.col("a.owner"), F.col("b.owner"), none),
     )
-    return both.select("name", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("c")).select("name", "c.*")
+    return both.select(*by, "name", F.explode(F.filter(found, lambda c: c.isNotNull())).alias("c")).select(*by, "name", "c.*")
 
 
 def diff_summary(changes: DataFrame) -> DataFrame:
@@ -42,6 +45,18 @@ def latest_before(panel: DataFrame, date: str) -> DataFrame:
     return panel.where(F.col("snapshot_date") < date).agg(F.max("snapshot_date").alias("snapshot_date"))
 
 
+def save_panel(rows: DataFrame, path: str) -> None:
+    """Write snapshots to a panel; a date that the rows have replaces that date, the others stay."""
+    even = rows.hint("rebalance", "snapshot_date")  # few files a date, and a large date in many
+    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
+def load_panel(spark: SparkSession, path: str) -> DataFrame:
+    """A panel as ``save_panel`` keeps it; dates are text, and a filter on them reads their partitions alone."""
+    fields = [f.simpleString().replace(":", " ", 1) for f in spark.read.parquet(path).schema if f.name != "snapshot_date"]
+    return spark.read.schema(", ".join([*fields, "snapshot_date string"])).parquet(path)
+
+
 def load_range(panel: DataFrame, start: str, end: str) -> DataFrame:
     return panel.where(F.col("snapshot_date").between(start, end))
 

@@ -7,14 +7,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .quantiles import quantiles
 
 
 def latency_stats(rows: DataFrame, component: str, value: str) -> DataFrame:
     """Count, extremes, mean, sample deviation (0 for one row) and exact interpolated percentiles per component."""
-    p = lambda q: F.percentile(value, q)
-    return rows.groupBy(component).agg(
-        F.count("*").alias("n"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), F.avg(value).alias("mean_ms"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev_ms"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.sum(value).alias("total_ms"),
+    sums = rows.groupBy(component).agg(
+        F.count("*").alias("n"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), F.avg(value).alias("mean_ms"),
+        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev_ms"), F.sum(value).alias("total_ms"),
     )
+    points = quantiles(rows, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, component).withColumnRenamed(component, "_of")
+    out = sums.join(points, F.col(component).eqNullSafe(F.col("_of"))).drop("_of")
+    return out.select(component, "n", "min_ms", "max_ms", "mean_ms", "stddev_ms", "p50", "p95", "p99", "total_ms")
 
 
 def last_n(rows: DataFrame, component: str, order: str, n: int = 1000) -> DataFrame:
@@ -139,24 +143,30 @@ def _seconds(gap: str) -> float:
 KEPT, STARTS, LONGEST = 10, 15, 500
 
 
+def fold_step(held: list[tuple[str, str]], message: tuple[str, str], summary: str) -> tuple[list[tuple[str, str]], str, int]:
+    """Messages kept, summary, and how many messages went into it, after one more message."""
+    held = [*held, message]
+    if len(held) < STARTS:
+        return held, summary, 0
+    old, held = held[:-KEPT], held[-KEPT:]
+    points = []
+    for role, text in old:
+        first = text.split(".")[0][:100]
+        if role == "user":
+            points.append(f"User asked: {first}")
+        elif len(text) > 50:
+            points.append(f"Discussed: {first}")
+    summary = (f"{summary} | " + " | ".join(points[-3:]) if summary else " | ".join(points[-5:]))[-LONGEST:]
+    return held, summary, len(old)
+
+
 def fold_messages(messages: list[tuple[str, str]]) -> tuple[str, int, int]:
     """Summary, number of summarised messages and number kept after adding the messages one by one."""
     held: list[tuple[str, str]] = []
     summary, done = "", 0
     for message in messages:
-        held.append(message)
-        if len(held) < STARTS:
-            continue
-        old, held = held[:-KEPT], held[-KEPT:]
-        points = []
-        for role, text in old:
-            first = text.split(".")[0][:100]
-            if role == "user":
-                points.append(f"User asked: {first}")
-            elif len(text) > 50:
-                points.append(f"Discussed: {first}")
-        summary = (f"{summary} | " + " | ".join(points[-3:]) if summary else " | ".join(points[-5:]))[-LONGEST:]
-        done += len(old)
+        held, summary, more = fold_step(held, message, summary)
+        done += more
     return summary, done, len(held)
 
 

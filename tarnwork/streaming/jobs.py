@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_hash, tokens
 from ..operators.snapshots import diff
+from .files import sweep_at_end
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -25,6 +26,14 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back: the lineage ends there.  The table goes when the driver ends."""
+    folder = place(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    sweep_at_end(rows.sparkSession, folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _folder(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -159,20 +168,25 @@ class IncrementalIndex:
             for version in old:
                 _remove(self.spark, f"{self.folder}/v{version}")
 
+    def forget(self) -> None:
+        """An empty index."""
+        _remove(self.spark, self.folder)
+
     def reindex(self, batch: DataFrame) -> None:
         """Forget everything and index the batch."""
-        _remove(self.spark, self.folder)
+        self.forget()
         self.apply(batch)
 
 
 def daily_diff(spark: SparkSession, snapshots: DataFrame, log: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that compares each new snapshot date with the latest one before it and appends the changes."""
+    """A batch writer that compares each new snapshot date with the latest one before it; a date's changes are a partition of
+    the log, so a batch that is replayed overwrites what it wrote."""
     def each(batch: DataFrame, _: int) -> None:
         for (day,) in sorted(batch.select("snapshot_date").distinct().collect()):  # dates of one batch
             before = snapshots.where(F.col("snapshot_date") < day).agg(F.max("snapshot_date")).first()[0]
             if before is not None:
                 changes = diff(snapshots.where(F.col("snapshot_date") == before), batch.where(F.col("snapshot_date") == day))
-                changes.withColumn("date", F.lit(day)).write.mode("append").parquet(log)
+                changes.write.mode("overwrite").parquet(f"{log}/date={day}")
 
     return each
 

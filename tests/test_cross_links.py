@@ -5,8 +5,8 @@ from __future__ import annotations
 import random
 from difflib import SequenceMatcher
 
-from tarnwork.llm._shared import reachable
 from tarnwork.operators import registry
+from tarnwork.session import reachable
 
 
 def plain(name):
