@@ -69,6 +69,9 @@ _RUN = re.compile(rf"(?<![\w'’-]){_WORD}(?: (?:{_UP}\. )?{_LINK}{_WORD})+")
 _PIECE = re.compile(_WORD)
 _SOLE = re.compile(rf"(?<![\w'’-]){_UP}[^\W\d_]+(?![\w-]|['’]{_UP})")
 _TITLES = re.compile(_TITLE)
+#: Words that a letter's name follows.
+_GREETED = re.compile(rf"\b(?:Dear|Hello|Hi|Cher|Chère|Liebe|Lieber|Hallo|Estimado|Estimada|Querido|Querida|Bonjour|Hola) (?!{_TITLE} )({_WORD}(?: {_LINK}{_WORD})?)(?=\s*[,!:])")
+_INSIDE = re.compile(r"[^\W\d_] \Z|, \Z")
 #: Words after which, and before which, a run of capitalised words is a person.
 _BEFORE = re.compile(
     r"(?:\b(?:[Mm]y name is|I am|I['’]m|[Nn]amed|[Cc]ontact|[Aa]ttn:?|[Dd]ear|[Rr]egards,|[Ss]incerely,|[Ss]igned(?: by)?|(?:spoke|talked|spoken) (?:to|with)|[Mm]et(?: with)?"
@@ -170,8 +173,14 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _persons(text: str) -> list[tuple[int, int, str]]:
-    found = [m.span(1) for m in _TITLED.finditer(text)]
+def _listed(word: str) -> bool:
+    return word in LIST_OF or word.isupper() and word.capitalize() in LIST_OF
+
+
+def _persons(text: str, other: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Names, and single parts of them wherever the text has them again; ``other`` are the spans of other entities."""
+    sure = [m.span(1) for m in _TITLED.finditer(text)] + [m.span(1) for m in _GREETED.finditer(text)]
+    likely: list[tuple[int, int]] = []
     for m in _RUN.finditer(text):
         start, end = m.span()
         words = [w.span() for w in _PIECE.finditer(text, start, end)]
@@ -180,22 +189,32 @@ def _persons(text: str) -> list[tuple[int, int, str]]:
         if not words:
             continue
         start = words[0][0]
-        told = next((i for i, (a, b) in enumerate(words[:-1]) if text[a:b] in LIST_OF), None)
+        told = next((i for i, (a, b) in enumerate(words[:-1]) if _listed(text[a:b])), None)
         if told is not None:
             last = len(words) if len(words) - told <= 3 else told + 2
-            found.append((words[told][0], words[last - 1][1]))
+            sure.append((words[told][0], words[last - 1][1]))
         elif len(words) in (2, 3, 4) and (_BEFORE.search(text, max(0, start - 24), start) or _AFTER.match(text, end)):
-            found.append((start, end))
-        elif len(words) in (2, 3, 4) and any(b <= start and start - b <= 6 and _AND.search(text, b, start) for _, b in found[-2:]):
-            found.append((start, end))
-    if not found:
+            likely.append((start, end))
+        elif len(words) in (2, 3, 4) and any(b <= start and start - b <= 6 and _AND.search(text, b, start) for _, b in sure[-1:] + likely[-2:]):
+            likely.append((start, end))
+    alone = [m for m in _SOLE.finditer(text) if _listed(m[0])]
+    if not sure and not likely and not alone:
         return []
-    parts = {p for a, b in found for p in re.split(r"[ '’.-]+", text[a:b]) if len(p) > 2 and p.lower() not in PARTICLES}
-    # A part that the text also has as an ordinary word is not told from it where it stands alone.
-    ordinary = set(re.findall(r"[^\W\d_]+", text))
-    parts = {p for p in parts if p == p.lower() or p.lower() not in ordinary}
-    found += [m.span() for m in _SOLE.finditer(text) if m[0] in parts]
-    for part in parts:
+    plain, at = [], 0  # what other entities hold is no ordinary word
+    for a, b, _ in sorted(other):
+        plain.append(text[at:a])
+        at = max(at, b)
+    ordinary = set(re.findall(r"[^\W\d_]+", " ".join([*plain, text[at:]])))
+    sure += [m.span() for m in alone if m[0].lower() not in ordinary]
+    split = lambda spans: {p.lower() for a, b in spans for p in re.split(r"[ '’.-]+", text[a:b]) if len(p) > 2 and p.lower() not in PARTICLES}
+    parts, perhaps = split(sure), split(likely)
+    found = sure + likely
+    for m in _SOLE.finditer(text):
+        low = m[0].lower()
+        # A part of a name that is only likely, and an ordinary word too, is told by its capital inside a sentence.
+        if low in parts or low in perhaps and (low not in ordinary or _INSIDE.search(text, max(0, m.start() - 2), m.start())):
+            found.append(m.span())
+    for part in parts | perhaps:
         if re.fullmatch(f"[{_WIDE}]+", part):
             found += [m.span() for m in re.finditer(part, text)]
     return [(a, b, "person") for a, b in found]
@@ -209,7 +228,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text) if valid("ipv6", m[0])]
     found += [(*m.span(1), "birth") for m in _BIRTH.finditer(text) if valid("birth", m[1])]
     found += [(*m.span(1), "document") for m in _DOCUMENT.finditer(text) if valid("document", m[1])]
-    found += _persons(text)
+    found += _persons(text, found)
     out: list[tuple[int, int, str]] = []
     for span in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), -x[1])):
         if not out or span[0] >= out[-1][1]:

@@ -32,6 +32,7 @@ import datetime
 import functools
 import hashlib
 import ipaddress
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -164,6 +165,37 @@ def _address_class(x: int) -> tuple[bool, ...]:
     return a.is_private, a.is_loopback, a.is_multicast, a.is_reserved, x >> 24 == 0
 
 
+#: The networks of the registry of special addresses, at whose ends a class may end.
+_NETWORKS = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.0/29", "192.0.0.8/32", "192.0.0.9/32", "192.0.0.10/32", "192.0.0.170/31", "192.0.2.0/24",
+    "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16", "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4", "255.255.255.255/32",
+)
+
+
+@functools.cache
+def _address_ranges() -> dict[tuple[bool, ...], list[tuple[int, int]]]:
+    """The first address and the number of addresses of the ranges of each class."""
+    networks = [ipaddress.IPv4Network(n) for n in _NETWORKS]
+    ends = sorted({0, 1 << 32, *(int(n.network_address) for n in networks), *(int(n.broadcast_address) + 1 for n in networks)})
+    out: dict[tuple[bool, ...], list[tuple[int, int]]] = {}
+    for a, b in itertools.pairwise(ends):
+        out.setdefault(_address_class(a), []).append((a, b - a))
+    return out
+
+
+def _numbered(ranges: list[tuple[int, int]], x: int) -> int:
+    """The number of an address among those of its class."""
+    return sum(min(max(x - a, 0), n) for a, n in ranges)
+
+
+def _address(ranges: list[tuple[int, int]], number: int) -> int:
+    for a, n in ranges:
+        if number < n:
+            return a + number
+        number -= n
+    raise ValueError("no such address")
+
+
 def canonical(kind: str, text: str) -> str:
     """What coreferent spellings share."""
     if kind == "email":
@@ -182,6 +214,8 @@ def canonical(kind: str, text: str) -> str:
         return day.isoformat()
     if kind in ("card", "ssn", "iban"):
         return "".join(text[i] for i in solid(kind, text))
+    if kind == "person":
+        return "".join(c.lower() if len(c.lower()) == 1 else c for c in re.sub(r"\s+", " ", text))
     return re.sub(r"\s+", " ", text)
 
 
@@ -198,14 +232,15 @@ def _ending(part: str) -> str:
 def _name(key: bytes, part: str) -> str:
     """A name's surrogate wherever it stands in a person's name: listed ones within their list, others within
     the strings of their shape and ending that are not listed."""
-    if part in LIST_OF:
-        names = NAMES[LIST_OF[part]]
-        return names[_permutation(key, "name" + "".join(LIST_OF[part]), len(names))(names.index(part))]
+    listed = part if part in LIST_OF else part.capitalize()
+    if listed in LIST_OF:
+        names = NAMES[LIST_OF[listed]]
+        return names[_permutation(key, "name" + "".join(LIST_OF[listed]), len(names))(names.index(listed))].lower()
     ending, new = _ending(part), part
     stays = frozenset(range(len(part) - len(ending), len(part)))
     while True:
         new = _shaped(key, "surname", new, stays)
-        if new not in LIST_OF and _ending(new) == ending:
+        if new not in LIST_OF and new.capitalize() not in LIST_OF and _ending(new) == ending:
             return new
 
 
@@ -226,12 +261,11 @@ def _next(key: bytes, kind: str, value: str, fixed: int = 0) -> str:
         body = _shaped(key, kind, value[:-1], frozenset({0}))
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "ip":
-        x = start = int(ipaddress.IPv4Address(value))
-        permuted = _permutation(key, kind, 1 << 32)
-        while True:  # walks within the address class
-            x = permuted(x)
-            if _address_class(x) == _address_class(start):
-                return str(ipaddress.IPv4Address(x))
+        x = int(ipaddress.IPv4Address(value))
+        ranges = _address_ranges()[_address_class(x)]
+        size = sum(n for _, n in ranges)  # a class of one address has no other
+        new = _permutation(key, f"ip:{ranges[0][0]}", size)(_numbered(ranges, x)) if size > 1 else 0
+        return str(ipaddress.IPv4Address(_address(ranges, new)))
     if kind == "ipv6":  # the first group and zero groups stay, so that the short form is as long
         groups = [int(g, 16) for g in value.split(":")]
         places = [i for i, g in enumerate(groups) if g and (i or not any(groups[1:]))]
@@ -300,6 +334,25 @@ def _spell_date(spelling: str, value: str) -> str:
     return "".join([*out, spelling[at:]])
 
 
+def _spell_name(spelling: str, surrogate: str) -> str:
+    """A lower-case surrogate with the capitals, and the white space, of the name it replaces."""
+    cut = r"(\s+|['’-])"
+    old, new = re.split(cut, spelling), re.split(cut, surrogate)
+    out = []
+    for i, part in enumerate(new):
+        like = old[i] if i < len(old) else ""
+        letters = [c for c in like if c.lower() != c.upper()]
+        if i % 2:
+            out.append(like or part)
+        elif len(letters) > 1 and all(c == c.upper() for c in letters):
+            out.append("".join(c.upper() if len(c.upper()) == 1 else c for c in part))
+        elif len(like) == len(part):
+            out.append("".join(b.upper() if a != a.lower() and len(b.upper()) == 1 else b for a, b in zip(like, part, strict=True)))
+        else:
+            out.append(part.capitalize() if letters and letters[0] != letters[0].lower() else part)
+    return "".join(out)
+
+
 def _spell(kind: str, spelling: str, surrogate: str) -> str:
     """The surrogate in the format of the text it replaces."""
     if kind == "email":
@@ -309,6 +362,8 @@ def _spell(kind: str, spelling: str, surrogate: str) -> str:
     if kind == "ipv6":
         short = surrogate if len(spelling) == 39 else str(ipaddress.IPv6Address(surrogate))
         return short.upper() if any(c.isupper() for c in spelling) else short
+    if kind == "person":
+        return _spell_name(spelling, surrogate)
     if kind in ("card", "ssn", "phone", "iban"):
         places, out = solid(kind, spelling), list(spelling)
         for i, c in zip(places, surrogate[len(surrogate) - len(places) :], strict=True):

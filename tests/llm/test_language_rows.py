@@ -42,9 +42,9 @@ def test_kernel_is_the_blended_spectrum_one(texts):
 
 def test_texts_of_no_learned_language_are_told(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    model = language_id.fit(docs, F.lit(True))
+    model, known = language_id.fit(docs, F.lit(True)), language_id.known_runs(docs, F.lit(True))
     odd = [(1, "这是一个中文句子，用来测试。" * 20), (2, "Это русский текст для проверки " * 9), (3, "xqzj kvvw qqzx " * 20)]
-    told = language_id.tag(spark.createDataFrame(odd, "doc_id long, text string"), model, "told", least_kin=0.1)
+    told = language_id.tag(spark.createDataFrame(odd, "doc_id long, text string"), model, "told", known)
     assert {r.told for r in told.collect()} == {"und"}
-    clean = language_id.tag(docs.where("regexp_like(text, '[a-zA-Z]')"), model, "told", least_kin=0.1)
+    clean = language_id.tag(docs.where("regexp_like(text, '[a-zA-Z]')"), model, "told", known)
     assert clean.where("told = 'und'").count() == 0
