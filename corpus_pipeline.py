@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm._shared import reachable, shared_table
-from tarnwork.llm.language_id import UNKNOWN, fit, held_out, tag
+from tarnwork.llm.language_id import UNKNOWN, fit, held_out, known_runs, tag
 from tarnwork.llm.near_dedup import near_duplicates
 from tarnwork.llm.packing import pack
 from tarnwork.llm.pii import redact_column
@@ -15,54 +17,66 @@ from tarnwork.llm.substring_dedup import remove_repeats
 
 #: Words of a passage that goes when it repeats.
 PASSAGE = 50
-#: The least kernel (0 to 1) of a text with its nearest landmark: 0.125 is the least seen in texts of the learned
-#: languages (a single short word), other scripts and random letters have 0.02 to 0.09.
-KIN = 0.1
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with names of our own for the columns that no stage reads, whatever they are called, and the way back."""
+    names = docs.columns
+    rows = docs.toDF(*[n if n in ("doc_id", "text", "lang", "n_chars") else f"_{i}" for i, n in enumerate(names)])
+    return rows, lambda out: out.select(*rows.columns).toDF(*names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no learned language: those without a letter, and those whose kernel with every landmark
-    is below ``KIN``.  A null ``lang`` becomes the prediction.
+    """Rejects documents of no learned language: those without a letter, and those most of whose runs of two and three
+    letters are in no labelled text of the sample.  A null ``lang`` becomes the prediction.
 
-    Null and empty texts go; where nothing can be learned (no labelled row) all go; an empty table stays empty.
+    Texts of few letters are too short to tell and stay.  Null and empty texts go; where nothing can be learned (no labelled
+    row) all go; an empty table stays empty; columns may have any names.
     """
     reachable(spark)
-    model = fit(docs, ~held_out(F.col("doc_id")))
-    name = "_told"
-    while name in docs.columns:
-        name += "_"
-    told = tag(docs, model, name, KIN).where(F.col(name) != UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", name)).select(*docs.columns)
+    rows, back = _plain(docs)
+    learnable = ~held_out(F.col("doc_id"))
+    told = tag(rows, fit(rows, learnable), "_told", known_runs(rows, learnable)).where(F.col("_told") != UNKNOWN)
+    return back(told.withColumn("lang", F.coalesce("lang", "_told")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near duplicates (5-word shingles, similarity 0.8).
 
     Texts without words are no one's duplicates and stay; so do rows without a doc_id; rows of one doc_id
-    stay or go together; an empty table stays empty.
+    stay or go together; an empty table stays empty; columns may have any names.
     """
     reachable(spark)
-    kept = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows, back = _plain(docs)
+    gone = near_duplicates(rows, words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return back(rows.join(gone.hint("merge"), "doc_id", "left_anti"))
+
+
+def _chars(rows: DataFrame) -> DataFrame:
+    """With ``n_chars`` as the text now is, where there is such a column."""
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in rows.columns else rows
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words and more that start earlier out of the texts; other texts stay as they are.
 
     A text of which all words go stays as an empty one; null texts stay null; rows without a doc_id come before
-    all others; an empty table stays empty.
+    all others; an empty table stays empty; columns may have any names.
     """
     reachable(spark)
-    return remove_repeats(docs, words=PASSAGE, keep=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, back = _plain(docs)
+    return back(_chars(remove_repeats(rows, words=PASSAGE, keep=True)))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates in the place of personal data.
 
-    Null and empty texts stay; equal rows stay equal; no row goes or comes; an empty table stays empty.
+    Null and empty texts stay; equal rows stay equal; no row goes or comes; an empty table stays empty; columns may
+    have any names.
     """
     reachable(spark)
-    return redact_column(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, back = _plain(docs)
+    return back(_chars(redact_column(rows, PII_KEY)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +88,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     reachable(spark)
-    return pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), size=2048)
+    return pack(_plain(docs)[0], str(public_tokenizers.path("word_bpe_49k.json")), size=2048)
 
 
 STAGES = [
