@@ -73,7 +73,7 @@ def authors_by_topic(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAPERS = """p AS (SELECT 'Customer ' || o_custkey AS owner, 'On ' || o_orderpriority || ' ' || o_orderkey AS title, CASE WHEN o_orderkey % 3 > 0 THEN 'abstract of ' || o_orderkey END AS abstract, CASE WHEN o_orderkey % 4 > 0 THEN '10/' || o_orderkey END AS doi, year(o_orderdate) AS year, ['t' || o_orderkey % 9] AS topics, o_orderkey AS ord FROM orders),
-    c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'pubs/' ELSE 'talks/' END || source AS source, CASE WHEN doc_id % 50 = 0 THEN 'by customer 7 ' ELSE '' END || left(text, 40) AS text, doc_id AS ord FROM documents)"""
+    c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'pubs/' ELSE 'talks/' END || source AS source, CASE WHEN doc_id % 50 = 0 THEN 'by customer 7 ' ELSE '' END || text AS text, doc_id AS ord FROM documents)"""
 
 
 def _papers(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def _papers(spark: SparkSession, d: str) -> DataFrame:
 
 def _said(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    return table(spark, d, "documents").select(F.concat(F.when(k % 2 == 0, "pubs/").otherwise("talks/"), "source").alias("source"), F.concat(F.when(k % 50 == 0, "by customer 7 ").otherwise(""), F.left("text", F.lit(40))).alias("text"), k.alias("ord"))
+    return table(spark, d, "documents").select(F.concat(F.when(k % 2 == 0, "pubs/").otherwise("talks/"), "source").alias("source"), F.concat(F.when(k % 50 == 0, "by customer 7 ").otherwise(""), "text").alias("text"), k.alias("ord"))
 
 
 @BOOK.add(f"WITH {_PAPERS} SELECT source, text, ord FROM c WHERE contains(lower(source), 'pub') AND contains(lower(text), 'customer 7')")
@@ -279,7 +279,7 @@ def index_resumed(spark: SparkSession, d: str) -> DataFrame:
     """An index is left after one batch; another one over the folder goes on, removes some files and writes itself anew."""
     from ..operators.enrichment import chunks
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 200).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     folder = J.place(spark, "resumed")
     J.IncrementalIndex(spark, folder, lambda rows: chunks(rows, "path")).apply(docs)
     again = J.IncrementalIndex(spark, folder, lambda rows: chunks(rows, "path"))
@@ -302,10 +302,11 @@ def graph_edge(spark: SparkSession, d: str) -> DataFrame:
     return I.entry(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), 3)
 
 
-@BOOK.add("WITH a AS (SELECT 'gear' AS surface, 'p1' AS id UNION ALL SELECT 'cog', 'p1' UNION ALL SELECT 'bolt', 'p9') SELECT surface, id FROM a")
+@BOOK.add("""WITH known AS (SELECT p_name AS surface, 'p' || min(p_partkey) AS id FROM part GROUP BY 1), a(surface, id) AS (VALUES ('gear', 'other'), ('cog', 'p1'), ('hot gear', 'p2'))
+    SELECT surface, id FROM known UNION ALL SELECT surface, id FROM a WHERE surface NOT IN (SELECT surface FROM known)""")
 def alias_surfaces(spark: SparkSession, d: str) -> DataFrame:
-    known = spark.createDataFrame([("gear", "p1"), ("bolt", "p9")], "surface string, id string")
-    return X.with_aliases(known, {"gear": "other", "cog": "p1"})
+    known = table(spark, d, "part").groupBy(F.col("p_name").alias("surface")).agg(F.concat(F.lit("p"), F.min("p_partkey").cast("string")).alias("id"))
+    return X.with_aliases(known, {"gear": "other", "cog": "p1", "hot gear": "p2"})
 
 
 @BOOK.add("SELECT doc_id, list_sort(list_distinct(list_concat(['the'], list_filter(['hand', 'the', 'Tion'], lambda w: contains(lower(text), lower(w)))))) AS entities FROM documents WHERE text IS NOT NULL")

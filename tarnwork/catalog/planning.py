@@ -16,7 +16,7 @@ from ..plans import routing as Q
 from ..plans import steps as X
 from ..session import documents, table
 from ._book import Book, sql_bm25, sql_quoted
-from .routing import _ASKED, _VALUES, _asked
+from .routing import _ASKED, asked, asked_sql
 
 BOOK = Book()
 #: More queries, for the rules that those of routing don't reach.
@@ -26,11 +26,11 @@ _MORE = (
     "one two three four five six seven eight nine ten eleven twelve", "who's ann", "what is a gear", "gears and bolts", "help me", "setup error", "his gears", "tell me more about gears", "state of the art", "find the document on rings",
 )
 _TEXTS = (*_ASKED, *_MORE)
-_ALL = "q(query_id, query) AS (VALUES " + ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(_TEXTS)) + ")"
+_ALL = asked_sql(_TEXTS)
 
 
-def _queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_TEXTS)), "query_id int, query string")
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d, _TEXTS)
 
 
 def _any(column: str, words) -> str:
@@ -43,12 +43,12 @@ _HARD_SQL = "synthesize|compare.*to|relationship between|how does.*relate|explai
 
 @BOOK.add(f"WITH {_ALL}, w AS (SELECT *, lower(query) AS l, len(regexp_extract_all(query, '\\S+')) AS n FROM q) SELECT query_id, CASE WHEN regexp_matches(l, '{_PLAIN_SQL}') THEN 'simple' WHEN regexp_matches(l, '{_HARD_SQL}') THEN 'complex' WHEN n < 10 THEN 'simple' WHEN n > 25 THEN 'complex' ELSE 'medium' END AS complexity FROM w")
 def query_complexity(spark: SparkSession, d: str) -> DataFrame:
-    return _queries(spark).select("query_id", Q.query_complexity(F.col("query")).alias("complexity"))
+    return _queries(spark, d).select("query_id", Q.query_complexity(F.col("query")).alias("complexity"))
 
 
 @BOOK.add(f"WITH {_ALL} SELECT query_id, regexp_matches(query, '(?i)\\b(he|him|his|she|her|hers|they|them|their|theirs|it|its|that|this|these|those|the person|the researcher|the professor|the author|same|above|mentioned|discussed)\\b') AS needs FROM q")
 def needs_reformulation(spark: SparkSession, d: str) -> DataFrame:
-    return _queries(spark).select("query_id", Q.needs_reformulation(F.col("query")).alias("needs"))
+    return _queries(spark, d).select("query_id", Q.needs_reformulation(F.col("query")).alias("needs"))
 
 
 _FOLLOW_SQL = [" his ", " her ", " their ", " its ", " he ", " she ", " they ", " it ", " him ", " them ", "his ", "her ", "their ", " that ", " this ", " those ", " these ", " same ", " similar ", "'s ", "more about", "tell me more", "what else", "follow up", "following up"]
@@ -56,12 +56,12 @@ _FOLLOW_SQL = [" his ", " her ", " their ", " its ", " he ", " she ", " they ",
 
 @BOOK.add(f"WITH {_ALL} SELECT query_id, {_any('lower(query)', _FOLLOW_SQL)} OR " + " OR ".join("starts_with(lower(query), '{}')".format(w.strip().replace("'", "''")) for w in _FOLLOW_SQL) + " AS follows FROM q")
 def follow_up(spark: SparkSession, d: str) -> DataFrame:
-    return _queries(spark).select("query_id", Q.follows(F.col("query")).alias("follows"))
+    return _queries(spark, d).select("query_id", Q.follows(F.col("query")).alias("follows"))
 
 
 @BOOK.add(f"WITH {_ALL} SELECT query_id, regexp_matches(lower(query), 'latest version|current version|newest version|how (to|do i) install|documentation for|docs for|tutorial|guide for|pytorch|tensorflow|numpy|pandas|scikit|(conda|pip) install|error message|stack trace|api reference|official docs|beyond (the lab|it)|outside the lab|in general|more broadly|in the field|(recent|latest|current) trends|state.of.the.art|(recent|latest) (developments|research)|recent papers|what''?s new in|(industry|academic) trends|compared to other|how does this compare|elsewhere|other (labs|researchers)') AS external FROM q")
 def looks_external(spark: SparkSession, d: str) -> DataFrame:
-    return _queries(spark).select("query_id", Q.looks_external(F.col("query")).alias("external"))
+    return _queries(spark, d).select("query_id", Q.looks_external(F.col("query")).alias("external"))
 
 
 _JOINED_SQL = [" and ", " or ", " compare ", " versus ", " vs ", " relationship ", " between ", " both ", " multiple ", " all ", " similar to ", " like ", " as well as ", " along with ", " together "]
@@ -73,7 +73,7 @@ _JOINED_SQL = [" and ", " or ", " compare ", " versus ", " vs ", " relationship
     CASE WHEN asks THEN 'lookup' WHEN regexp_matches(l, 'how do i|how to|setup|install|error') THEN 'technical' WHEN regexp_matches(l, 'what can you|help me|your capabilities') THEN 'explore' ELSE 'lookup' END AS intent FROM f""")
 def plan_is_simple(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("query")
-    return _queries(spark).select("query_id", X.simple(q).alias("simple"), X.action(q).alias("a")).select("query_id", "simple", "a.action", "a.intent")
+    return _queries(spark, d).select("query_id", X.simple(q).alias("simple"), X.action(q).alias("a")).select("query_id", "simple", "a.action", "a.intent")
 
 
 def _quality(a: float, b: float, direct: bool) -> str:
@@ -128,9 +128,12 @@ def web_sources(spark: SparkSession, d: str) -> DataFrame:
 _INTENT_WORDS = ("Lookup", " technical ", "look_up", "debug", "analysis", "collaborate", "unclear", "nonsense", "", "explore", "Find")
 
 
-@BOOK.add("SELECT word, CASE lower(trim(word)) WHEN 'lookup' THEN 'lookup' WHEN 'technical' THEN 'technical' WHEN 'look_up' THEN 'lookup' WHEN 'debug' THEN 'technical' WHEN 'analysis' THEN 'explore' WHEN 'collaborate' THEN 'connect' WHEN 'explore' THEN 'explore' WHEN 'find' THEN 'lookup' ELSE 'ambiguous' END AS intent FROM (SELECT unnest([" + sql_quoted(list(_INTENT_WORDS)) + "]) AS word)")
+@BOOK.add(f"""WITH n AS (SELECT event_id, CASE event_id % 12 {' '.join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_INTENT_WORDS))} ELSE event_type END AS word FROM events)
+    SELECT event_id, word, CASE lower(trim(word)) WHEN 'lookup' THEN 'lookup' WHEN 'technical' THEN 'technical' WHEN 'look_up' THEN 'lookup' WHEN 'debug' THEN 'technical' WHEN 'analysis' THEN 'explore' WHEN 'collaborate' THEN 'connect' WHEN 'explore' THEN 'explore' WHEN 'find' THEN 'lookup' ELSE 'ambiguous' END AS intent FROM n""")
 def valid_intents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in _INTENT_WORDS], "word string").select("word", Q.valid_intent(F.col("word")).alias("intent"))
+    k = F.col("event_id") % 12
+    word = F.coalesce(*[F.when(k == i, w) for i, w in enumerate(_INTENT_WORDS)], F.col("event_type")).alias("word")
+    return table(spark, d, "events").select("event_id", word).select("event_id", "word", Q.valid_intent(F.col("word")).alias("intent"))
 
 
 @BOOK.add("WITH r AS (SELECT event_id, event_id % 3 AS s, event_id % 4 AS m, repeat('x', event_id % 100) AS t, event_id % 2 = 0 AS x, event_id % 31 = 0 AS e FROM events) SELECT event_id, e OR (s = 0 AND m = 0) OR (x AND s = 0) OR (s = 0 AND m > 0 AND length(t) < 50) AS weak FROM r")
@@ -139,19 +142,26 @@ def results_weak(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", Q.results_weak(i % 3, i % 4, F.repeat(F.lit("x"), (i % 100).cast("int")), i % 2 == 0, i % 31 == 0).alias("weak"))
 
 
-_STOP_SQL = sql_quoted(Q.NO_TERMS.split())
+#: The words that are no terms, once more, so that a wrong list shows.
+_STOP_SQL = sql_quoted([
+    "who", "what", "where", "when", "how", "why", "which", "is", "are", "was", "were", "be", "been", "being", "the", "a", "an", "and", "or", "but", "if",
+    "then", "do", "does", "did", "done", "doing", "we", "i", "you", "they", "he", "she", "it", "have", "has", "had", "having", "all", "any", "some", "no",
+    "not", "list", "tell", "me", "about", "describe", "show", "find", "get", "give", "can", "could", "would", "should", "may", "might", "on", "in", "at",
+    "to", "for", "of", "with", "by", "from", "up", "down", "into", "onto", "upon", "this", "that", "these", "those", "there", "here", "please", "thanks",
+    "thank",
+])
 
 
 @BOOK.add(f"""WITH {_ALL}, g AS (SELECT *, regexp_extract(lower(query), 'who (?:is|works on) (.+)', 1) AS g FROM q), c AS (SELECT query_id, query, CASE WHEN length(trim(trim(trim(g), '?.,!'))) > 2 THEN [trim(trim(trim(g), '?.,!'))] ELSE [] END AS held FROM g),
-    w AS (SELECT query_id, held, regexp_extract_all(lower(query), '\\b\\w+\\b') AS w FROM c) SELECT query_id, list_concat(held, list_filter(w, lambda x, i: length(x) > 2 AND NOT list_contains([{_STOP_SQL}], x) AND NOT list_contains(held, x) AND list_position(w, x) = i)) AS terms FROM w""")
+    w AS (SELECT query_id, held, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+') AS w FROM c) SELECT query_id, list_concat(held, list_filter(w, lambda x, i: length(x) > 2 AND NOT list_contains([{_STOP_SQL}], x) AND NOT list_contains(held, x) AND list_position(w, x) = i)) AS terms FROM w""")
 def extract_terms(spark: SparkSession, d: str) -> DataFrame:
     group = F.array(F.regexp_extract(F.lower("query"), "who (?:is|works on) (.+)", 1))
-    return _queries(spark).select("query_id", Q.search_terms(F.col("query"), group).alias("terms"))
+    return _queries(spark, d).select("query_id", Q.search_terms(F.col("query"), group).alias("terms"))
 
 
 @BOOK.add(f"WITH {_ALL} SELECT query_id, length(query) AS query_length, len(regexp_extract_all(query, '\\S+')) AS word_count, ends_with(trim(query), '?') AS has_question_mark FROM q")
 def analyze_query(spark: SparkSession, d: str) -> DataFrame:
-    return Q.analyze(_queries(spark)).select("query_id", "query_length", "word_count", "has_question_mark")
+    return Q.analyze(_queries(spark, d)).select("query_id", "query_length", "word_count", "has_question_mark")
 
 
 _SUBTYPES = {"who is": "person_lookup", "compare": "comparison", "list": "role_list"}
@@ -162,15 +172,19 @@ _SUBTYPES = {"who is": "person_lookup", "compare": "comparison", "list": "role_l
 def pattern_confidence(spark: SparkSession, d: str) -> DataFrame:
     hit = F.regexp_extract(F.lower("query"), r"^(who is \w+|compare \w+|list \w+)", 1)
     kind = F.coalesce(*[F.when(F.col("hit").startswith(k), v) for k, v in _SUBTYPES.items()])
-    return _queries(spark).withColumn("hit", hit).where("hit <> ''").select("query_id", K.pattern_confidence(F.col("query"), F.col("hit"), kind).alias("confidence"))
+    return _queries(spark, d).withColumn("hit", hit).where("hit <> ''").select("query_id", K.pattern_confidence(F.col("query"), F.col("hit"), kind).alias("confidence"))
 
 
-_ROLES = ("PhD", "phd students", "Professor of things", "post", "the director", "cook", "Research Scientist", "student")
+_ROLES = (("PhD", "student"), ("phd students", "student"), ("Professor of things", "faculty"), ("post", "postdoc"), ("the director", "faculty"), ("cook", None), ("Research Scientist", "researcher"), ("student", "student"))
 
 
-@BOOK.add("SELECT value, role FROM (VALUES ('PhD', 'student'), ('phd students', 'student'), ('Professor of things', 'faculty'), ('post', 'postdoc'), ('the director', 'faculty'), ('cook', NULL), ('Research Scientist', 'researcher'), ('student', 'student')) t(value, role)")
+@BOOK.add(f"""WITH n AS (SELECT c_custkey, CASE c_custkey % {len(_ROLES)} {' '.join(f"WHEN {i} THEN '{r}'" for i, (r, _) in enumerate(_ROLES))} END || CASE WHEN c_custkey % 3 = 0 AND c_custkey % {len(_ROLES)} <> 3 THEN ' ' || c_name ELSE '' END AS value FROM customer)
+    SELECT c_custkey, value, CASE c_custkey % {len(_ROLES)} {' '.join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(_ROLES) if r)} END AS role FROM n""")
 def normalize_roles(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in _ROLES], "value string").select("value", K.normalize_role(F.col("value")).alias("role"))
+    k = F.col("c_custkey") % len(_ROLES)
+    name = F.when((F.col("c_custkey") % 3 == 0) & (k != 3), F.concat(F.lit(" "), F.col("c_name"))).otherwise("")
+    value = F.concat(F.coalesce(*[F.when(k == i, r) for i, (r, _) in enumerate(_ROLES)]), name)
+    return table(spark, d, "customer").select("c_custkey", value.alias("value")).select("c_custkey", "value", K.normalize_role(F.col("value")).alias("role"))
 
 
 @BOOK.add("""WITH w AS (SELECT unnest(string_split_regex(lower(p_name), '\\s+')) AS k FROM part UNION ALL SELECT unnest(string_split_regex(lower(c_name), '\\s+')) FROM customer)
@@ -274,10 +288,12 @@ def formatted_answers(spark: SparkSession, d: str) -> DataFrame:
     return A.formatted(table(spark, d, "part").select(F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")))
 
 
-@BOOK.add("SELECT query_id, CASE query_id WHEN 1 THEN 'user3' WHEN 2 THEN 'user4' WHEN 3 THEN 'user5' END AS person FROM (VALUES (1), (2), (3), (4)) t(query_id)")
+@BOOK.add("SELECT c_custkey AS query_id, CASE WHEN c_custkey % 4 < 3 THEN 'user' || c_custkey END AS person FROM customer")
 def asked_persons(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "What data does User3 use?"), (2, "user4's resources"), (3, "show user5's resources"), (4, "hello")], "query_id int, query string")
-    return rows.select("query_id", A.asked_person(F.col("query")).alias("person"))
+    k = F.col("c_custkey")
+    frames = (("What data does User", " use?"), ("user", "'s resources"), ("show user", "'s resources"), ("hello ", ""))
+    query = F.coalesce(*[F.when(k % 4 == i, F.concat(F.lit(a), k.cast("string"), F.lit(b))) for i, (a, b) in enumerate(frames)])
+    return table(spark, d, "customer").select(k.alias("query_id"), A.asked_person(query).alias("person"))
 
 
 @BOOK.add("""WITH l AS (SELECT s_suppkey, CASE WHEN s_suppkey % 40 = 3 THEN 1.0::DOUBLE ELSE 0::DOUBLE END + CASE WHEN s_suppkey % 7 = 3 THEN 0.9::DOUBLE ELSE 0::DOUBLE END AS score, CASE WHEN s_suppkey % 7 = 3 AND s_suppkey % 40 = 3 THEN 'listed_owner, owns_directory' WHEN s_suppkey % 7 = 3 THEN 'listed_owner' ELSE 'owns_directory' END AS why, s_name FROM supplier WHERE s_suppkey % 40 = 3 OR s_suppkey % 7 = 3)

@@ -136,6 +136,14 @@ def expand_acronyms(query: str) -> list[str]:
     return [query, *(low.replace(short, full) for short, full in ACRONYMS.items() if short in low.split())]
 
 
+def acronym_variants(query: Column) -> Column:
+    """``expand_acronyms`` of a column: an array of the query and its variants."""
+    low = F.lower(query)
+    words = F.split(low, r"\s+")
+    more = [F.when(F.array_contains(words, short), F.replace(low, F.lit(short), F.lit(full))) for short, full in ACRONYMS.items()]
+    return F.array_compact(F.array(query, *more))
+
+
 def author_group(roles: Column, lab: str = "lab") -> Column:
     """Composition of a ``; ``-separated list of roles; ``lab`` is what the labels call the group."""
     all_roles = F.filter(F.transform(F.split(F.coalesce(roles, F.lit("")), ";"), lambda r: F.trim(r)), lambda r: r != "")

@@ -66,8 +66,11 @@ INTENT_WORDS = {
 }
 #: Words of a query that are no search terms.
 NO_TERMS = (
-    "who what where when how why which is are was were be been being the a an and or but if then do does did done doing we i you they he she it have has had having all any some no not "
-    "list tell me about describe show find get give can could would should may might on in at to for of with by from up down into onto upon this that these those there here please thanks thank"
+    "who", "what", "where", "when", "how", "why", "which", "is", "are", "was", "were", "be", "been", "being", "the", "a", "an", "and", "or", "but", "if",
+    "then", "do", "does", "did", "done", "doing", "we", "i", "you", "they", "he", "she", "it", "have", "has", "had", "having", "all", "any", "some", "no",
+    "not", "list", "tell", "me", "about", "describe", "show", "find", "get", "give", "can", "could", "would", "should", "may", "might", "on", "in", "at",
+    "to", "for", "of", "with", "by", "from", "up", "down", "into", "onto", "upon", "this", "that", "these", "those", "there", "here", "please", "thanks",
+    "thank",
 )
 
 
@@ -162,9 +165,9 @@ def search_terms(query: Column, captured: Column | None = None) -> Column:
     none = F.array().cast("array<string>")
     groups = F.coalesce(captured, none) if captured is not None else none
     groups = F.filter(F.transform(F.filter(groups, lambda g: F.coalesce(g, F.lit("")) != ""), lambda g: F.trim(F.btrim(F.trim(g), F.lit("?.,!")))), lambda g: F.length(g) > 2)
-    stop = F.array(*map(F.lit, NO_TERMS.split()))
+    stop = F.array(*map(F.lit, NO_TERMS))
     held = F.transform(groups, F.lower)
-    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"\b\w+\b"), F.lit(0))), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w) & ~F.array_contains(held, w))
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"(?U)\w+"), F.lit(0))), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w) & ~F.array_contains(held, w))
     return F.concat(groups, words)
 
 
