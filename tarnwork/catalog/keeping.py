@@ -9,9 +9,11 @@ from ..operators import snapshots as S
 from ..operators.enrichment import chunks
 from ..session import reachable, table
 from ..sources import files, registries
+from ..sources.directories import directories
 from ..sources.published import Watched
 from ..streaming import jobs as J
 from ..streaming import state as K
+from ..streaming import throttle as H
 from ..streaming.ingest import SnapshotIngest
 from ._book import Book
 
@@ -148,3 +150,47 @@ def stateful_lru(spark: SparkSession, d: str) -> DataFrame:
     with K.rocks(spark):
         J.run_available(K.lru(rows, 6), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out + "-state")
     return spark.read.parquet(out).select("cache", "seq", "key", "hit")
+
+
+@BOOK.add("SELECT event_type AS name, count(DISTINCT user_id % 5)::BIGINT AS subdirectory_count, 1::BIGINT AS level, bool_and(true) AS owned FROM events GROUP BY 1")
+def directory_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A tree written from events, listed by the directory source: the directories of its first level and how many are in each."""
+    reachable(spark)
+    root = J.place(spark, "tree")
+    events = table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("five"), F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("user_id").cast("string")).alias("value"))
+    events.write.partitionBy("event_type", "five").text(root)
+    found = directories(spark, root, skip=("_SUCCESS", "._SUCCESS.crc"))
+    within = found.where("is_directory and level = 2").groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("subdirectory_count"))
+    first = found.where("is_directory and level = 1").join(within, "path")
+    return first.select(F.regexp_replace("name", "^event_type=", "").alias("name"), "subdirectory_count", F.col("level").cast("long").alias("level"), (F.col("owner_uid") >= 0).alias("owned"))
+
+
+@BOOK.add("SELECT event_type AS name, count(*) AS lines FROM events WHERE user_id % 5 <> 2 GROUP BY 1")
+def directory_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files that the directory source lists, without one directory of each branch, read as texts."""
+    reachable(spark)
+    root = J.place(spark, "tree")
+    table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("five"), F.col("event_id").cast("string").alias("value")).write.partitionBy("event_type", "five").text(root)
+    listed = directories(spark, root, skip=("five=2",)).where("not is_directory and level = 3 and name like 'part-%'").select("path")
+    lines = spark.read.option("recursiveFileLookup", True).text(root).select(F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("path"))
+    found = lines.join(listed, "path")
+    return found.groupBy(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("name")).agg(F.count("*").alias("lines"))
+
+
+@BOOK.add("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id % 9 + 1 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) AS us FROM events),
+    r(key, k, since, held, pieces, part, characters, given) AS (SELECT key, k, us, n, 1::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM e WHERE k = 1
+        UNION ALL SELECT key, k, CASE WHEN flush THEN us ELSE since END, CASE WHEN flush THEN 0 ELSE h END, CASE WHEN flush THEN 0 ELSE p END, part + CASE WHEN flush THEN 1 ELSE 0 END, CASE WHEN flush THEN h END, CASE WHEN flush THEN p END
+        FROM (SELECT e.key, e.k, e.us, r.since, r.part, r.held + e.n AS h, r.pieces + 1 AS p, r.held + e.n >= 30 AND e.us - r.since >= 86400000000 AS flush FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1))
+    SELECT key, part - 1 AS part, characters, given AS pieces FROM r WHERE given IS NOT NULL UNION ALL SELECT key, part, held, pieces FROM (SELECT *, k = max(k) OVER (PARTITION BY key) AS last FROM r) WHERE last AND pieces > 0""")
+def throttled_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of text per user, given out a day apart and thirty characters at least; what is held last comes by its timer."""
+    reachable(spark)
+    i = F.col("event_id")
+    last = spark.range(1).select(F.lit("~").alias("key"), F.lit("2100-01-01").cast("timestamp").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit("end").alias("text"))
+    source, out = J.place(spark, "pieces"), J.place(spark, "given")
+    spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), i.alias("seq"), F.repeat(F.lit("x"), (i % 9 + 1).cast("int")).alias("text")).write.parquet(f"{source}/a")
+    last.write.parquet(f"{source}/b")  # far later: what is still held is given out by its timer
+    rows = spark.readStream.schema(last.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1000).parquet(source)
+    with K.rocks(spark):
+        J.run_available(H.throttled(rows, 86400.0, 30), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out + "-state")
+    return spark.read.parquet(out).where("key <> '~'").select("key", "part", F.length("text").cast("long").alias("characters"), "pieces")

@@ -275,11 +275,14 @@ _SEARCH = "gear the edtion ndble"
 
 @BOOK.add(f"""WITH {_FOUND.replace("contains(lower(name), 'hot') OR ", "").replace(" OR contains(lower(about), 'hot')", "")}, {sql_bm25(['gear', 'the', 'edtion', 'ndble'])}, top AS (SELECT doc_id, bm25 FROM scored WHERE bm25 > 0 ORDER BY bm25 DESC, doc_id LIMIT 5),
     docs AS (SELECT 'semantic' AS origin, 'document' AS type, CAST(doc_id AS VARCHAR) AS id, round(bm25 / (SELECT max(bm25) FROM top), 6) AS score FROM top),
-    rows AS (SELECT * FROM docs UNION ALL SELECT 'structured', type, id, 1.0::DOUBLE FROM found) SELECT origin, type, id, score, 'hybrid' AS decision FROM rows""")
+    rows AS (SELECT * FROM docs UNION ALL SELECT 'structured', type, id, 1.0::DOUBLE FROM found), near AS (SELECT avg(CASE WHEN origin = 'structured' THEN 1.0::DOUBLE ELSE round(score / (SELECT max(score) FROM docs), 6) END) AS near FROM (SELECT * FROM rows ORDER BY origin, score DESC, id LIMIT 3)),
+    f AS (SELECT round(0.15::DOUBLE * CASE WHEN count(*) = 1 THEN 0.5::DOUBLE WHEN count(*) <= 3 THEN 0.7::DOUBLE ELSE least(0.9::DOUBLE, 0.7::DOUBLE + count(*) * 0.05::DOUBLE) END + 0.25::DOUBLE * avg(CASE WHEN origin = 'structured' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) + 0.2::DOUBLE * CASE WHEN bool_or(origin = 'structured') THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END + 0.1::DOUBLE
+        + 0.15::DOUBLE * (SELECT near FROM near) + 0.15::DOUBLE * avg(CASE WHEN origin = 'structured' THEN 1.0::DOUBLE ELSE round(score / (SELECT max(score) FROM docs), 6) END), 6) AS confidence FROM rows)
+    SELECT origin, type, id, score, 'hybrid' AS decision, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'uncertain' END AS level FROM rows, f""")
 def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     out = A.hybrid_query(spark, _SEARCH, _asked_registry(spark, d, _SEARCH), docs)
-    return out.select("origin", "type", "id", "score", "decision")
+    return out.select("origin", "type", "id", "score", "decision", "confidence", "level")
 
 
 @BOOK.add("""WITH r AS (SELECT p_type AS type, p_name AS name, p_partkey AS ord, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey, p_name) AS k, count(*) OVER (PARTITION BY p_type) AS n FROM part)

@@ -163,12 +163,31 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     return R.mmr(R.vector_search(e, R.vector_of(e, PIVOT), 20).select(F.col("vec_id").alias("id"), "score", "embedding"), 10)
 
 
-@BOOK.add()
+_RAW = f"len(list_intersect(list_distinct({sql_tokens('text')}), [{sql_quoted(sorted(set(_Q)))}])) - 2.0::DOUBLE"
+_PIPELINE = f"""WITH RECURSIVE {_SEM}, {sql_bm25(_Q)}, near AS (SELECT doc_id AS id, text, coalesce(score, 0) AS score FROM documents LEFT JOIN sem ON vec_id = doc_id ORDER BY score DESC, id LIMIT 80),
+    fused AS (SELECT id, text, round(0.7::DOUBLE * near.score + 0.3::DOUBLE * round(coalesce(bm25, 0) / (SELECT max(bm25) FROM scored), 6), 6) AS score FROM near LEFT JOIN scored ON id = doc_id),
+    ranked AS (SELECT id, round(0.4::DOUBLE * score + 0.6::DOUBLE / (1 + exp(-({_RAW}))), 6) AS score FROM (SELECT * FROM fused ORDER BY score DESC, id LIMIT 90) ORDER BY 2 DESC, id LIMIT 30),
+    c AS (SELECT id, score, v FROM ranked JOIN vecs ON vec_id = id ORDER BY score DESC, id LIMIT 20), apart AS (SELECT a.id AS id, b.id AS other, {_COSINE} AS cos FROM c a, c b),
+    chosen(step, ids) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT step + 1, list_append(ids, (SELECT arg_min(c.id, struct_pack(a := -round(0.7::DOUBLE * c.score - 0.3::DOUBLE * coalesce((SELECT max(cos) FROM apart WHERE apart.id = c.id AND list_contains(ids, other)), 0), 9), b := -c.score, d := c.id)) FROM c WHERE NOT list_contains(ids, c.id))) FROM chosen WHERE step < 10)
+    SELECT c.id, rank, round(score, 4) AS score FROM (SELECT unnest(ids) AS id, generate_subscripts(ids, 1) AS rank FROM chosen WHERE step = 10) p JOIN c ON c.id = p.id"""
+
+
+@BOOK.add(_PIPELINE)
 def hybrid_search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     raw = F.size(F.array_intersect(T.tokens(F.col("text")), F.array(*map(F.lit, sorted(set(_Q)))))) - 2.0
-    return R.search(docs, e, QUERY, R.vector_of(e, PIVOT, "id"), k=10, raw=raw)
+    return R.search(docs, e, QUERY, R.vector_of(e, PIVOT, "id"), k=10, raw=raw).withColumn("score", F.round("score", 4))
+
+
+@BOOK.add(_PIPELINE)
+def hybrid_search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same pipeline with the keyword scores of the stored postings."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    raw = F.size(F.array_intersect(T.tokens(F.col("text")), F.array(*map(F.lit, sorted(set(_Q)))))) - 2.0
+    keyword = lambda query: stored(spark, d).scores(query).withColumnRenamed("doc_id", "id")
+    return R.search(docs, e, QUERY, R.vector_of(e, PIVOT, "id"), k=10, raw=raw, keyword=keyword).withColumn("score", F.round("score", 4))
 
 
 @BOOK.add(f"""WITH {_SEM}, s AS (SELECT 'doc' AS type, vec_id AS id, score FROM sem ORDER BY score DESC, vec_id LIMIT 40), t AS (SELECT 'doc' AS type, doc_id AS id FROM labels WHERE quality = 1)

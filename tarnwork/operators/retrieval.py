@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -207,9 +208,10 @@ def entity_boost(scored: DataFrame, mentioned: Column, wanted: list, factor: flo
     return scored.withColumn("score", F.round(F.col("score") + factor * hits, 6)).orderBy(F.desc("score"), id_column).limit(k)
 
 
-def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = 5, keep: Column | None = None, raw: Column | None = None, diversify: bool = True, fusion: str = "candidate") -> DataFrame:
+def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = 5, keep: Column | None = None, raw: Column | None = None, diversify: bool = True, fusion: str = "candidate", keyword: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """The whole pipeline: weights by the kind of query, acronym variants at half weight, candidates, fusion,
-    reranking and diversification.  ``vectors(id, embedding)`` and ``docs(id, text)``."""
+    reranking and diversification.  ``vectors(id, embedding)`` and ``docs(id, text)``; ``keyword`` gives ``(id, bm25)`` of the documents
+    that a query's words are in, as a stored index does; without it all texts are scanned."""
     spark = docs.sparkSession
     kind = spark.range(1).select(query_kind(F.lit(query))).first()[0]
     weights = WEIGHTS[kind]
@@ -221,7 +223,7 @@ def search(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[f
     near = near.orderBy(F.desc(F.round("score", 6)), "id").limit(width)
     parts = None
     for i, variant in enumerate(T.expand_acronyms(query)):
-        words = bm25_scores(docs, variant, "id")
+        words = keyword(variant) if keyword is not None else bm25_scores(docs, variant, "id")
         part = fuse_candidates(near, words, weights, width, "id") if fusion == "candidate" else fuse_full(words.withColumn("score", F.col("bm25")), near, weights, width, id_column="id")
         part = part.select("id", (F.col("score") * (1.0 if i == 0 else 0.5)).alias("score"))
         parts = part if parts is None else parts.union(part)

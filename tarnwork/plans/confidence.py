@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Reliability of a kind of source, and weights of the six factors.
@@ -18,10 +18,15 @@ def confidence(sources: DataFrame, answer: str, kind: str = "type", relevance: s
     """``score`` and ``level`` per ``answer`` of ``sources(answer, type, relevance)``: number, reliability and relevance of
     the sources, structured data among them, the classification, and the first three similarities."""
     weight = F.coalesce(*[F.when(F.col(kind) == k, F.lit(w)) for k, w in RELIABILITY.items()], F.lit(0.5))
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(similarity)))), lambda x: x[similarity]), 1, 3) if similarity else F.array().cast("array<double>")
-    rows = sources.groupBy(answer).agg(F.count("*").alias("n"), F.avg(weight).alias("quality"), F.avg(relevance).alias("relevance"), F.bool_or(F.col(kind) == "registry").alias("structured"), first.alias("near"))
+    rows = sources.groupBy(answer).agg(F.count("*").alias("n"), F.avg(weight).alias("quality"), F.avg(relevance).alias("relevance"), F.bool_or(F.col(kind) == "registry").alias("structured"))
+    if similarity:  # three rows of an answer leave their partitions, however many sources it has
+        rank = F.row_number().over(Window.partitionBy(answer).orderBy(order, similarity))
+        first = sources.withColumn("_rank", rank).where(F.col("_rank") <= 3).groupBy(F.col(answer).alias("_of")).agg(F.avg(similarity).alias("near"))
+        rows = rows.join(first, F.col(answer).eqNullSafe(F.col("_of")), "left")
+    else:
+        rows = rows.withColumn("near", F.lit(None).cast("double"))
     count = F.when(F.col("n") == 0, 0.1).when(F.col("n") == 1, 0.5).when(F.col("n") <= 3, 0.7).otherwise(F.least(F.lit(0.9), 0.7 + F.col("n") * 0.05))
-    near = F.when(F.size("near") > 0, F.aggregate("near", F.lit(0.0), lambda s, x: s + x) / F.size("near")).otherwise(0.5)
+    near = F.coalesce("near", F.lit(0.5))
     factors = {"source_count": count, "source_quality": F.col("quality"), "structured_data": F.when(F.col("structured"), 0.9).otherwise(0.4), "classification": F.lit(classification), "similarity": near, "source_relevance": F.col("relevance")}
     score = F.round(sum((F.lit(WEIGHTS[k]) * v for k, v in factors.items()), F.lit(0.0)), 6)
     return rows.withColumn("score", score).withColumn("level", level(F.col("score"))).select(answer, "n", "score", "level")
