@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunk_tables as O
+from ..operators import enrichment as E
 from ..operators import snapshots as S
+from ..operators import voices as V
 from ..operators.enrichment import chunks
 from ..session import reachable, table
 from ..sources import files, registries
@@ -15,6 +18,7 @@ from ..streaming import jobs as J
 from ..streaming import state as K
 from ..streaming import throttle as H
 from ..streaming.ingest import SnapshotIngest
+from . import enrichment
 from ._book import Book
 
 BOOK = Book()
@@ -194,3 +198,50 @@ def throttled_sink(spark: SparkSession, d: str) -> DataFrame:
     with K.rocks(spark):
         J.run_available(H.throttled(rows, 86400.0, 30), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), out + "-state")
     return spark.read.parquet(out).where("key <> '~'").select("key", "part", F.length("text").cast("long").alias("characters"), "pieces")
+
+
+@BOOK.add(enrichment.BOOK.sql["keyterms_topk"])
+def keyterms_from_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Key terms by weights that were saved and loaded."""
+    docs, path = enrichment._ascii(spark, d), J.place(spark, "weights")
+    E.save_idf(E.fit_idf(docs), docs.count(), path)
+    weights, n = E.load_idf(spark, path)
+    return E.key_terms(docs.where(F.lit(n) > 0), "doc_id", weights, 10, 0.05)
+
+
+@BOOK.add(f"SELECT doc_id, type, unnest(entities) AS entity FROM ({enrichment.BOOK.sql['gazetteer_extract']})")
+def entity_links(spark: SparkSession, d: str) -> DataFrame:
+    """What texts mention, kept as a file of links and read again."""
+    path = J.place(spark, "links")
+    E.save_links(enrichment.gazetteer_extract(spark, d), "doc_id", path)
+    return E.load_links(spark, path, "doc_id")
+
+
+@BOOK.add("SELECT 'type' AS kind, 'n' || n_nationkey AS id, n_name AS name, ['calm', 'n' || n_regionkey] AS held FROM nation UNION ALL SELECT 'individual', 'c' || c_custkey, c_name, [lower(c_mktsegment)] FROM customer")
+def voice_store_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles saved as a store and loaded again."""
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string")).alias("id")
+    types = table(spark, d, "nation").select(key("n", "n_nationkey"), F.col("n_name").alias("name"), F.lit("").alias("description"), F.array(F.lit("calm"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string"))).alias("tensions"))
+    people = table(spark, d, "customer").select(key("c", "c_custkey"), F.col("c_name").alias("name"), F.array(F.lower("c_mktsegment")).alias("topics"))
+    path = J.place(spark, "voices")
+    V.save(types, people, path)
+    types, people = V.load(spark, path)
+    return types.select(F.lit("type").alias("kind"), "id", "name", F.col("tensions").alias("held")).union(people.select(F.lit("individual"), "id", "name", "topics"))
+
+
+@BOOK.add("SELECT 'total' AS name, CAST(count(*) AS VARCHAR) AS value FROM part UNION ALL SELECT 'brands', CAST(count(DISTINCT p_brand) AS VARCHAR) FROM part UNION ALL SELECT p_type, CAST(count(*) AS VARCHAR) FROM part GROUP BY p_type")
+def stored_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A registry's summary as its document has it."""
+    part = table(spark, d, "part")
+    counts = part.groupBy("p_type").agg(F.count("*").alias("n")).select(F.col("p_type").alias("name"), F.col("n").cast("string").alias("value"))
+    totals = part.agg(F.count("*").alias("total"), F.count_distinct("p_brand").alias("brands")).select(F.explode(F.create_map(F.lit("total"), F.col("total").cast("string"), F.lit("brands"), F.col("brands").cast("string"))).alias("name", "value"))
+    path = J.place(spark, "summary")
+    counts.union(totals).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("summary")).write.json(path)
+    return registries.summary(spark, path)
+
+
+@BOOK.add()
+def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping chunks of whole documents beside the documents' own columns, by a lateral join."""
+    reachable(spark)
+    return O.overlapping(table(spark, d, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("characters"), "char_start", "char_end")

@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..streaming.files import located
 
 #: Grant numbers by agency, project acronyms, funders and titles of names.
 GRANTS = (
@@ -46,6 +47,33 @@ def fit_idf(rows: DataFrame, text: str = "text") -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(max(n, 1))) / F.col("df")))
 
 
+def save_idf(idf: DataFrame, documents: int, path: str) -> None:
+    """Keep term weights and the number of documents that they rest on."""
+    idf.write.mode("overwrite").parquet(f"{path}/terms")
+    idf.sparkSession.range(1).select(F.lit(documents).cast("long").alias("documents")).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_idf(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Term weights and the number of documents; nothing and 0 where nothing is kept."""
+    at, found = located(spark, f"{path}/about/_SUCCESS")
+    if not found.exists(at):
+        return spark.createDataFrame([], "term string, df long, idf double"), 0
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/about").first()["documents"]
+
+
+def save_links(found: DataFrame, id_column: str, path: str, source: str | None = None) -> None:
+    """Keep what ``gazetteer`` finds as a document per chunk: its id, its source and its entities by type."""
+    by = [id_column, *([source] if source else [])]
+    links = found.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "entities")))).alias("entities"))
+    links.write.mode("overwrite").json(path)
+
+
+def load_links(spark: SparkSession, path: str, id_column: str, kind: str = "long") -> DataFrame:
+    """``(id, type, entity)`` of kept links."""
+    rows = spark.read.schema(f"`{id_column}` {kind}, entities map<string,array<string>>").json(path)
+    return rows.select(id_column, F.explode("entities").alias("type", "held")).select(id_column, "type", F.explode("held").alias("entity"))
+
+
 def key_terms(rows: DataFrame, id_column: str, idf: DataFrame | None = None, k: int = 10, least: float = 0.1, text: str = "text") -> DataFrame:
     """The ``k`` best terms of each row: frequency times idf (2.0 where unknown), 1.3 times that for technical words."""
     words = rows.select(id_column, key_tokens(F.col(text)).alias("w")).withColumn("total", F.size("w"))

@@ -17,6 +17,13 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tuple(tables)
 
 
+def save(types: DataFrame, individuals: DataFrame, path: str) -> None:
+    """Write a store as one document, as ``load`` reads it; profiles of one id are an error."""
+    fields = lambda rows: F.map_from_entries(F.collect_list(F.struct("id", F.struct(*[c for c in rows.columns if c != "id"]))))
+    document = types.agg(fields(types).alias("compound_types")).join(individuals.agg(fields(individuals).alias("individuals")))  # one row each
+    document.coalesce(1).write.mode("overwrite").json(path)
+
+
 def by_topic(affinities: DataFrame, topics: list[str], n: int = 3) -> DataFrame:
     """The voices with most affinities ``(topic, voice)`` to topics that hold the keyword or are held by it."""
     test = F.lit(False)

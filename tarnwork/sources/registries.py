@@ -68,3 +68,8 @@ def save_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
 def refresh(spark: SparkSession, path: str) -> None:
     """Forget what is cached of a path, so that the next read sees the files of now."""
     spark.catalog.refreshByPath(path)
+
+
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, value)`` of a document's stored summary; a document without one has none.  Nested values are JSON texts."""
+    return _document(spark, path, "summary map<string,string>").select(F.explode("summary").alias("name", "value"))

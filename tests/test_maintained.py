@@ -181,3 +181,22 @@ def test_quantiles_of_many_distinct_values(spark):
     assert abs(got["hot"] - (hot[97] ** 1.5 + hot[98] ** 1.5) / 2) < 1e-3
     cold = [i for i in range(4_999_800, 5_000_200) if i % 100 >= 98]
     assert abs(got["cold"] - (cold[3] ** 1.5 + cold[4] ** 1.5) / 2) < 1e-3
+
+
+def test_overlapping_chunks_of_whole_documents(spark, data):
+    from tarnwork.operators.chunk_tables import overlapping, overlapping_pieces
+    from tarnwork.session import reachable
+
+    reachable(spark)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang", "text")
+    want = sorted((r.doc_id, i, *p) for r in docs.collect() for i, p in enumerate(overlapping_pieces(r.text)))
+    found = overlapping(docs)
+    assert found.columns == ["doc_id", "lang", "text", "chunk_index", "chunk", "char_start", "char_end"]
+    assert sorted((r.doc_id, r.chunk_index, r.chunk, r.char_start, r.char_end) for r in found.collect()) == want
+    # By hand: the second chunk begins with the tail of the first, places count a gap as one.
+    one, two, three = "A" * 39 + ".", "B" * 39 + "!", "C" * 9 + "?"
+    assert overlapping_pieces(f"{one}  {two} {three}", 60, 10, 20) == [(one, 0, 41), (f"{one[-10:]} {two}", 31, 82), (f"{two[-10:]} {three}", 72, 93)]
+    assert overlapping_pieces(None) == overlapping_pieces("") == [] and overlapping_pieces("short") == [("short", 0, 5)]
+    assert overlapping_pieces(f"{one} {three}", 45, 0, 20) == [(f"{one} {three}", 0, 51)]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "x. y")], "id long, text string")
+    assert [(r.id, r.chunk) for r in overlapping(odd).where("chunk is not null").collect()] == [(3, "x. y")]
