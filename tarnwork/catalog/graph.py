@@ -62,6 +62,26 @@ def graph_who_worked_with(spark: SparkSession, d: str) -> DataFrame:
     return G.who_worked_with(_members(spark, d))
 
 
+def _one(question: str, node: str, role: str, other: str, extra: str = "") -> str:
+    where = f"a.role = '{role}' AND " if role else ""
+    return f"SELECT DISTINCT '{question}' AS question, b.node_id AS target FROM m a JOIN m b ON a.edge_id = b.edge_id WHERE {where}a.node_id = '{node}' AND b.role = '{other}' {extra}"
+
+
+_APART = "AND a.node_id <> b.node_id"
+
+
+@BOOK.add(f"WITH {_MEMBERS} {_one('collaborators', 's3', 'agent', 'agent', _APART)} UNION ALL {_one('outputs', 's3', 'agent', 'output')} UNION ALL {_one('inputs', 's3', 'output', 'input')} UNION ALL {_one('worked_with', 's3', '', 'agent', _APART)}")
+def graph_about_agent(spark: SparkSession, d: str) -> DataFrame:
+    """All questions about one agent: only its edges are joined."""
+    return G.about(_members(spark, d), "s3")
+
+
+@BOOK.add(f"WITH {_MEMBERS} {_one('collaborators', 'p5', 'agent', 'agent', _APART)} UNION ALL {_one('outputs', 'p5', 'agent', 'output')} UNION ALL {_one('inputs', 'p5', 'output', 'input')} UNION ALL {_one('worked_with', 'p5', '', 'agent', _APART)}")
+def graph_about_output(spark: SparkSession, d: str) -> DataFrame:
+    """All questions about one node that edges produced."""
+    return G.about(_members(spark, d), "p5")
+
+
 @BOOK.add(f"WITH {_MEMBERS} SELECT node_id, count(DISTINCT edge_id) AS n_edges FROM m GROUP BY node_id")
 def graph_incidence(spark: SparkSession, d: str) -> DataFrame:
     return G.incident_edges(_members(spark, d)).groupBy("node_id").agg(F.count("*").alias("n_edges"))

@@ -7,6 +7,8 @@ membership with itself on the edge.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,30 +30,39 @@ def all_nodes(agents: Column, inputs: Column, outputs: Column, context: Column)
 
 
 def _via(members: DataFrame, of: Column, other_roles: tuple[str, ...], node: str | None = None) -> DataFrame:
-    mine = members.where(of).select("edge_id", F.col("node_id").alias("source"))
+    """Pairs of nodes of one edge, the first in the roles ``of``; of one ``node`` only its own edges are joined, so the rows that
+    arise grow with those edges' members and not with the square of any."""
+    mine = members.where(of) if node is None else members.where(of & (F.col("node_id") == node))
+    mine = mine.select("edge_id", F.col("node_id").alias("source")).distinct()
     theirs = members.where(F.col("role").isin(*other_roles)).select("edge_id", F.col("node_id").alias("target"))
-    out = mine.join(theirs, "edge_id").select("source", "target").distinct()
-    return out
+    return mine.join(theirs, "edge_id").select("source", "target").distinct()
 
 
-def collaborators(members: DataFrame) -> DataFrame:
-    """Pairs of agents of one edge, without oneself."""
-    return _via(members, F.col("role") == "agent", ("agent",)).where("source <> target")
+def collaborators(members: DataFrame, node: str | None = None) -> DataFrame:
+    """Pairs of agents of one edge, without oneself; all of them, or those of one node."""
+    return _via(members, F.col("role") == "agent", ("agent",), node).where("source <> target")
 
 
-def outputs_of(members: DataFrame) -> DataFrame:
+def outputs_of(members: DataFrame, node: str | None = None) -> DataFrame:
     """What an agent's edges produced."""
-    return _via(members, F.col("role") == "agent", ("output",))
+    return _via(members, F.col("role") == "agent", ("output",), node)
 
 
-def inputs_for(members: DataFrame) -> DataFrame:
+def inputs_for(members: DataFrame, node: str | None = None) -> DataFrame:
     """What went into the edges that have a node as output."""
-    return _via(members, F.col("role") == "output", ("input",))
+    return _via(members, F.col("role") == "output", ("input",), node)
 
 
-def who_worked_with(members: DataFrame) -> DataFrame:
+def who_worked_with(members: DataFrame, node: str | None = None) -> DataFrame:
     """Agents of the edges that a node has any part in."""
-    return _via(members, F.lit(True), ("agent",)).where("source <> target")
+    return _via(members, F.lit(True), ("agent",), node).where("source <> target")
+
+
+def about(members: DataFrame, node: str) -> DataFrame:
+    """``(question, target)``: the four questions asked of one node."""
+    asked = (("collaborators", collaborators), ("outputs", outputs_of), ("inputs", inputs_for), ("worked_with", who_worked_with))
+    parts = [f(members, node).select(F.lit(name).alias("question"), "target") for name, f in asked]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def incident_edges(members: DataFrame) -> DataFrame:
