@@ -12,6 +12,7 @@ from ..operators import registry as R
 from ..operators import suggest as S
 from ..plans import classify as K
 from ..plans import confidence as C
+from ..plans import fallbacks as B
 from ..plans import routing as Q
 from ..plans import steps as X
 from ..session import documents, table
@@ -309,3 +310,44 @@ def person_resources(spark: SparkSession, d: str) -> DataFrame:
     people = customer.select(F.col("c_custkey").alias("person_id"), name(F.col("c_custkey")).alias("username"), F.col("c_name"), F.array().cast("array<string>").alias("topics"), F.col("c_custkey").alias("ord"))
     links = R.cross_links(people.drop("c_name"), resources)
     return A.person_resources(links, people.withColumnRenamed("c_name", "name"), resources, "user3")
+
+
+def _named(spark: SparkSession, d: str):
+    """A lookup of parts whose names have all words of a query."""
+    part = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
+
+    def found(query: str, parent: DataFrame | None) -> DataFrame:
+        rows = part
+        for word in query.lower().split():
+            rows = rows.where(F.array_contains(F.split("name", " "), word))
+        return rows
+
+    return found
+
+
+def _rows(n: str) -> str:
+    return f"(SELECT least(count(*), 20) FROM part WHERE {n})"
+
+
+def _quality_sql(n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN round(least(1.0::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * {n}), 6) ELSE 0.2::DOUBLE END"
+
+
+_TRIED = "hot gear and whales"
+
+
+@BOOK.add(f"""WITH n AS (SELECT {_rows("false")} AS a, {_rows("list_has_all(string_split(lower(p_name), ' '), ['hot', 'gear'])")} AS b)
+    SELECT 1 AS position, 's1' AS step, {_quality_sql('a')} AS quality, false AS success, 1 AS fallbacks FROM n UNION ALL SELECT 2, 'fallback:decomposition', {_quality_sql('b')}, true, 1 FROM n""")
+def plan_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup finds nothing; the first strategy finds nothing either, the second does."""
+    run = B.with_strategies([X.Step("s1", "registry", _TRIED)], {"registry": _named(spark, d)}, ("expansion", "decomposition", "narrowing"))
+    told = [(i + 1, o.step, round(o.quality, 6), o.success, run.fallbacks) for i, o in enumerate(run.outcomes)]
+    return spark.createDataFrame(told, "position int, step string, quality double, success boolean, fallbacks int")
+
+
+@BOOK.add("""SELECT p_partkey, lower(p_name) AS name, 'a' AS step FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'gear') UNION ALL SELECT p_partkey, lower(p_name), 'b' FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'hot')""")
+def plan_together(spark: SparkSession, d: str) -> DataFrame:
+    """Two lookups side by side and the union of what they found."""
+    steps = [X.Step("a", "registry", "gear"), X.Step("b", "registry", "hot"), X.Step("c", "combine", "", "a", ("a", "b"))]
+    run = B.execute_together(spark, steps, {"registry": _named(spark, d)})
+    return run.outcomes[-1].rows

@@ -104,3 +104,27 @@ def test_directories_are_listed(spark, tmp_path):
     from tarnwork.sources.directories import described
 
     assert described(str(tmp_path / "missing"), 1)[3:] == (False, -1, "unknown", 0, None, 1)
+
+
+def test_plans_fall_back_and_run_together(spark):
+    import time
+
+    from tarnwork.plans import fallbacks, steps
+
+    assert fallbacks.decomposition("hot gear and whales") == "hot gear" and fallbacks.narrowing("find the large networks of gears") in ("large networks", "networks gears")
+    assert "machine learning" in fallbacks.expansion("ml gears") and fallbacks.reformulation("what is the gear?") == "gear"
+    run = fallbacks.with_strategies([steps.Step("s1", "registry", "gears and bolts")], {"registry": lambda q, _: spark.range(5 if q == "gears" else 0)}, ("unknown", "expansion", "decomposition", "narrowing"))
+    assert [o.step for o in run.outcomes if o.success] == ["fallback:decomposition"] and run.quality == 0.95
+
+    @F.udf("long")
+    def slow(x):
+        time.sleep(30)
+        return x
+
+    actions = {"registry": lambda q, _: spark.range(3), "slow": lambda q, _: spark.range(8).select(slow("id")), "broken": lambda q, _: 1 / 0}
+    plan = [steps.Step("a", "registry", "q"), steps.Step("b", "slow", "q"), steps.Step("c", "broken", "q"), steps.Step("d", "registry", "q", "a"), steps.Step("e", "registry", "q", "c"), steps.Step("f", "combine", "", "a", ("a", "d"))]
+    began = time.perf_counter()
+    run = fallbacks.execute_together(spark, plan, actions, seconds=8)
+    told = {o.step: o for o in run.outcomes}
+    assert set(told) == {"a", "b", "c", "d", "f"} and told["a"].success and told["d"].success and told["f"].rows.count() == 6
+    assert "more than 8 seconds" in told["b"].error and "division" in told["c"].error and time.perf_counter() - began < 28
