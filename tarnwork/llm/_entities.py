@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import calendar
 import ipaddress
+import itertools
 import re
 
 #: First names by (script, gender); a surrogate stays in its list.
@@ -82,8 +83,8 @@ _AND = re.compile(r"\s?(?:,|,? (?:and|und|et|y|&))\s\Z")
 
 
 def luhn(digits: str) -> bool:
-    total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
-    return total % 10 == 0
+    numbers = [int(c) for c in digits]
+    return (sum(numbers[::-2]) + sum([_DOUBLED[d] for d in numbers[-2::-2]])) % 10 == 0
 
 
 def solid(kind: str, text: str) -> list[int]:
@@ -133,14 +134,18 @@ def _is_day(text: str) -> bool:
     return 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]
 
 
+#: The sum of the digits of twice a digit.
+_DOUBLED = tuple(sum(divmod(2 * d, 10)) for d in range(10))
+
+
 def _card_within(run: str, start: int) -> list[tuple[int, int, str]]:
     """The longest run of digit groups with a valid check digit in a longer run; the leftmost of equals."""
     places = [i for i, c in enumerate(run) if c.isdigit()]
-    sums = ([0], [0])  # running check sums with the digits of even, and of odd, places plain
-    for k, i in enumerate(places):
-        digit = int(run[i])
-        for plain in (0, 1):
-            sums[plain].append(sums[plain][-1] + (digit if k % 2 == plain else sum(divmod(2 * digit, 10))))
+    digits = [int(run[i]) for i in places]
+    doubled = [_DOUBLED[d] for d in digits]
+    mixed = [list(digits), list(doubled)]  # the digits of even, and of odd, places plain
+    mixed[0][1::2], mixed[1][1::2] = doubled[1::2], digits[1::2]
+    sums = [list(itertools.accumulate(m, initial=0)) for m in mixed]  # running check sums
     edge = [k for k, i in enumerate(places) if not k or places[k - 1] != i - 1] + [len(places)]
     tries = [(b - a, -a) for n, a in enumerate(edge) for b in edge[n + 1 :] if 13 <= b - a and (sums[(b - 1) % 2][b] - sums[(b - 1) % 2][a]) % 10 == 0]
     if not tries:

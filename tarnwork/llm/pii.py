@@ -235,7 +235,8 @@ def _name(key: bytes, part: str) -> str:
     listed = part if part in LIST_OF else part.capitalize()
     if listed in LIST_OF:
         names = NAMES[LIST_OF[listed]]
-        return names[_permutation(key, "name" + "".join(LIST_OF[listed]), len(names))(names.index(listed))].lower()
+        new = names[_permutation(key, "name" + "".join(LIST_OF[listed]), len(names))(names.index(listed))]
+        return new if part in LIST_OF else new.lower()
     ending, new = _ending(part), part
     stays = frozenset(range(len(part) - len(ending), len(part)))
     while True:
