@@ -44,6 +44,7 @@ def inverse(n: int, df: int) -> float:
 class Postings:
     def __init__(self, spark: SparkSession, folder: str, id_column: str = "doc_id", buckets: int = 32, block: int = 256) -> None:
         self.spark, self.folder, self.id, self.buckets, self.block = spark, folder.rstrip("/"), id_column, buckets, block
+        self._told: dict[tuple, object] = {}  # numbers of the whole corpus, by the versions that they are of
 
     def _at(self, version: int, table: str) -> str:
         return f"{self.folder}/v{version}/{table}"
@@ -126,7 +127,10 @@ class Postings:
         struck = self._struck()
         if struck is not None:
             docs = docs.join(struck, ["id", "version"], "left_anti")
-        row = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+        key = ("lengths", *self.versions())
+        if key not in self._told:
+            self._told[key] = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+        row = self._told[key]
         counted = self.postings(words).groupBy("term").agg(F.sum("n").alias("df")) if struck is None else self._living(self.postings(words)).groupBy("term").agg(F.count("*").alias("df"))
         return {"n": row["n"], "mean": row["mean"] or 0.0, "df": {r.term: r.df for r in counted.collect()}}  # the words of one query
 
@@ -134,7 +138,10 @@ class Postings:
         """The mean over the whole vocabulary, from the counts beside the postings."""
         rows = self.postings()
         seen = rows.groupBy("term").agg(F.sum("n").alias("df")) if self._struck() is None else self._living(rows).groupBy("term").agg(F.count("*").alias("df"))
-        return seen.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
+        key = ("mean", n, *self.versions())
+        if key not in self._told:
+            self._told[key] = seen.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
+        return self._told[key]
 
     def weights(self, query: str) -> tuple[dict[str, float], float]:
         """What each indexed word of a query counts, and the mean length."""
