@@ -311,3 +311,17 @@ def test_index_round_trip(spark, tmp_path):
     assert {r.id: r.text for r in held.collect()} == {"a": "red gear", "b": "blue bolt"}
     assert index.search(held, "gear red", 1).first().id == "a" and [r.id for r in index.similar(held, "a", 5).collect()] == ["b"]
     assert index.search(held, "gear red", 5, doc_types=["u"]).count() == 1
+
+
+def test_questions_end_words_as_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = ["Doó ciónado", "do", "Do_it", "does\u0301", "\u0130s it", "\u00a0who", "\u3000why not", "\twhy", "can't", "candle", "is1", "x?", None, "", "hówhow"]
+    conversations = pd.DataFrame({"conv_id": range(len(texts)), "turn": 0, "text": texts})
+    from tarnwork import catalog
+
+    want = duckdb.sql(catalog.oracle_sql()["questions"]).fetchall()
+    rows = spark.createDataFrame(list(conversations.itertuples(index=False, name=None)), "conv_id long, turn int, text string")
+    assert {r.conv_id for r in enrichment.questions(rows).collect()} == {r[0] for r in want}
+    assert {0, 4, 5, 6} <= {r[0] for r in want}
