@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 ROLES = ("agent", "input", "output", "context")
 #: The kinds of nodes and edges that statistics list even without members.
 NODE_TYPES = ("Person", "Organization", "Project", "Document", "Dataset", "Model", "Resource", "Topic", "Event", "Tool")
@@ -121,8 +123,9 @@ def co_occurrence(members: DataFrame, least: int = 3) -> DataFrame:
 
 
 def shared_attributes(rows: DataFrame, node: str, attribute: str, least: int = 2) -> DataFrame:
-    """Pairs of nodes that share at least ``least`` distinct attributes."""
-    base = rows.select(F.col(node).alias("node"), F.col(attribute).alias("attribute")).distinct()
+    """Pairs of nodes that share at least ``least`` distinct attributes.  An attribute's nodes are together from the start, in
+    parts of so many rows that the pairs counted in one stay few whatever the table."""
+    base = dealt(rows.select(F.col(node).alias("node"), F.col(attribute).alias("attribute")), rows.count(), "attribute").distinct()
     pairs = base.toDF("a", "attribute").join(base.toDF("b", "attribute"), "attribute").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 

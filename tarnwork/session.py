@@ -30,6 +30,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def dealt(rows: DataFrame, size: int, *by: str, per: int = 100_000) -> DataFrame:
+    """Rows dealt by key over as many parts as ``size`` rows need at ``per`` rows a part (one for each core at least): what a
+    task holds does not grow with the table, and what is grouped or joined by the key afterwards stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-size // per)), *by)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"))
 
