@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..session import table
+from ..session import dealt, table
 from ._book import Book
 
 BOOK = Book()
@@ -16,8 +16,10 @@ _MEMBERS = """m AS (SELECT DISTINCT l_orderkey AS edge_id, 'agent' AS role, 's'
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("agents"), F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("outputs"))
-    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    size = lines.count() + orders.count()  # an order and its lines are dealt alike: its edge, members and pairs arise in one part
+    lines = dealt(lines.select("l_orderkey", "l_suppkey", "l_partkey"), size, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("agents"), F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("outputs"))
+    orders = dealt(orders.select("o_orderkey", "o_orderdate", "o_custkey"), size, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     none = F.array().cast("array<string>")
     return orders.select(F.col("o_orderkey").alias("id"), F.lit("Production").alias("edge_type"), F.col("o_orderdate").alias("ts"), F.coalesce("agents", none).alias("agents"), F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("inputs"), F.coalesce("outputs", none).alias("outputs"), none.alias("context"))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from tarnwork.catalog import graph as catalog_graph
 from tarnwork.operators import graph
 from tarnwork.session import dealt
 
@@ -26,3 +28,12 @@ def test_shared_attributes(spark):
     found = graph.shared_attributes(rows, "n", "a")
     assert dealt_over(found) == [10, 10]
     assert found.count() == 21
+
+
+@pytest.mark.parametrize("name", ["graph_incidence", "graph_who_worked_with"])
+def test_edges_arise_where_orders_lie(spark, data, name):
+    """Orders and lines are dealt by order once; members and pairs of an order need no further exchange by it."""
+    found = getattr(catalog_graph, name)(spark, data)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert dealt_over(found) and "ENSURE_REQUIREMENTS" in plan
+    assert not re.search(r"hashpartitioning\((edge_id|l_orderkey|o_orderkey|id)#\d+L?, \d+\), ENSURE", plan)
