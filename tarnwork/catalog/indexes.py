@@ -64,7 +64,7 @@ def graph_project_members(spark: SparkSession, d: str) -> DataFrame:
 def graph_coauthor_edges(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     listed = listed.select((F.col("o_custkey") % 3).alias("profile_id"), F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("person_id"))
-    return G.coauthor_edges(listed).select(F.col("agents")[0].alias("a"), F.col("agents")[1].alias("b"), "confidence")
+    return G.coauthor_edges(listed, size=table(spark, d, "lineitem").count()).select(F.col("agents")[0].alias("a"), F.col("agents")[1].alias("b"), "confidence")
 
 
 _INSTITUTIONS = {"mit": "MIT", "penn": "University of Pennsylvania", "duke": "Duke University"}

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import make_id
+from ..session import dealt
 
 _NONE = "array<string>"
 
 
-def _edge(rows: DataFrame, kind: str, key: list[str], agents, inputs=None, outputs=None, ts=None, confidence: float = 1.0) -> DataFrame:
+def _edge(rows: DataFrame, kind: str, key: list[str], agents, inputs=None, outputs=None, ts=None, confidence: float | Column = 1.0) -> DataFrame:
     none = F.array().cast(_NONE)
     return rows.select(
         make_id(kind.lower(), *[F.col(k).cast("string") for k in key]).alias("id"), F.lit(kind).alias("edge_type"), (ts if ts is not None else F.lit(None)).cast("timestamp").alias("ts"), agents.alias("agents"),
@@ -38,13 +39,13 @@ def publication_edges(authors: DataFrame) -> DataFrame:
     return _edge(rows, "Production", ["doc_id"], F.col("team"), outputs=F.array("doc_id"), ts=F.try_to_timestamp(F.format_string("%d-06-15", "year"), F.lit("yyyy-MM-dd")))
 
 
-def coauthor_edges(listed: DataFrame, least: int = 3) -> DataFrame:
+def coauthor_edges(listed: DataFrame, least: int = 3, size: int | None = None) -> DataFrame:
     """Collaboration edges of people listed together in ``listed(profile_id, doc_id, person_id)``; a paper in two profiles
-    counts twice.  The times are unknown."""
-    base = listed.select("profile_id", "doc_id", "person_id").distinct()
+    counts twice.  The times are unknown.  ``size``: about how many rows there are, counted if it isn't told."""
+    base = dealt(listed.select("profile_id", "doc_id", "person_id"), listed.count() if size is None else size, "profile_id", "doc_id").distinct()
     other = base.toDF("profile_id", "doc_id", "other")
     pairs = base.join(other, ["profile_id", "doc_id"]).where("person_id < other").groupBy("person_id", "other").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return _edge(pairs, "Collaboration", ["person_id", "other"], F.array("person_id", "other")).join(pairs.select(make_id("collaboration", F.col("person_id").cast("string"), F.col("other").cast("string")).alias("id"), F.least(F.col("n") / 10.0, F.lit(1.0)).alias("_c")), "id").withColumn("confidence", F.col("_c")).drop("_c")
+    return _edge(pairs, "Collaboration", ["person_id", "other"], F.array("person_id", "other"), confidence=F.least(F.col("n") / 10.0, F.lit(1.0)))
 
 
 def affiliation_edges(people: DataFrame) -> DataFrame:

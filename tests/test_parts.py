@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.catalog import graph as catalog_graph
-from tarnwork.operators import graph
+from tarnwork.operators import build_graph, graph
 from tarnwork.session import dealt
 
 
@@ -30,6 +30,14 @@ def test_shared_attributes(spark):
     assert found.count() == 21
 
 
+def test_coauthors_of_one_id(spark):
+    """Two pairs whose joined names are one id stay two edges, each with its own confidence."""
+    rows = [(0, i, p) for i in range(4) for p in ("a", "b_c")] + [(0, 10 + i, p) for i in range(3) for p in ("a_b", "c")]
+    found = build_graph.coauthor_edges(spark.createDataFrame(rows, "profile_id int, doc_id int, person_id string"), size=1_000_000)
+    assert dealt_over(found) == [10, 10]
+    assert sorted((*r.agents, r.confidence) for r in found.collect()) == [("a", "b_c", 0.4), ("a_b", "c", 0.3)]
+
+
 @pytest.mark.parametrize("name", ["graph_incidence", "graph_who_worked_with"])
 def test_edges_arise_where_orders_lie(spark, data, name):
     """Orders and lines are dealt by order once; members and pairs of an order need no further exchange by it."""
