@@ -34,3 +34,18 @@ def test_every_pair_with_evidence(spark):
                 want[p, r] = round(score, 6)
     assert {(r.person_id, r.resource_id): r.score for r in found.collect()} == want
     assert sum(s in (0.7, 1.0) for s in want.values()) > 20
+
+
+def test_topic_pairs_are_not_shuffled(spark):
+    """Pairs of people and resources that a topic links arise behind the last exchange, and each once."""
+    people = spark.range(300).selectExpr("id as person_id", "concat('u', id) as username", "array('gears', if(id % 2 = 0, 'hot', 'x')) as topics")
+    resources = spark.range(200).selectExpr("id % 150 as resource_id", "concat('u', id) as path_user", "'u1' as owner", "cast(null as string) as created_by", "if(id % 3 = 0, 'hot gears', 'gears') as description")
+    found = registry.cross_links(people, resources, block=40)
+    rows = found.collect()
+    assert len(rows) == len({(r.person_id, r.resource_id) for r in rows}) == 300 * 150
+    assert {r.score for r in rows} == {0.3, 1.2, 1.3, 2.2}
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert not any(name in plan.nodeName() for name in ("Aggregate", "Repartition"))
+    assert "Aggregate" not in plan.toString().split("Project")[0]
+    parts = registry.cross_links(people, resources, block=40).select("person_id", "resource_id").where("person_id > 250")
+    assert parts.count() == 49 * 150
