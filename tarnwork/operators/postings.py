@@ -30,6 +30,8 @@ from .retrieval import EPSILON, K1, B, query_tokens
 
 #: Bounds are sums in another order than scores; this is more than that can differ by.
 _SLACK = 1 + 1e-9
+#: Words of a corpus for one bucket of its postings, and segments that are made in one task.
+_BUCKET, _TOGETHER = 1_000_000, 4
 
 
 def part(tf: Column, dl: Column, mean: float) -> Column:
@@ -61,7 +63,7 @@ class Postings:
         if not self.spark.catalog.tableExists(name):
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(self._at(version, "postings")).schema)
             place = self._at(version, "postings")
-            self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+            self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {self._wide(version)} BUCKETS LOCATION '{place}'")
         return self.spark.table(name).withColumn("version", F.lit(version))
 
     def _documents(self) -> DataFrame:
@@ -77,13 +79,24 @@ class Postings:
         last = rows.groupBy("id").agg(F.max("version").alias("last"))
         return rows.where("not removed").join(last, "id").where("version < last").select("id", "version")
 
+    def _wide(self, version: int) -> int:
+        """Buckets of a version: ``buckets``, or one for each ``_BUCKET`` words if those are more, so that none grows with the corpus."""
+        key = ("wide", version)
+        if key not in self._told:
+            words = self.spark.read.parquet(self._at(version, "documents")).agg(F.sum("dl")).first()[0] or 0
+            self._told[key] = max(self.buckets, -(-words // _BUCKET))
+        return self._told[key]
+
     def _write(self, counts: DataFrame, version: int) -> None:
-        """Postings of ``counts(term, segment, id, tf, dl)``; a row holds at most a segment's documents."""
+        """Postings of ``counts(term, segment, id, tf, dl)``; a row holds at most a segment's documents.  The documents of
+        the version are written before."""
         docs = F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("docs")
         rows = counts.groupBy("term", "segment").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), docs)
         name = self._name(version)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        writer = rows.repartition(self.buckets, "term").write.mode("overwrite").bucketBy(self.buckets, "term").sortBy("term")
+        self._told.pop(("wide", version), None)
+        wide = self._wide(version)
+        writer = rows.repartition(wide, "term").write.mode("overwrite").bucketBy(wide, "term").sortBy("term")
         writer.option("path", self._at(version, "postings")).saveAsTable(name)
 
     def add(self, docs: DataFrame) -> None:
@@ -91,12 +104,13 @@ class Postings:
         flat = docs.select(F.col(self.id).alias("id"), "text").where(F.col("id").isNotNull())
         n = flat.count()
         new = max(self.versions(), default=0) + 1
-        once = flat.groupBy("id").agg(F.min("text").alias("text"))
-        segment = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // self.block))))
-        words = once.select("id", segment.alias("segment"), T.tokens(F.col("text")).alias("words"))
+        segments = max(1, -(-n // self.block))
+        # A segment's documents are brought together as texts; its postings then arise where it lies, and only they are shuffled.
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-segments // _TOGETHER))
+        once = flat.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments))).repartition(parts, "segment").groupBy("segment", "id").agg(F.min("text").alias("text"))
+        words = once.select("id", "segment", T.tokens(F.col("text")).alias("words"))
         words.select("id", "segment", F.size("words").alias("dl"), F.lit(False).alias("removed")).write.mode("overwrite").parquet(self._at(new, "documents"))
-        # A document's words are together: they are counted where they lie, and only counts are shuffled.
-        counts = T.each(words.withColumn("dl", F.size("words")), F.col("words"), "term", "id", "segment", "dl").groupBy("id", "segment", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        counts = T.each(words.withColumn("dl", F.size("words")), F.col("words"), "term", "id", "segment", "dl").groupBy("segment", "id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
         self._write(counts, new)
         mark(self.spark, f"{self.folder}/v{new}")
 
@@ -207,7 +221,8 @@ class Postings:
         segment = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // self.block))))
         docs.select("id", segment.alias("segment"), "dl", "removed").write.mode("overwrite").parquet(self._at(new, "documents"))
         if living is not None:
-            self._write(living.withColumn("segment", segment), new)
+            parts = max(self.spark.sparkContext.defaultParallelism, -(-n // (self.block * _TOGETHER)))
+            self._write(living.withColumn("segment", segment).repartition(parts, "segment"), new)
         mark(self.spark, f"{self.folder}/v{new}")
         for version in old:
             remove(self.spark, f"{self.folder}/v{version}")

@@ -200,3 +200,21 @@ def test_overlapping_chunks_of_whole_documents(spark, data):
     assert overlapping_pieces(f"{one} {three}", 45, 0, 20) == [(f"{one} {three}", 0, 51)]
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x. y")], "id long, text string")
     assert [(r.id, r.chunk) for r in overlapping(odd).where("chunk is not null").collect()] == [(3, "x. y")]
+
+
+def test_buckets_follow_the_corpus(spark, tmp_path, monkeypatch):
+    """More words make more buckets, also for a reader that comes later; of equal ids in a batch the smallest text counts."""
+    from tarnwork.operators import postings
+
+    monkeypatch.setattr(postings, "_BUCKET", 50)
+    docs = spark.range(200).selectExpr("id % 190 as doc_id", "concat(if(id >= 190, 'zeta', 'alpha'), ' word', id % 7, ' word', id % 90) as text")
+    index = postings.Postings(spark, str(tmp_path / "p"), buckets=4, block=20)
+    index.add(docs)
+    assert index._wide(1) == -(-190 * 3 // 50)
+    for name in [t.name for t in spark.catalog.listTables() if t.name == index._name(1)]:
+        spark.sql(f"DROP TABLE {name}")
+    again = postings.Postings(spark, str(tmp_path / "p"), buckets=4, block=20)
+    found = {r.term: r.n for r in again.postings().groupBy("term").sum("n").toDF("term", "n").collect()}
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {again._name(1)}").collect()}
+    assert told["Num Buckets"] == str(index._wide(1))
+    assert found["alpha"] == 190 and "zeta" not in found and sum(found.values()) == 190 * 3 - sum(i % 7 == i % 90 for i in range(190))
