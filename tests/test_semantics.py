@@ -325,3 +325,17 @@ def test_questions_end_words_as_their_sql(spark):
     rows = spark.createDataFrame(list(conversations.itertuples(index=False, name=None)), "conv_id long, turn int, text string")
     assert {r.conv_id for r in enrichment.questions(rows).collect()} == {r[0] for r in want}
     assert {0, 4, 5, 6} <= {r[0] for r in want}
+
+
+def test_rows_of_texts_come_in_small_batches():
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = enrichment._rows_of_texts(Rows(), "id long, i int", lambda key, n: ((key, i) for i in range(n)))
+    sizes = [0, 1, 30_000, 5, *[100] * 300]
+    out = list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(len(sizes))), "n": sizes})])))
+    assert max(b.num_rows for b in out) <= enrichment._GIVEN < sum(sizes)
+    assert [(r["id"], r["i"]) for b in out for r in b.to_pylist()] == [(k, i) for k, n in enumerate(sizes) for i in range(n)]
