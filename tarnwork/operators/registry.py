@@ -280,8 +280,13 @@ def closest_words(words: DataFrame, vocabulary: DataFrame, most_distance: int =
     """Each ``word``'s nearest ``term`` within an edit distance, of similarity ``least`` or more; ties to the first term.
 
     Within distance d, two words share one of d + 1 pieces at a shifted place; deletion signatures make that an
-    equi-join: words within two edits share a variant with at most two letters deleted.
+    equi-join: words within two edits share a variant with at most two letters deleted.  Words of other lengths than
+    the given ones allow are in no pair and get no variants.
     """
+    lengths = [r["n"] for r in words.select(F.length("word").alias("n")).where("n > 0").distinct().collect()]  # at most as many as the longest word has letters
+    close = sorted({n + d for n in lengths for d in range(-most_distance, most_distance + 1)})
+    vocabulary = vocabulary.where(F.length("term").isin(*close)) if close else vocabulary.where(F.lit(False))
+
     def variants(rows: DataFrame, column: str) -> DataFrame:
         drop = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.left(x, i - 1), F.substr(x, i + 1)))
         one = F.array_union(F.array(F.col(column)), drop(F.col(column)))

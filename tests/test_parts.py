@@ -45,3 +45,14 @@ def test_edges_arise_where_orders_lie(spark, data, name):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert dealt_over(found) and "ENSURE_REQUIREMENTS" in plan
     assert not re.search(r"hashpartitioning\((edge_id|l_orderkey|o_orderkey|id)#\d+L?, \d+\), ENSURE", plan)
+
+
+def test_spelling_makes_no_variants_of_words_too_long(spark):
+    """Deletion variants, which grow with the square of a word's length, are made of terms of a possible length only."""
+    from tarnwork.operators import registry
+
+    terms = spark.range(2000).selectExpr("concat('supplier#', lpad(id, 9, '0')) as term").union(spark.createDataFrame([("gear",), ("gears",), ("g",)], "term string"))
+    found = registry.closest_words(spark.createDataFrame([("gaer",), ("",)], "word string"), terms, least=0.5)
+    assert [(r.word, r.term) for r in found.collect()] == [("gaer", "gear")]
+    assert "length(term" in found._jdf.queryExecution().optimizedPlan().toString().replace("length(id", "") and registry.closest_words(spark.createDataFrame([], "word string"), terms).count() == 0
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(" IN (2,3,4,5,6)") + found._jdf.queryExecution().optimizedPlan().toString().count("INSET") >= 1
