@@ -56,3 +56,14 @@ def test_spelling_makes_no_variants_of_words_too_long(spark):
     assert [(r.word, r.term) for r in found.collect()] == [("gaer", "gear")]
     assert "length(term" in found._jdf.queryExecution().optimizedPlan().toString().replace("length(id", "") and registry.closest_words(spark.createDataFrame([], "word string"), terms).count() == 0
     assert found._jdf.queryExecution().optimizedPlan().toString().count(" IN (2,3,4,5,6)") + found._jdf.queryExecution().optimizedPlan().toString().count("INSET") >= 1
+
+
+def test_key_terms_are_counted_where_texts_lie(spark):
+    """No exchange by row and term: only texts are dealt, by id."""
+    from tarnwork.operators import enrichment
+
+    rows = spark.range(20_000).selectExpr("id as doc_id", "concat('hot gear ', if(id = 3, 'gear topology', '')) as text")
+    found = enrichment.key_terms(rows, "doc_id", k=1, least=0.0)
+    assert dealt_over(found) == [10]
+    assert "ENSURE_REQUIREMENTS" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.term, r.frequency) for r in found.where("doc_id = 3").collect()] == [("gear", 2)]
