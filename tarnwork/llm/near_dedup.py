@@ -190,6 +190,7 @@ def _joining(groups: DataFrame, signed: DataFrame, texts: DataFrame | None, word
     # A member's piece: by hash, so that the pieces of a group are about as large.
     members = groups.join(sized, "grp").withColumn("pieces", F.ceil(F.col("size") / F.lit(chunk)).cast("long"))
     members = members.withColumn("piece", F.pmod(F.xxhash64(*name, F.lit(7)), F.col("pieces")))
+    members = shared_table(members, "pieces")  # once: a large group's members are read several times below
     all_pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")
     small = members.where("pieces = 1").select(*name, "grp", F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("string")).alias("task"))
     large = members.where("pieces > 1")
