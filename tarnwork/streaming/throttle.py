@@ -4,6 +4,8 @@ A reader of a stream of small pieces (a chat that is typed, a log) shall not be
 store; a batch gives out a key's text once ``characters`` are held and ``seconds`` of event time have passed since the last time, and
 what a key still holds ``seconds`` after its last piece is given out by a timer.  Nothing is lost, given out twice or out of order.
 
+Rows go to Python as rows: a frame for each key costs more than all its pieces.  What a batch gives out by timers is one list a task.
+
 ``Flushes`` is a listener that counts rows and batches of a running query.  Defined cases: null pieces are empty; rows of equal time
 go by ``seq``; a key without pieces for ``seconds`` holds nothing.
 """
@@ -11,9 +13,9 @@ go by ``seq``; a key without pieces for ``seconds`` holds nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -33,8 +35,8 @@ def gather(pieces: list[tuple[float, str]], held: str, count: int, since: float
     return out, held, count, since
 
 
-def _stamp(seconds: float) -> pd.Timestamp:
-    return pd.Timestamp(round(seconds * 1e6), unit="us")
+def _row(key: str, part: int, text: str, pieces: int, at: float) -> Row:
+    return Row(key=key, part=part, text=text, pieces=pieces, until=datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=round(at * 1e6)))
 
 
 class Throttle(StatefulProcessor):
@@ -45,32 +47,32 @@ class Throttle(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "text string, pieces long, since double, last double, part long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        text, count, since, last, part = self.held.get() if self.held.exists() else ("", 0, None, None, 0)
-        pieces = [(pd.Timestamp(a).timestamp(), t or "") for a, t in zip(batch["at"], batch["text"].where(batch["text"].notna(), ""), strict=True)]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = sorted(((r.at, r.seq is None, r.seq or 0, r.text or "") for r in rows), key=lambda p: p[:3])
+        text, count, since, last, part = self.held.get() or ("", 0, None, None, 0)
+        if count:  # only what is held has a timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        pieces = [(at.timestamp(), t) for at, _, _, t in batch]
         out, text, count, since = gather(pieces, text, count, since, self.seconds, self.characters)
-        last = max([p[0] for p in pieces] + ([last] if last is not None else []))
-        rows_out = [(key[0], part + i, t, n, _stamp(at)) for i, (t, n, at) in enumerate(out)]
+        last = max([pieces[-1][0]] + ([last] if last is not None else []))
         self.held.update((text, count, since, last, part + len(out)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if count:
             self.handle.registerTimer(int((last + self.seconds) * 1000) + 1)
-        yield pd.DataFrame(rows_out, columns=["key", "part", "text", "pieces", "until"])
+        for i, (t, n, at) in enumerate(out):
+            yield _row(key[0], part + i, t, n, at)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
-            text, count, since, last, part = self.held.get()
-            if count:
-                self.held.update(("", 0, last, last, part + 1))
-                yield pd.DataFrame([(key[0], part, text, count, _stamp(last))], columns=["key", "part", "text", "pieces", "until"])
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        text, count, _, last, part = self.held.get() or ("", 0, None, None, 0)
+        if count:
+            self.held.update(("", 0, last, last, part + 1))
+            yield _row(key[0], part, text, count, last)
 
 
 def throttled(pieces: DataFrame, seconds: float = 0.5, characters: int = 50, late: str = "1 hour") -> DataFrame:
     """What a stream ``pieces(key, at, seq, text)`` gives out."""
     rows = pieces.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), F.col("at").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"), "text").withWatermark("at", late)
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Throttle(seconds, characters), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("key").transformWithState(statefulProcessor=Throttle(seconds, characters), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 class Flushes(StreamingQueryListener):
