@@ -7,12 +7,13 @@ what a key still holds ``seconds`` after its last piece is given out by a timer.
 Rows go to Python as rows: a frame for each key costs more than all its pieces.  What a batch gives out by timers is one list a task.
 
 ``Flushes`` is a listener that counts rows and batches of a running query.  Defined cases: null pieces are empty; rows of equal time
-go by ``seq``; a key without pieces for ``seconds`` holds nothing.
+go by ``seq``; pieces without a time come last in their batch, at its latest time (the key's last one if none has a time); a key without
+pieces for ``seconds`` holds nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row
@@ -23,42 +24,48 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 OUT = "key string, part long, text string, pieces long, until timestamp"
 
 
-def gather(pieces: list[tuple[float, str]], held: str, count: int, since: float | None, seconds: float, characters: int) -> tuple[list[tuple[str, int, float]], str, int, float | None]:
-    """What is given out after each of ``pieces`` (time, text), and what is still held, of how many pieces, since when."""
-    out = []
+def gather(pieces: Iterable[tuple[int, str]], held: str, count: int, since: int | None, wait: int, characters: int) -> tuple[list[tuple[str, int, int]], str, int, int | None]:
+    """What is given out after each of ``pieces`` (time, text), and what is still held, of how many pieces, since when;
+    times and ``wait`` are whole numbers of one unit."""
+    out, parts, size = [], [held], len(held)
     for at, text in pieces:
         since = at if since is None else since
-        held, count = held + text, count + 1
-        if len(held) >= characters and at - since >= seconds:
-            out.append((held, count, at))
-            held, count, since = "", 0, at
-    return out, held, count, since
+        parts.append(text)
+        size, count = size + len(text), count + 1
+        if size >= characters and at - since >= wait:
+            out.append(("".join(parts), count, at))
+            parts, size, count, since = [], 0, 0, at
+    return out, "".join(parts), count, since
 
 
-def _row(key: str, part: int, text: str, pieces: int, at: float) -> Row:
-    return Row(key=key, part=part, text=text, pieces=pieces, until=datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=round(at * 1e6)))
+_EPOCH, _MICROSECOND = datetime(1970, 1, 1, tzinfo=timezone.utc), timedelta(microseconds=1)
+
+
+def _row(key: str, part: int, text: str, pieces: int, at: int) -> Row:
+    return Row(key=key, part=part, text=text, pieces=pieces, until=_EPOCH + at * _MICROSECOND)
 
 
 class Throttle(StatefulProcessor):
     def __init__(self, seconds: float, characters: int) -> None:
-        self.seconds, self.characters = seconds, characters
+        self.wait, self.characters = round(seconds * 1e6), characters
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "text string, pieces long, since double, last double, part long")
+        self.held = handle.getValueState("held", "text string, pieces long, since long, last long, part long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        batch = sorted(((r.at, r.seq is None, r.seq or 0, r.text or "") for r in rows), key=lambda p: p[:3])
         text, count, since, last, part = self.held.get() or ("", 0, None, None, 0)
         if count:  # only what is held has a timer
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-        pieces = [(at.timestamp(), t) for at, _, _, t in batch]
-        out, text, count, since = gather(pieces, text, count, since, self.seconds, self.characters)
-        last = max([pieces[-1][0]] + ([last] if last is not None else []))
+        # Microseconds: datetimes of one zone compare by the clock on the wall, which goes back once a year.
+        batch = sorted(((r.at is None, 0 if r.at is None else (r.at - _EPOCH) // _MICROSECOND, r.seq is None, r.seq or 0, r.text or "") for r in rows), key=lambda p: p[:4])
+        latest = max((p[1] for p in batch if not p[0]), default=last or 0)
+        out, text, count, since = gather(((latest if timeless else at, t) for timeless, at, _, _, t in batch), text, count, since, self.wait, self.characters)
+        last = latest if last is None else max(latest, last)
         self.held.update((text, count, since, last, part + len(out)))
         if count:
-            self.handle.registerTimer(int((last + self.seconds) * 1000) + 1)
+            self.handle.registerTimer((last + self.wait) // 1000 + 1)
         for i, (t, n, at) in enumerate(out):
             yield _row(key[0], part + i, t, n, at)
 
