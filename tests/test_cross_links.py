@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from tarnwork.operators import registry
 from tarnwork.session import reachable
 
@@ -49,3 +51,23 @@ def test_topic_pairs_are_not_shuffled(spark):
     assert "Aggregate" not in plan.toString().split("Project")[0]
     parts = registry.cross_links(people, resources, block=40).select("person_id", "resource_id").where("person_id > 250")
     assert parts.count() == 49 * 150
+
+
+def test_rows_arise_a_few_people_at_a_time(spark):
+    """No row that pairs arise from holds a whole block of people, however many pairs are known and null ids among them."""
+    rng = random.Random(5)
+    people, held = [*range(100), None], [*range(70), None]
+    for share in (0, 0.02, 1):
+        known = [(p, [r for r in held if rng.random() < 0.5]) for p in people if rng.random() < share]
+        frame = spark.createDataFrame([(people, held, known or None)], "persons array<int>, held array<int>, known array<struct<person_id: int, own: array<int>>>")
+        found = frame.select(registry.groups(F.col("persons"), F.col("held"), F.col("known")).alias("g")).first().g
+        assert max(len(g.persons) for g in found) == (16 if share < 1 else 1)
+        pairs = [(p, r) for g in found for p in g.persons for r in g.held]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == {(p, r) for p in people for r in held} - {(p, r) for p, own in known for r in own}
+
+
+def test_pairs_arise_from_groups(spark):
+    people = spark.range(300).selectExpr("id as person_id", "concat('u', id) as username", "array('gears') as topics")
+    resources = spark.range(200).selectExpr("id as resource_id", "'u1' as path_user", "'' as owner", "cast(null as string) as created_by", "'gears' as description")
+    generated = registry.cross_links(people, resources)._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert [line.split("Generate ")[1].split("(")[0] for line in generated.splitlines() if "Generate " in line] == ["explode", "explode", "explode"]
